@@ -98,16 +98,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Tokens:
     """Hashed tokens of a batch of texts: `hashes` of all texts one after another; text i owns hashes[starts[i]:starts[i + 1]].
 
-    `prefixes[k]` has the hashes of the tokens' first k bytes. Tokens are runs of bytes that are no ASCII blanks; with punct=True runs of punctuation are tokens of their own. With lower=True A-Z count as a-z."""
+    `prefixes[k]` has the hashes of the tokens' first k bytes. Tokens are runs of bytes that are no ASCII blanks; with punct=True runs of punctuation are tokens of their own; with words=True they are left out. With lower=True A-Z count as a-z."""
 
-    def __init__(self, texts: list[str | None], lower: bool = True, punct: bool = False, prefixes: tuple[int, ...] = ()):
+    def __init__(self, texts: list[str | None], lower: bool = True, punct: bool = False, words: bool = False, prefixes: tuple[int, ...] = ()):
         data = [(t or "").encode() for t in texts]
         ends = np.cumsum([len(d) + 1 for d in data], dtype=np.int64) if data else np.zeros(0, np.int64)
         buffer = np.frombuffer(b" ".join([*data, b""]), np.uint8)
         found, positions = [], []
         heads: dict[int, list[np.ndarray]] = {k: [] for k in prefixes}
         for at, piece in _segments(buffer):
-            starts, stops, kinds = _bounds(piece, punct)
+            starts, stops = _bounds(piece, punct, words)
             if not len(starts):
                 continue
             values = _BYTE[_LOWER[piece] if lower else piece]
@@ -156,8 +156,10 @@ def _segments(buffer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         at = end
 
 
-def _bounds(piece: np.ndarray, punct: bool) -> tuple[np.ndarray, np.ndarray, None]:
-    if punct:
+def _bounds(piece: np.ndarray, punct: bool, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    if words:
+        kind = _WORDLIKE[piece].astype(np.int8)
+    elif punct:
         kind = np.where(_BLANK[piece], 0, np.where(_WORDLIKE[piece], 1, 2)).astype(np.int8)
     else:
         kind = (~_BLANK[piece]).astype(np.int8)
@@ -165,7 +167,7 @@ def _bounds(piece: np.ndarray, punct: bool) -> tuple[np.ndarray, np.ndarray, Non
     # an edge may both end one token and start the next
     starts = edges[(edges < len(piece)) & (np.take(kind, np.minimum(edges, len(piece) - 1)) > 0)]
     stops = edges[(edges > 0) & (np.take(kind, np.maximum(edges - 1, 0)) > 0)]
-    return starts, stops, None
+    return starts, stops
 
 
 def shingles(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
