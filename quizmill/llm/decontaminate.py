@@ -19,6 +19,8 @@ PASSAGE_WORDS = 32
 RANK = 48
 #: Least cosine of a candidate window, least share of an item's words in common order, and what suffices if the answer is there too.
 COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.5, 0.7, 0.55, 0.8
+#: Least share of a passage's vocabulary words that a candidate window holds, in any order.
+SHARED = 0.4
 #: Items are compared in blocks of so many, which bounds what is broadcast.
 ITEMS_PER_BLOCK = 5000
 #: Words in more than this share of the items are left out of the passages, but not where an item would keep fewer than LEAST_WORDS.
@@ -129,20 +131,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """The items' passages of one width: latent vectors, item numbers, first words, and the least vocabulary words of a window that can be a match."""
+    """The items' passages of one width: latent vectors, item numbers, first words, how many vocabulary words a window must share, and the (passage, word) pairs, sorted."""
 
     width: int
     vectors: np.ndarray
     item: np.ndarray
     first: np.ndarray
-    least: int
+    least: np.ndarray
+    pairs: np.ndarray
 
 
 def pieces_of(items: Items, basis: np.ndarray) -> list[Pieces]:
     """Items of 32 words or more in passages of 32; of 16 or more in passages of 16; shorter ones in passages of 8 (or whole)."""
     out = []
     for width, lo, hi in ((32, 32, 1 << 30), (16, 16, 32), (8, 1, 16)):
-        rows, own, first, least = [], [], [], width
+        rows, own, first, least, pairs = [], [], [], [], []
         for i, words in enumerate(items.words):
             n = len(words)
             if not lo <= n < hi:
@@ -151,16 +154,27 @@ def pieces_of(items: Items, basis: np.ndarray) -> list[Pieces]:
             starts = sorted({*range(0, max(1, n - width + 1), width), max(0, n - width)})
             for a in starts:
                 inside = w[a : a + width]
-                rows.append(basis[inside[inside >= 0]].sum(axis=0))
+                inside = inside[inside >= 0]
+                pairs.append(np.unique(inside) + len(rows) * len(items.vocabulary))
+                rows.append(basis[inside].sum(axis=0))
                 own.append(i)
                 first.append(a)
-                # with LCS_WITH_ANSWER of the words in common, some of those in the vocabulary must be there
-                least = min(least, max(1, int((inside >= 0).sum() - (1 - LCS_WITH_ANSWER) * len(inside))))
+                least.append(max(1, int(np.ceil(SHARED * len(pairs[-1])))))
         if rows:
-            out.append(Pieces(width, _unit(np.array(rows)), np.array(own), np.array(first), least))
+            out.append(Pieces(width, _unit(np.array(rows)), np.array(own), np.array(first), np.array(least), np.concatenate(pairs)))
     return out
 
 
+def sharing(p: Pieces, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Which of the candidates share enough words: window k holds the vocabulary words word[lo[k]:hi[k]] and is held against passage piece[k]."""
+    sizes = hi - lo
+    which = np.repeat(np.arange(len(lo)), sizes)
+    place = np.repeat(lo - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(which))
+    keys = piece[which] * np.int64(vocabulary) + word[place]
+    hit = p.pairs[np.minimum(np.searchsorted(p.pairs, keys), len(p.pairs) - 1)] == keys
+    return np.bincount(which[hit], minlength=len(lo)) >= p.least[piece]
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, 64 cells and more at a time in the bits of an integer."""
     places: dict = {}
@@ -182,7 +196,7 @@ def _search(items: Items, basis: np.ndarray):
     def settle(words: np.ndarray, i: int, start: int) -> tuple[float, float, int]:
         n = len(long_words[i])
         a = max(0, start - n // 4)
-        span = words[a : start + n + n // 4 + 1].tolist()
+        span = words[a : max(a, start + n + n // 4 + 1)].tolist()
         share = lcs(long_words[i], span) / max(1, n)
         found = lcs(answers[i], span) / max(1, len(answers[i])) if share >= LCS_WITH_ANSWER else 0.0
         return share, found, a
@@ -198,6 +212,7 @@ def _search(items: Items, basis: np.ndarray):
                     continue
                 sums = np.concatenate([np.zeros((1, basis.shape[1]), np.float32), np.cumsum(basis[word[at]], axis=0, dtype=np.float32)])
                 seen = np.concatenate([[0], np.cumsum(word >= 0)])
+                inside = word[at].astype(np.int64)
                 candidates: dict[tuple[int, int], dict[int, float]] = {}
                 for p in pieces:
                     step = max(1, p.width // 4)
@@ -206,22 +221,21 @@ def _search(items: Items, basis: np.ndarray):
                     first = t.starts[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
                     last = np.minimum(first + p.width, t.starts[1:][doc])
                     first = np.minimum(first, last)
-                    some = np.flatnonzero(seen[last] - seen[first] >= p.least)
+                    some = np.flatnonzero(seen[last] - seen[first] >= p.least.min())
                     for block in np.array_split(some, max(1, len(some) // 8192)):
-                        vectors = _unit(sums[seen[last[block]]] - sums[seen[first[block]]])
-                        near = vectors @ p.vectors.T
-                        for r, c in np.argwhere(near >= COSINE):
-                            key = int(doc[block[r]]), int(p.item[c])
-                            start = int(first[block[r]] - p.first[c] - t.starts[key[0]])
-                            candidates.setdefault(key, {})[start] = float(near[r, c])
+                        lo, hi = seen[first[block]], seen[last[block]]
+                        near = _unit(sums[hi] - sums[lo]) @ p.vectors.T
+                        r, c = np.nonzero(near >= COSINE)
+                        enough = sharing(p, inside, lo[r], hi[r], c, len(items.vocabulary)) if len(r) else np.zeros(0, bool)
+                        for w, piece, cosine in zip(block[r[enough]], c[enough], near[r[enough], c[enough]], strict=True):
+                            key = int(doc[w]), int(p.item[piece])
+                            candidates.setdefault(key, {})[int(first[w] - p.first[piece] - t.starts[key[0]])] = float(cosine)
                 for (d, i), starts in candidates.items():
-                    own, best = t.hashes[t.starts[d] : t.starts[d + 1]], None
-                    for start, cosine in starts.items():
-                        n = len(long_words[i])
-                        span = own[max(0, start - n // 4) : max(0, start + n + n // 4 + 1)]
-                        # words in common, in any order, are at least as many as in order
-                        if np.isin(items.words[i], span).sum() < LCS_WITH_ANSWER * n:
-                            continue
+                    own, best, tried = t.hashes[t.starts[d] : t.starts[d + 1]], None, []
+                    for start, cosine in sorted(starts.items(), key=lambda x: (-x[1], x[0])):
+                        if any(abs(start - x) <= len(long_words[i]) // 8 for x in tried):
+                            continue  # the span reaches a quarter of the item beyond either end: nearly the same span
+                        tried.append(start)
                         share, found, a = settle(own, i, start)
                         if (share >= LCS or (share >= LCS_WITH_ANSWER and found >= ANSWER)) and (best is None or share > best[0]):
                             best = (share, found, a, cosine)
