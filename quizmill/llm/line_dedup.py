@@ -59,7 +59,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot_ro
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`docs` with n_lines, n_dropped and the kept text in `kept`."""
     runs = F.transform(F.split("keep", ","), lambda r: F.sequence(F.split(r, "-")[0].cast("int"), F.split(r, "-")[1].cast("int")))
-    marked = docs.join(bitmaps.select("doc_id", F.flatten(runs).alias("_gone")), "doc_id", "left")
+    marked = docs.join(bitmaps.select("doc_id", F.flatten(runs).alias("_gone")).hint("merge"), "doc_id", "left")  # grows with the documents: never broadcast
     lines = F.split(text_of(), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
