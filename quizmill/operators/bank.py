@@ -7,25 +7,26 @@ from pyspark.sql import functions as F
 
 from quizmill.functions.text import seeded
 
-_live = ~F.coalesce("flagged", F.lit(False))
+def _live() -> Column:
+    return ~F.coalesce("flagged", F.lit(False))
 
 
 def bank_stats(questions: DataFrame) -> DataFrame:
     """Per book: usable questions by source, flagged ones, and cloze ones without a style (flagged or not)."""
     return questions.groupBy("book_id").agg(
-        F.count_if((F.col("source") == "ai") & _live).alias("ai"), F.count_if((F.col("source") == "cloze") & _live).alias("cloze"),
-        F.count_if(~_live).alias("flagged"), F.count_if((F.col("source") == "cloze") & F.col("style").isNull()).alias("legacy"),
+        F.count_if((F.col("source") == "ai") & _live()).alias("ai"), F.count_if((F.col("source") == "cloze") & _live()).alias("cloze"),
+        F.count_if(~_live()).alias("flagged"), F.count_if((F.col("source") == "cloze") & F.col("style").isNull()).alias("legacy"),
     )
 
 
 def chapter_stats(questions: DataFrame) -> DataFrame:
     """Usable questions of each chapter by source; `first_block` gives the order of chapters."""
-    return questions.where(_live).groupBy("book_id", "chapter").agg(F.count_if(F.col("source") == "ai").alias("ai"), F.count_if(F.col("source") == "cloze").alias("cloze"), F.min(F.array_min("block_indexes")).alias("first_block"))
+    return questions.where(_live()).groupBy("book_id", "chapter").agg(F.count_if(F.col("source") == "ai").alias("ai"), F.count_if(F.col("source") == "cloze").alias("cloze"), F.min(F.array_min("block_indexes")).alias("first_block"))
 
 
 def bank_rollup(questions: DataFrame) -> DataFrame:
     """Usable questions by source for each book (chapter null) and each chapter, in one pass."""
-    return questions.where(_live).rollup("book_id", "chapter").agg(F.count_if(F.col("source") == "ai").alias("ai"), F.count_if(F.col("source") == "cloze").alias("cloze"), F.grouping_id().alias("level")).where("level < 3")
+    return questions.where(_live()).rollup("book_id", "chapter").agg(F.count_if(F.col("source") == "ai").alias("ai"), F.count_if(F.col("source") == "cloze").alias("cloze"), F.grouping_id().alias("level")).where("level < 3")
 
 
 def done_slices(questions: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def pick_session(questions: DataFrame, attempts: DataFrame, wanted: DataFrame, s
     """For each row of `wanted` (user_id, book_id, optional source, chapter): `size` usable questions: unseen ones first (shuffled), then last-wrong (shuffled), then last-right (oldest first).
 
     Only ids travel through the ranking; a learner's pool is one book."""
-    pool = questions.where(_live).select(F.col("id").alias("question_id"), "book_id", "source", "chapter")
+    pool = questions.where(_live()).select(F.col("id").alias("question_id"), "book_id", "source", "chapter")
     asked = wanted.select("user_id", "book_id", F.col("source").alias("_source"), F.col("chapter").alias("_chapter"))
     pool = pool.join(asked, "book_id").where((F.col("_source").isNull() | (F.col("_source") == F.col("source"))) & (F.col("_chapter").isNull() | (F.col("_chapter") == F.col("chapter"))))
     last = last_attempt(attempts).select("user_id", "question_id", "correct", "at")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from quizmill.operators import bank, structure
 from quizmill.plans import adapters as A
@@ -144,10 +144,10 @@ def str7_build_path(spark, sf_dir: str) -> DataFrame:
 
 
 _BUNDLE = {
-    "books": T.StructType.fromDDL("id string, title string, block_count bigint"),
-    "blocks": T.StructType.fromDDL("book_id string, idx bigint, kind string, text string, path array<string>"),
-    "questions": T.StructType.fromDDL("id string, book_id string, source string, stem string, options array<string>, answer int, block_indexes array<bigint>, chapter string, created_at bigint, flagged boolean, flagged_at bigint"),
-    "attempts": T.StructType.fromDDL("id bigint, user_id bigint, question_id string, book_id string, chosen int, at bigint"),
+    "books": "id string, title string, block_count bigint",
+    "blocks": "book_id string, idx bigint, kind string, text string, path array<string>",
+    "questions": "id string, book_id string, source string, stem string, options array<string>, answer int, block_indexes array<bigint>, chapter string, created_at bigint, flagged boolean, flagged_at bigint",
+    "attempts": "id bigint, user_id bigint, question_id string, book_id string, chosen int, at bigint",
 }
 
 
@@ -155,7 +155,7 @@ def bundle_tables(spark, sf_dir: str) -> dict[str, DataFrame]:
     q = A.questions(spark, sf_dir)
     attempts = bank.record_attempts(A.attempts(spark, sf_dir), q)
     full = {"books": A.books(spark, sf_dir), "blocks": A.blocks(spark, sf_dir), "questions": q, "attempts": attempts}
-    return {name: full[name].select(*[F.col(f.name).cast(f.dataType) for f in schema]) for name, schema in _BUNDLE.items()}
+    return {name: full[name].select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema)]) for name, schema in _BUNDLE.items()}
 
 
 def _exported(spark, sf_dir: str) -> str:
@@ -166,7 +166,7 @@ def _exported(spark, sf_dir: str) -> str:
 
 @query(f"WITH {A.QUESTIONS} SELECT id, book_id, source, stem, array_to_string(options, ',') AS options, answer, created_at, flagged, flagged_at FROM questions")
 def src9_src10_bundle_round_trip(spark, sf_dir: str) -> DataFrame:
-    back = bundle.read_bundle(spark, _exported(spark, sf_dir), {k: T.StructType(list(v.fields)) for k, v in _BUNDLE.items()})
+    back = bundle.read_bundle(spark, _exported(spark, sf_dir), {k: StructType.fromDDL(v) for k, v in _BUNDLE.items()})
     return back["questions"].select("id", "book_id", "source", "stem", F.array_join("options", ",").alias("options"), "answer", "created_at", "flagged", "flagged_at")
 
 

@@ -58,8 +58,8 @@ def read_epubs(spark, path: str) -> DataFrame:
 
 def member(parts: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` (book_id, want) with the member's path and text: the exact name, else the same name in other case."""
-    p = parts.where(F.col("path").isNotNull())
-    joined = wanted.join(p, (wanted["book_id"] == p["book_id"]) & (F.lower("want") == F.lower("path"))).drop(p["book_id"])
+    named = parts.where(F.col("path").isNotNull()).select("book_id", "path", "text", F.lower("path").alias("_low"))
+    joined = wanted.withColumn("_low", F.lower("want")).join(named, ["book_id", "_low"])
     best = F.min_by(F.struct("path", "text"), F.struct((F.col("path") != F.col("want")).cast("int"), "path"))
     return joined.groupBy("book_id", "want").agg(best.alias("m")).select("book_id", "want", "m.*")
 
