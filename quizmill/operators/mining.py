@@ -63,16 +63,16 @@ def find_duties(sents: DataFrame, entities: DataFrame) -> DataFrame:
     Names are found by an equi join on the beginnings of the sentence that end at a word's end, not by trying every entity. Of several names the longest decides, even if its sentence then fails."""
     body = F.regexp_replace("sentence", "\\.\\z", "")
     lead = F.regexp_extract(body, "^(Under (?:the )?|The\\s+)?", 1)
-    rest = F.substring(body, F.length(lead) + 1, F.length(body))
-    words = F.split(rest, "(?=[\\s,(])")
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(NAME_WORDS))), lambda n: F.array_join(F.slice(words, 1, n), ""))
-    seen = sents.where(F.col("sentence").rlike("^[A-Z]")).withColumns({"_lead": lead, "_rest": rest})
-    by_lead = seen.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(starts).alias("start"))
-    whole = seen.where(F.col("_lead").startswith("The")).withColumns({"_rest": body, "_lead": F.lit("")})
-    whole_words = F.split("_rest", "(?=[\\s,(])")
-    by_whole = whole.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(whole_words), F.lit(NAME_WORDS))), lambda n: F.array_join(F.slice(whole_words, 1, n), ""))).alias("start"))
+    form = lambda lead, rest: F.struct(lead.alias("lead"), rest.alias("rest"))
+    # "The X" may also be a name that begins with The
+    forms = F.concat(F.array(form(lead, F.substring(body, F.length(lead) + 1, F.length(body)))), F.when(lead.startswith("The"), F.array(form(F.lit(""), body))).otherwise(F.array().cast("array<struct<lead:string,rest:string>>")))
+    seen = sents.where(F.col("sentence").rlike("^[A-Z]")).select("book_id", "idx", "pos", "sentence", "chapter", F.explode(forms).alias("f"))
+    # each column below is used more than once, so each is computed in a step of its own
+    cut = seen.select("book_id", "idx", "pos", "sentence", "chapter", F.col("f.lead").alias("_lead"), F.col("f.rest").alias("_rest")).withColumn("_words", F.split("_rest", "(?=[\\s,(])", NAME_WORDS + 1))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.size("_words"), F.lit(NAME_WORDS))), lambda n: F.array_join(F.slice("_words", 1, n), ""))
+    begun = cut.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(starts).alias("start"))
     names = entities.select("book_id", "key", "name", "kind", "acronym", F.explode(F.filter(F.array("name", "acronym"), lambda x: x.isNotNull())).alias("start"))
-    hit = by_lead.unionByName(by_whole).join(names, ["book_id", "start"])
+    hit = begun.join(names, ["book_id", "start"])
     after = F.substring("_rest", F.length("start") + 1, F.length("_rest"))
     under = F.col("_lead").startswith("Under")
     acronym = "(?:\\s*\\([A-Z][A-Z0-9&]{1,7}\\))?"

@@ -278,7 +278,7 @@ found AS (SELECT book_id, idx, pos, sentence, chapter, term, upper({_CLEAN.forma
 
 @query(f"WITH {FOUND} SELECT book_id, idx, pos, term, definition FROM found")
 def txt9_definition_in_sentence(spark, sf_dir: str) -> DataFrame:
-    s = mining.sentences(passages.study_passages(A.blocks(spark, sf_dir)))
+    s = mining.sentences(passages.study_passages(A.blocks(spark, sf_dir))).where(F.col("sentence").rlike("\\s(?:is|are|refers to|means|denotes)\\s"))
     return s.withColumn("d", T.definition_in_sentence(F.col("sentence"))).where("d IS NOT NULL").select("book_id", "idx", "pos", "d.*")
 
 
