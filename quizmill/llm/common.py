@@ -55,13 +55,13 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list[str], value:
     """Add `out`: the sum of `value` over the rows of `group` that come before this one in the order (bucket, *order).
 
     Two levels, so that no task sees a whole hot group: sums by (group, bucket), running sums of those few sums, and a window inside each bucket. `group` may be null."""
-    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
+    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("__sum"))
     over = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_offset"))
+    offsets = sums.select(F.col(group).alias("__g"), F.col(bucket).alias("__b"), F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = rows.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col(bucket) == F.col("_b")))
-    return joined.withColumn(out, F.col("_inside") + F.col("_offset")).drop("_inside", "_offset", "_g", "_b")
+    rows = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = rows.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col(bucket) == F.col("__b")))
+    return joined.withColumn(out, F.col("__inside") + F.col("__offset")).drop("__inside", "__offset", "__g", "__b")
 
 
 # ---------------------------------------------------------------- token hashes, for the Arrow-batched operators

@@ -90,16 +90,16 @@ def taken_words(docs: DataFrame, block: int = 512) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, block: int = 512) -> DataFrame:
-    """The mix as documents: a row per document and epoch with the words taken there, in order; columns as `docs`, which must have unique doc_id.
+    """The mix as documents: a row per document and epoch with the words taken there, in order; columns as `docs`, which must have one row for each doc_id (null is an id). Texts without words are never taken.
 
     A document that is taken whole keeps its text as it is; else the pieces are cut at word starts."""
     counts = token_counts(docs)
     mix = mix_blocks(counts, stash(source_targets(counts), "mix-targets"), block).where(F.col("n") > 0)
-    pieces = mix.groupBy("doc_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("_pieces"), F.sum("n").alias("_n"), F.first("size").alias("_size"))
+    pieces = mix.groupBy("doc_id", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("__pieces"), F.sum("n").alias("__n"), F.first("size").alias("__size")).withColumnRenamed("doc_id", "__id").drop("epoch")
     words = F.split(text_of(), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(text_of().rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    part = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(words, (p["first"] + 1 + lead).cast("int"), p["n"].cast("int")))), "")
-    out = docs.join(pieces, "doc_id").withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(part))
+    part = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(words, (p["first"] + 1 + lead).cast("int"), p["n"].cast("int")))), "")
+    out = docs.join(pieces.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("text", F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(part))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

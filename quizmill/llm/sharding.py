@@ -64,11 +64,11 @@ def descend(key: Column, root: Node) -> Column:
 def shard_rows(rows: DataFrame, key: str = "doc_id", root: Node | None = None, buckets: int = 256) -> DataFrame:
     """`rows` with shard (int), grown_shard (int: the shard with one more) and slot (long: gapless from 0 in each shard).
 
-    A null key is a key like any other; rows that repeat a key share its shard and get slots of their own. Slots come from two-level counts, so no shard is numbered in one task."""
+    Columns of these names are replaced. A null key is a key like any other; rows that repeat a key share its shard and get slots of their own. Slots come from two-level counts, so no shard is numbered in one task."""
     root = root or tree()
-    placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "grown_shard": descend(F.col(key), grow(root)).cast("int"), "_bucket": hash_bucket(F.col(key), buckets), "_one": F.lit(1).cast("long")})
-    order = [key, *[c for c, kind in rows.dtypes if c != key and kind in ("bigint", "int", "string")]]
-    return running_sum(placed, "shard", "_bucket", order, "_one", "slot").drop("_bucket", "_one")
+    placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "grown_shard": descend(F.col(key), grow(root)).cast("int"), "__bucket": hash_bucket(F.col(key), buckets), "__one": F.lit(1).cast("long")})
+    order = [key, *[c for c, kind in rows.dtypes if c not in (key, "shard", "slot", "grown_shard") and kind in ("bigint", "int", "string")]]
+    return running_sum(placed.drop("slot"), "shard", "__bucket", order, "__one", "slot").drop("__bucket", "__one")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
