@@ -17,8 +17,8 @@ from quizmill.llm.sharding import shard_rows
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling selects; labelled rows of the labels table set the target."""
-    chosen = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected").select(F.col("doc_id").alias("_id"))
-    return docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    chosen = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected").select(F.col("doc_id").alias("__id"))
+    return docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
