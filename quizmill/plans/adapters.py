@@ -4,7 +4,7 @@ A book is a hundred consecutive documents, a chapter one document, a block one l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOOK_DOCS = 100
@@ -90,15 +90,30 @@ questions AS (SELECT 'q' || d.doc_id AS id, 'b' || (d.doc_id // 100) AS book_id,
   FROM documents d LEFT JOIN marks m ON d.doc_id = m.doc_id WHERE d.doc_id IS NOT NULL)"""
 
 
+def document_count(spark, sf_dir: str) -> Column:
+    """One more than the largest doc_id, as a scalar subquery."""
+    return read(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n")).scalar()
+
+
+def book_number(n: Column, count: Column) -> Column:
+    """One of the books, by a number."""
+    return F.concat(F.lit("b"), (n % F.greatest(F.floor(count / BOOK_DOCS), F.lit(1))).cast("string"))
+
+
+#: The same in SQL.
+DOCUMENT_COUNT = "(SELECT max(doc_id) + 1 FROM documents)"
+BOOK_COUNT = "(SELECT greatest((max(doc_id) + 1) // 100, 1) FROM documents)"
+
+
 def attempts(spark, sf_dir: str) -> DataFrame:
-    """id, user_id, question_id, chosen, at (epoch seconds)."""
+    """id, user_id, question_id, chosen, at (epoch hours, so that times tie)."""
     e = read(spark, sf_dir, "events")
     n = F.col("event_id")
-    return e.select(n.alias("id"), (F.col("user_id") % 50).alias("user_id"), F.concat(F.lit("q"), (n * 7 % 200).cast("string")).alias("question_id"), (F.floor(n / 3) % 4).cast("int").alias("chosen"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("at"))
+    return e.select(n.alias("id"), "user_id", F.concat(F.lit("q"), (n * 7 % document_count(spark, sf_dir)).cast("string")).alias("question_id"), (F.floor(n / 3) % 4).cast("int").alias("chosen"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("at"))
 
 
-ATTEMPTS = """
-attempts AS (SELECT event_id AS id, user_id % 50 AS user_id, 'q' || (event_id * 7 % 200) AS question_id, (event_id // 3 % 4)::INT AS chosen, floor(epoch_us(ts) / 3600000000)::BIGINT AS "at" FROM events)"""
+ATTEMPTS = f"""
+attempts AS (SELECT event_id AS id, user_id, 'q' || (event_id * 7 % {DOCUMENT_COUNT}) AS question_id, (event_id // 3 % 4)::INT AS chosen, floor(epoch_us(ts) / 3600000000)::BIGINT AS "at" FROM events)"""
 
 
 def llm_calls(spark, sf_dir: str) -> DataFrame:

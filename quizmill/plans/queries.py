@@ -458,11 +458,11 @@ def llm3_parse_range(spark, sf_dir: str) -> DataFrame:
     return A.questions(spark, sf_dir).select("id", slices.parse_range(F.col("chunk")).alias("r")).select("id", "r.*")
 
 
-_DONE = "done AS (SELECT DISTINCT book_id, string_split(chunk, '-')[1]::INT AS a, string_split(chunk, '-')[2]::INT AS z FROM questions WHERE chunk IS NOT NULL AND doc_id % 100 < 60)"
+_DONE = "done AS (SELECT DISTINCT book_id, string_split(chunk, '-')[1]::INT AS a, string_split(chunk, '-')[2]::INT AS z FROM questions WHERE chunk IS NOT NULL)"
 
 
 def _done(spark, sf_dir: str) -> DataFrame:
-    return bank.done_slices(A.questions(spark, sf_dir).where("doc_id % 100 < 60"))
+    return bank.done_slices(A.questions(spark, sf_dir))
 
 
 # the note test sees only what is left: the ranges go before it
@@ -613,12 +613,12 @@ def bnk4_done_slices(spark, sf_dir: str) -> DataFrame:
     return bank.done_slices(A.questions(spark, sf_dir))
 
 
-@query(f"""WITH {A.QUESTIONS}, changes AS (SELECT 'q' || (event_id * 7 % 200) AS id, event_id % 3 = 0 AS flagged, event_id // 5 AS "at" FROM events),
+@query(f"""WITH {A.QUESTIONS}, changes AS (SELECT 'q' || (event_id * 7 % {A.DOCUMENT_COUNT}) AS id, event_id % 3 = 0 AS flagged, event_id // 5 AS "at" FROM events),
 last AS (SELECT id, arg_max(flagged, "at" * 2 + flagged::INT) AS flagged, max("at") AS "at" FROM changes GROUP BY id)
 SELECT q.id, CASE WHEN l.id IS NULL THEN q.flagged ELSE l.flagged END AS flagged, CASE WHEN l.id IS NULL THEN q.flagged_at ELSE l."at" END AS flagged_at FROM questions q LEFT JOIN last l ON q.id = l.id""")
 def bnk5_flag_question(spark, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    changes = A.read(spark, sf_dir, "events").select(F.concat(F.lit("q"), (n * 7 % 200).cast("string")).alias("id"), (n % 3 == 0).alias("flagged"), F.floor(n / 5).alias("at"))
+    changes = A.read(spark, sf_dir, "events").select(F.concat(F.lit("q"), (n * 7 % A.document_count(spark, sf_dir)).cast("string")).alias("id"), (n % 3 == 0).alias("flagged"), F.floor(n / 5).alias("at"))
     return bank.flag_question(A.questions(spark, sf_dir), changes).select("id", "flagged", "flagged_at")
 
 
@@ -632,13 +632,13 @@ def bnk7_last_attempt(spark, sf_dir: str) -> DataFrame:
     return bank.last_attempt(A.attempts(spark, sf_dir))
 
 
-@query(f"""WITH {A.QUESTIONS}, {A.ATTEMPTS.strip()}, wanted AS (SELECT DISTINCT user_id, 'b' || (user_id % 2) AS book_id, CASE WHEN user_id % 5 = 0 THEN 'ai' END AS source FROM attempts),
+@query(f"""WITH {A.QUESTIONS}, {A.ATTEMPTS.strip()}, wanted AS (SELECT DISTINCT user_id, 'b' || (user_id % {A.BOOK_COUNT}) AS book_id, CASE WHEN user_id % 5 = 0 THEN 'ai' END AS source FROM attempts),
 last AS (SELECT a.user_id, a.question_id, a.chosen = q.answer AS correct, a."at" FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY "at" DESC, id) AS n FROM attempts) a JOIN questions q ON a.question_id = q.id WHERE n = 1),
 pool AS (SELECT w.user_id, q.book_id, q.id AS question_id, CASE WHEN l.correct IS NULL THEN 0 WHEN NOT l.correct THEN 1 ELSE 2 END AS tier, l."at" FROM wanted w JOIN questions q ON w.book_id = q.book_id AND (w.source IS NULL OR w.source = q.source) LEFT JOIN last l ON l.user_id = w.user_id AND l.question_id = q.id WHERE {_LIVE})
 SELECT user_id, book_id, position, question_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY user_id, book_id ORDER BY tier, CASE WHEN tier = 2 THEN "at" END NULLS FIRST, md5('0|' || user_id || '|' || question_id)) AS position FROM pool) WHERE position <= 60""")
 def bnk8_pick_session(spark, sf_dir: str) -> DataFrame:
     q, a = A.questions(spark, sf_dir), A.attempts(spark, sf_dir)
-    wanted = a.select("user_id", F.concat(F.lit("b"), (F.col("user_id") % 2).cast("string")).alias("book_id"), F.when(F.col("user_id") % 5 == 0, "ai").alias("source"), F.lit(None).cast("string").alias("chapter")).distinct()
+    wanted = a.select("user_id", A.book_number(F.col("user_id"), A.document_count(spark, sf_dir)).alias("book_id"), F.when(F.col("user_id") % 5 == 0, "ai").alias("source"), F.lit(None).cast("string").alias("chapter")).distinct()
     return bank.pick_session(q, bank.record_attempts(a, q), wanted, 60)
 
 
@@ -661,11 +661,11 @@ def bnk11_duplicate_titles(spark, sf_dir: str) -> DataFrame:
     return bank.duplicate_titles(b)
 
 
-@query(f"""WITH {A.BOOKS}, p AS (SELECT user_id % 50 AS user_id, 'b' || (event_id % 7) AS book_id, event_id % 400 AS idx, event_id // 9 AS "at" FROM events), l AS (SELECT user_id, book_id, arg_max(idx, "at" * 1000 + idx) AS idx FROM p GROUP BY ALL)
+@query(f"""WITH {A.BOOKS}, p AS (SELECT user_id, 'b' || (event_id % {A.BOOK_COUNT}) AS book_id, event_id % 400 AS idx, event_id // 9 AS "at" FROM events), l AS (SELECT user_id, book_id, arg_max(idx, "at" * 1000 + idx) AS idx FROM p GROUP BY ALL)
 SELECT l.user_id, b.id AS book_id, coalesce(idx, 0) AS idx FROM books b LEFT JOIN l ON l.book_id = b.id""")
 def bnk12_reading_position(spark, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    p = A.read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("user_id"), F.concat(F.lit("b"), (n % 7).cast("string")).alias("book_id"), (n % 400).alias("idx"), F.floor(n / 9).alias("at"))
+    p = A.read(spark, sf_dir, "events").select("user_id", A.book_number(n, A.document_count(spark, sf_dir)).alias("book_id"), (n % 400).alias("idx"), F.floor(n / 9).alias("at"))
     return bank.reading_position(A.books(spark, sf_dir), p)
 
 
@@ -747,13 +747,13 @@ def mrg6_merge_questions(spark, sf_dir: str) -> DataFrame:
 
 _ATTEMPT_SIDES = A.QUESTIONS + ", " + A.ATTEMPTS.strip() + """,
 ra AS (SELECT a.id, user_id, question_id, q.book_id, chosen, "at" FROM attempts a JOIN questions q ON a.question_id = q.id),
-ah AS (SELECT * FROM ra WHERE id % 3 <> 2), tr AS (SELECT * FROM ra WHERE id % 3 <> 0 AND book_id = 'b1'), af AS (SELECT * FROM ah UNION ALL SELECT * FROM tr WHERE id NOT IN (SELECT id FROM ah))"""
+ah AS (SELECT * FROM ra WHERE id % 3 <> 2), tr AS (SELECT * FROM ra WHERE id % 3 <> 0 AND substring(book_id, 2)::BIGINT % 2 = 1), af AS (SELECT * FROM ah UNION ALL SELECT * FROM tr WHERE id NOT IN (SELECT id FROM ah))"""
 
 
 def _attempt_sides(spark, sf_dir: str):
     a = bank.record_attempts(A.attempts(spark, sf_dir), A.questions(spark, sf_dir)).select("id", "user_id", "question_id", "book_id", "chosen", "at")
     there = a.where("id % 3 <> 0")
-    return a.where("id % 3 <> 2"), there.unionByName(there.where("id % 6 = 1")), a.where("book_id = 'b1'").select("book_id").distinct()
+    return a.where("id % 3 <> 2"), there.unionByName(there.where("id % 6 = 1")), a.where(F.substring("book_id", 2, 20).cast("long") % 2 == 1).select("book_id").distinct()
 
 
 @query(f"WITH {_ATTEMPT_SIDES} SELECT * FROM af")

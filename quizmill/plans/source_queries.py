@@ -196,10 +196,10 @@ def stm1_attempts_stream(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("id", "user_id")
 
 
-@query(f"WITH {A.ATTEMPTS} SELECT user_id, question_id, id, chosen, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY \"at\" DESC, id) AS n FROM attempts) WHERE n = 1")
+@query(f"WITH {A.ATTEMPTS.replace(A.DOCUMENT_COUNT, '1000')} SELECT user_id, question_id, id, chosen, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY \"at\" DESC, id) AS n FROM attempts) WHERE n = 1")
 def stm2_last_attempt_stream(spark, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
-    e = _event_stream(spark, sf_dir).select(n.alias("id"), (F.col("user_id") % 50).alias("user_id"), F.concat(F.lit("q"), (n * 7 % 200).cast("string")).alias("question_id"), (F.floor(n / 3) % 4).cast("int").alias("chosen"), F.floor(F.unix_micros("ts") / 3600000000).alias("at"))
+    e = _event_stream(spark, sf_dir).select(n.alias("id"), "user_id", F.concat(F.lit("q"), (n * 7 % 1000).cast("string")).alias("question_id"), (F.floor(n / 3) % 4).cast("int").alias("chosen"), F.floor(F.unix_micros("ts") / 3600000000).alias("at"))
     return streams.run_available(streams.last_attempt_stream(e), scratch(spark, "last"), scratch(spark, "stream"))
 
 
