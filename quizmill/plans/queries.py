@@ -374,7 +374,38 @@ def law_blocks(spark, sf_dir: str) -> DataFrame:
     return A.blocks(spark, sf_dir).withColumn("text", F.when((F.col("idx") % 3 == 0) & (F.col("kind") != "heading"), told).otherwise(F.col("text")))
 
 
-@query(None)
+_LAW_SENTENCES = SENTENCES.replace("flagged AS (SELECT *, kind", f"""lawful AS (SELECT * REPLACE (CASE WHEN idx % 3 = 0 AND kind <> 'heading' THEN
+  CASE WHEN idx % 2 = 0 THEN 'Under the ' ELSE 'The ' END || [{', '.join(f"'{x}'" for x in _LAWS)}][idx % 10 + 1] || CASE WHEN idx % 4 = 1 THEN ' (L' || (idx % 10 + 1) || ')' ELSE '' END
+  || CASE WHEN idx % 2 = 0 THEN ', firms must ' ELSE ' requires firms to ' END || array_to_string(regexp_split_to_array(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g'), ' +')[1:9], ' ') || '. ' || text ELSE text END AS text) FROM blocks),
+flagged AS (SELECT *, kind""").replace("AS numbered FROM blocks)", "AS numbered FROM lawful)")
+_ACRONYM = r"\s*\(([A-Z][A-Z0-9&]{1,7})\)"
+_HITS = "\nUNION ALL ".join(
+    f"SELECT book_id, idx, pos, {p} AS p, '{kind}' AS kind, unnest(regexp_extract_all(sentence, '{_re(pattern)}')) AS raw, unnest(regexp_extract_all(sentence, '(?:{_re(pattern)})(?:{_ACRONYM})?', 1)) AS acronym, unnest(range(len(regexp_extract_all(sentence, '{_re(pattern)}')))) AS n FROM sents"
+    for p, (kind, pattern) in enumerate(mining.ENTITY_PATTERNS)
+)
+_ENTITIES = _LAW_SENTENCES + f""",
+hits AS ({_HITS}),
+named AS (SELECT *, regexp_replace(trim(raw), '^(?:(?:{T.LEADING})\\s+)+', '') AS name FROM hits),
+entities AS (SELECT book_id, trim(regexp_replace(replace(lower(name), '’', ''''), '\\s+', ' ', 'g')) AS key, first(name ORDER BY idx, pos, p, n) AS name, first(kind ORDER BY idx, pos, p, n) AS kind,
+  first(acronym ORDER BY idx, pos, p, n) FILTER (coalesce(acronym, '') <> '') AS acronym FROM named WHERE len(regexp_split_to_array(name, '\\s+')) >= 2 GROUP BY book_id, key)"""
+_AFTER = r"(?:\s*\([A-Z][A-Z0-9&]{1,7}\))?"
+_WAS = _re(mining._ENACTED)
+_SPACED = "' ' || regexp_replace(lower(predicate), '[^a-z0-9_]+', ' ', 'g') || ' '"
+_DUTIES = _ENTITIES + f""",
+bodies AS (SELECT *, regexp_replace(sentence, '\\.$', '') AS body, regexp_extract(regexp_replace(sentence, '\\.$', ''), '^(Under (?:the )?|The\\s+)?', 1) AS lead FROM sents WHERE regexp_matches(sentence, '^[A-Z]')),
+forms AS (SELECT *, substring(body, length(lead) + 1) AS rest FROM bodies UNION ALL SELECT * REPLACE ('' AS lead), body AS rest FROM bodies WHERE starts_with(lead, 'The')),
+starts AS (SELECT *, unnest([name, acronym]) AS start FROM entities),
+begun AS (SELECT f.*, x.key, x.name, x.kind, x.acronym, substring(f.rest, length(x.start) + 1) AS after FROM forms f JOIN starts x ON x.book_id = f.book_id AND x.start IS NOT NULL AND starts_with(f.rest, x.start)
+  AND (length(f.rest) = length(x.start) OR regexp_matches(f.rest[length(x.start) + 1], '[\\s,(]'))),
+told AS (SELECT *, starts_with(lead, 'Under') AS under, CASE WHEN starts_with(lead, 'Under') THEN regexp_extract(after, '^{_AFTER},\\s+(.+)$', 1) ELSE regexp_extract(after, '^{_AFTER}(?:,\\s+[^,]{{3,90}},)?\\s+(.+)$', 1) END AS said FROM begun),
+best AS (SELECT *, row_number() OVER (PARTITION BY book_id, idx, pos ORDER BY length(name) DESC, key) AS r FROM told WHERE said <> ''),
+plain AS (SELECT *, regexp_extract(said, '{_WAS}', 1) AS how, regexp_replace(CASE WHEN regexp_extract(said, '{_WAS}', 1) = 'and' THEN regexp_extract(said, '{_WAS}', 2) ELSE said END, '{_re(mining._ADVERB)}', '') AS p FROM best WHERE r = 1),
+predicates AS (SELECT *, CASE WHEN under THEN said WHEN how = 'to' THEN 'was enacted to ' || regexp_extract(said, '{_WAS}', 2) WHEN (NOT regexp_matches(said, '{_WAS}') OR how = 'and') AND regexp_matches(p, '^(?:{mining.DUTY_VERBS})\\b') THEN p END AS predicate FROM plain),
+duties AS (SELECT book_id, idx, pos, key, name, kind, acronym, regexp_replace(predicate, '[.;:,]+$', '') AS predicate, under, sentence, chapter FROM predicates WHERE len(regexp_split_to_array(predicate, '\\s+')) BETWEEN 4 AND 40
+  AND NOT contains({_SPACED}, ' ' || lower(name) || ' ') AND NOT coalesce(contains({_SPACED}, ' ' || lower(acronym) || ' '), false))"""
+
+
+@query(f"WITH {_ENTITIES} SELECT book_id, key, name, kind, acronym FROM entities")
 def min2_find_entities(spark, sf_dir: str) -> DataFrame:
     return mining.find_entities(mining.sentences(passages.study_passages(law_blocks(spark, sf_dir))))
 
@@ -386,12 +417,12 @@ def _laws(spark, sf_dir: str):
     return e, d, mining.first_duty(d)
 
 
-@query(None)
+@query(f"WITH {_DUTIES} SELECT * FROM duties")
 def min3_find_duties(spark, sf_dir: str) -> DataFrame:
     return _laws(spark, sf_dir)[1]
 
 
-@query(None)
+@query(f"WITH {_DUTIES} SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY idx, pos) AS r FROM duties) WHERE r = 1")
 def min8_first_duty(spark, sf_dir: str) -> DataFrame:
     return _laws(spark, sf_dir)[2]
 
