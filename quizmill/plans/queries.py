@@ -427,7 +427,11 @@ def min8_first_duty(spark, sf_dir: str) -> DataFrame:
     return _laws(spark, sf_dir)[2]
 
 
-@query(None)
+@query(f"""WITH {_DUTIES}, fd AS (SELECT book_id, key, chapter FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY idx, pos) AS r FROM duties) WHERE r = 1),
+e AS (SELECT e.book_id, e.kind, e.key, fd.chapter FROM entities e LEFT JOIN fd ON e.book_id = fd.book_id AND e.key = fd.key),
+pairs AS (SELECT d.book_id, d.idx, d.pos, e.key, row_number() OVER (PARTITION BY d.book_id, d.idx, d.pos ORDER BY (e.chapter IS DISTINCT FROM d.chapter)::INT, md5(md5(d.sentence) || '|' || e.key)) AS r
+  FROM duties d JOIN e ON d.book_id = e.book_id AND d.kind = e.kind AND NOT contains(d.key, e.key) AND NOT contains(e.key, d.key) AND NOT contains(lower(d.sentence), e.key))
+SELECT book_id, idx, pos, list(key ORDER BY r) AS wrong FROM pairs WHERE r <= 3 GROUP BY ALL HAVING count(*) = 3""")
 def qst3_law_distractors(spark, sf_dir: str) -> DataFrame:
     e, d, f = _laws(spark, sf_dir)
     return questions.law_distractors(d, e, f)
@@ -534,7 +538,7 @@ def responses(spark, sf_dir: str) -> DataFrame:
     return s.withColumn("text", F.when(n == 4, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(n == 5, F.lit("sorry")).otherwise(body))
 
 
-@query(None)
+@query(f"WITH {SLICES} SELECT book_id, a || '-' || z AS slice_key, a % 6 <> 5 AS parsed, CASE WHEN a % 6 <> 5 THEN 'Second' END AS second FROM slices")
 def llm7_parse_json_text(spark, sf_dir: str) -> DataFrame:
     v = slices.parse_json_text(F.col("text"))
     return responses(spark, sf_dir).select("book_id", "slice_key", v.isNotNull().alias("parsed"), F.try_variant_get(v, "$.questions[1].stem", "string").alias("second"))
@@ -582,7 +586,9 @@ def llm11_apply_check(spark, sf_dir: str) -> DataFrame:
     return slices.apply_check(d, checks(r)).select("book_id", "slice_key", "pos", "answer")
 
 
-@query(None)
+@query(f"""WITH {SLICES}, n AS (SELECT *, least(12, greatest(2, floor(chars / 3000 + 0.5)))::INT AS wanted, (a % 6 IN (0, 4))::INT AS one, (a % 6 <> 5)::INT AS two FROM slices),
+k AS (SELECT *, one + two AS valid, CASE WHEN one = 1 THEN (a % 2 = 0)::INT + (a % 3 <> 0)::INT ELSE 0 END AS kept FROM n)
+SELECT book_id, a || '-' || z AS slice_key, wanted, valid, kept, greatest(0, wanted - valid) + valid - kept AS dropped FROM k""")
 def llm12_slice_results(spark, sf_dir: str) -> DataFrame:
     r, _, d = _drafts(spark, sf_dir)
     return slices.slice_results(r, d, slices.apply_check(d, checks(r)))
