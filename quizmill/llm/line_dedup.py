@@ -33,12 +33,14 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot_r
     lines = line_hashes(docs, min_chars)
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where((F.col("n") >= min_docs) & (F.col("lo") < F.col("hi")))
     salts = F.ceil(F.col("n") / hot_rows)
-    hits = lines.join(repeated.select("h1", "h2", "n"), ["h1", "h2"]).select("h1", "h2", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), "doc_id", "pos")
+    # written, so that both sides of the join are shuffles of their own and a hot hash can be split
+    repeated = stash(repeated.select("h1", "h2", "n"), "repeated")
+    hits = lines.join(repeated.hint("merge"), ["h1", "h2"]).select("h1", "h2", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"), "doc_id", "pos")
     ranged = hits.repartitionByRange("h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos")
     marked = stash(ranged.withColumn("first", ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(order))), "lines")
     keepers = marked.where("first").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    lost = marked.join(keepers.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
+    lost = marked.join(stash(keepers.select("h1", "h2", "keeper"), "keepers").hint("merge"), ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
@@ -59,12 +61,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot_ro
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`docs` with n_lines, n_dropped and the kept text in `kept`."""
     runs = F.transform(F.split("keep", ","), lambda r: F.sequence(F.split(r, "-")[0].cast("int"), F.split(r, "-")[1].cast("int")))
-    marked = docs.join(bitmaps.select("doc_id", F.flatten(runs).alias("_gone")).hint("merge"), "doc_id", "left")  # grows with the documents: never broadcast
+    marked = docs.join(bitmaps.select("doc_id", F.flatten(runs).alias("__gone")).hint("merge"), "doc_id", "left")  # grows with the documents: never broadcast
     lines = F.split(text_of(), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    counted = marked.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "kept": kept})
-    return counted.drop("_gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.when(F.col("__gone").isNull(), text_of()).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    counted = marked.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "kept": kept})
+    return counted.drop("__gone")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
