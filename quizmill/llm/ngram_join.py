@@ -76,8 +76,8 @@ def _band_keys() -> Column:
 
 
 def _blocks(members: DataFrame, group: str, block: int = BLOCK) -> DataFrame:
-    """`members` (group, id) with pair: every two members of a group meet in one pair of blocks (or are in the same block). A group of at most `block` members is one block; its size is counted with a partial aggregation."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    """`members` (group, id) with pair: every two members of a group meet in one pair of blocks (or are in the same block). A group of at most `block` members is one block; its size is counted with a partial aggregation and written, so that both sides of the join are shuffles of their own and a hot group can be split."""
+    sizes = stash(members.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > 1), "sizes")
     counted = members.join(sizes.hint("merge"), group)
     n = F.ceil(F.col("_n") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
@@ -170,9 +170,10 @@ def components(edges: DataFrame) -> DataFrame:
     current = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stash(large, "large")
+        down = stash(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         following = stash(small, "stars")
         check = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
