@@ -80,12 +80,13 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_ver
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """All rows of `versions` (path, text, more) without text, with blob and spans: all rule versions' findings in the blob, by start, then kind as listed."""
+    """All rows of `versions` (path, text, more) without text, with blob and spans: all rule versions' findings in the blob, by start, then kind as listed. Columns of these two names are replaced."""
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     by_blob = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("all"))
     ordered = F.transform(F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    held = versions.withColumn("blob", blob_id(text_of())).drop("text")
-    return held.join(by_blob.select("blob", ordered.alias("spans")), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
+    by_blob = stash(by_blob.select("blob", ordered.alias("spans")), "findings")  # written, so that a hot blob's rows can be split in the join
+    held = versions.drop("spans").withColumn("blob", blob_id(text_of())).drop("text")
+    return held.join(by_blob.hint("merge"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
 
 
 def joined_spans(spans: Column) -> Column:
