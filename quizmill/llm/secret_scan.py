@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import batches, stash, text_of
+from quizmill.llm.common import stash, text_of
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 BASE_RULES = (
