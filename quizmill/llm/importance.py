@@ -17,6 +17,8 @@ LABELLED_ROWS = 20_000
 #: Weights are raised to this power before the draw: the higher, the nearer the sample is to the k best.
 SHARPNESS = 20.0
 SEED = 11
+#: Histogram bins, and how few rows of a bin are sorted, in the search for the k-th key.
+BINS, SORTED_ROWS = 4096, 10_000
 
 
 def ngram_buckets(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +95,28 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """`rows` with selected: whether the row is among the k largest keys (ties by doc_id). A histogram of 2^16 bins finds the bin of the k-th key; only that bin is sorted."""
-    binned = rows.withColumn("_bin", F.floor(F.least(F.greatest(F.col(key), F.lit(-4096.0)), F.lit(4096.0)) * 8))
-    hist = binned.groupBy("_bin").count().toPandas().sort_values("_bin", ascending=False)
-    above = hist["count"].cumsum() - hist["count"]
-    edge = hist[(above < k)].tail(1)
-    if edge.empty:
-        return binned.withColumn("selected", F.lit(False)).drop("_bin")
-    bin_, room = int(edge["_bin"].iloc[0]), k - int(above[edge.index[0]])
-    if room >= int(edge["count"].iloc[0]):
-        return binned.withColumn("selected", F.col("_bin") >= bin_).drop("_bin")
-    ranked = binned.where(F.col("_bin") == bin_).orderBy(F.col(key).desc(), "doc_id").limit(room).select(key, "doc_id")
-    last = ranked.orderBy(F.col(key), F.col("doc_id").desc()).limit(1).collect()[0]
-    inside = (F.col("_bin") == bin_) & ((F.col(key) > last[0]) | ((F.col(key) == last[0]) & (F.col("doc_id") <= last[1])))
-    return binned.withColumn("selected", (F.col("_bin") > bin_) | inside).drop("_bin")
+    """`rows` with selected: whether the row is among the k largest keys; ties by doc_id, null first; rows equal in both are selected together.
+
+    A histogram finds the bin of the k-th key, another one parts that bin, and so on until it holds few rows; only those are sorted. What comes to the driver does not grow with the input."""
+    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(key)).collect()[0]
+    if k >= n or k <= 0:
+        return rows.withColumn("selected", F.lit(k > 0))
+    room = k
+    while n > SORTED_ROWS and lo < hi:
+        place = F.least(F.floor((F.col(key) - lo) / ((hi - lo) / BINS)), F.lit(BINS - 1))
+        bins = rows.where(F.col(key).between(lo, hi)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        for b in sorted(bins.collect(), key=lambda r: -r["bin"]):
+            if b["n"] >= room:
+                lo, hi, n = b["lo"], b["hi"], b["n"]
+                break
+            room -= b["n"]
+    edge = rows.where(F.col(key).between(lo, hi)).groupBy(key, "doc_id").count().orderBy(F.col(key).desc(), F.col("doc_id").asc_nulls_first()).limit(room).collect()
+    for last in edge:
+        room -= last["count"]
+        if room <= 0:
+            break
+    tied = F.col("doc_id").isNull() if last["doc_id"] is None else F.col("doc_id").isNull() | (F.col("doc_id") <= last["doc_id"])
+    return rows.withColumn("selected", (F.col(key) > last[key]) | ((F.col(key) == last[key]) & tied))
 
 
 def resample(docs: DataFrame, labels: DataFrame, sharpness: float = SHARPNESS) -> DataFrame:
