@@ -26,6 +26,8 @@ ITEMS_PER_BLOCK = 5000
 #: Words in more than this share of the items are left out of the passages, but not where an item would keep fewer than LEAST_WORDS.
 COMMON, LEAST_WORDS = 0.1, 8
 _SLOTS = 20
+#: Windows are compared in blocks: cells of (windows x passages) at a time, vocabulary words summed at a time. They bound a task's memory, however long a text is and however many items there are.
+CELLS, SPAN = 8_000_000, 65_536
 
 
 @dataclass
@@ -175,6 +177,21 @@ def sharing(p: Pieces, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece:
     return np.bincount(which[hit], minlength=len(lo)) >= p.least[piece]
 
 
+def window_blocks(windows: np.ndarray, lo: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """`windows` in order, at most so many at a time, from stretches of SPAN vocabulary words (lo: the place of each window's first one)."""
+    for stretch in np.split(windows, np.flatnonzero(np.diff(lo // SPAN)) + 1):
+        for at in range(0, len(stretch), most):
+            yield stretch[at : at + most]
+
+
+def window_sums(basis: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sums of basis[word[lo[k]:hi[k]]] for windows k, from running sums that begin at the first of them."""
+    start = lo.min(initial=len(word))
+    sums = np.zeros((hi.max(initial=start) - start + 1, basis.shape[1]), np.float32)
+    np.cumsum(basis[word[start : start + len(sums) - 1]], axis=0, out=sums[1:])
+    return sums[hi - start] - sums[lo - start]
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, 64 cells and more at a time in the bits of an integer."""
     places: dict = {}
@@ -210,7 +227,6 @@ def _search(items: Items, basis: np.ndarray):
                 at = np.flatnonzero(word >= 0)
                 if not len(at):
                     continue
-                sums = np.concatenate([np.zeros((1, basis.shape[1]), np.float32), np.cumsum(basis[word[at]], axis=0, dtype=np.float32)])
                 seen = np.concatenate([[0], np.cumsum(word >= 0)])
                 inside = word[at].astype(np.int64)
                 candidates: dict[tuple[int, int], dict[int, float]] = {}
@@ -222,9 +238,9 @@ def _search(items: Items, basis: np.ndarray):
                     last = np.minimum(first + p.width, t.starts[1:][doc])
                     first = np.minimum(first, last)
                     some = np.flatnonzero(seen[last] - seen[first] >= p.least.min())
-                    for block in np.array_split(some, max(1, len(some) // 8192)):
+                    for block in window_blocks(some, seen[first[some]], max(64, CELLS // len(p.vectors))):
                         lo, hi = seen[first[block]], seen[last[block]]
-                        near = _unit(sums[hi] - sums[lo]) @ p.vectors.T
+                        near = _unit(window_sums(basis, inside, lo, hi)) @ p.vectors.T
                         r, c = np.nonzero(near >= COSINE)
                         enough = sharing(p, inside, lo[r], hi[r], c, len(items.vocabulary)) if len(r) else np.zeros(0, bool)
                         for w, piece, cosine in zip(block[r[enough]], c[enough], near[r[enough], c[enough]], strict=True):
@@ -255,7 +271,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     after = None
     while True:
-        block = (items if after is None else items.where(F.col("item_id") > after)).orderBy("item_id", "text").limit(ITEMS_PER_BLOCK).collect()
+        block = (items if after is None else items.where((F.col("item_id") > after[0]) | ((F.col("item_id") == after[0]) & (F.col("text") > after[1])))).orderBy("item_id", "text").limit(ITEMS_PER_BLOCK).collect()
         if not block and found is not None:
             return found
         own = Items.of([(r["item_id"], r["text"]) for r in block])
@@ -264,7 +280,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = rows if found is None else found.unionByName(rows)
         if len(block) < ITEMS_PER_BLOCK:
             return found
-        after = block[-1]["item_id"]
+        after = block[-1]["item_id"], block[-1]["text"]
 
 
 def op9_latent_decontamination(spark, sf_dir: str) -> DataFrame:

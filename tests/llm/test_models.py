@@ -57,6 +57,21 @@ def test_top_k(spark):
         assert got == {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
 
 
+def test_top_k_narrows_bins_and_breaks_ties(spark, monkeypatch):
+    monkeypatch.setattr(importance, "SORTED_ROWS", 20)
+    monkeypatch.setattr(importance, "BINS", 8)
+    rng = random.Random(8)
+    values = [rng.gauss(0, 1) for _ in range(500)] + [1e6, -1e6] + [0.25] * 40
+    rows = [(i if i % 50 else None, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "doc_id long, k double")
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0] is not None, r[0] or 0))
+    for k in (1, 2, 77, 200, 220, 499, 541):
+        last = ordered[k - 1]
+        wanted = [r for r in ordered if r in ordered[:k] or r == last]
+        got = [tuple(r) for r in importance.top_k(df, "k", k).where("selected").select("doc_id", "k").collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
 def test_gumbel_samples_by_weight(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, np.log(3.0)).otherwise(0.0).alias("w"))
     top = importance.top_k(df.withColumn("k", F.col("w") + importance.gumbel(F.col("doc_id"))), "k", 1000).where("selected")
@@ -228,3 +243,28 @@ def test_groups_stay_together_across_batches():
         assert g["k"].nunique() == 1 and g["k"].iloc[0] not in got
         got[g["k"].iloc[0]] += len(g)
     assert dict(got) == {1: 3, 2: 1, 3: 3, 4: 1}
+
+
+def test_window_blocks_cover_all_windows():
+    rng = np.random.default_rng(3)
+    basis = rng.normal(size=(50, 4)).astype(np.float32)
+    word = rng.integers(0, 50, 300_000)
+    lo = np.arange(0, len(word) - 8, 4)
+    some = np.flatnonzero(rng.random(len(lo)) < 0.3)
+    parts = list(decontaminate.window_blocks(some, lo[some], 512))
+    assert np.array_equal(np.concatenate(parts), some) and max(map(len, parts)) <= 512
+    for part in parts[::40]:
+        assert np.ptp(lo[part]) < decontaminate.SPAN
+        exact = np.array([basis[word[a : a + 8]].astype(float).sum(axis=0) for a in lo[part]])
+        assert np.abs(decontaminate.window_sums(basis, word, lo[part], lo[part] + 8) - exact).max() < 1e-3
+    assert list(decontaminate.window_blocks(some[:0], lo[:0], 512)) == [] or all(len(x) == 0 for x in decontaminate.window_blocks(some[:0], lo[:0], 512))
+
+
+def test_items_that_share_an_id_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", 2)
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i * 7919 + 100_003))
+    texts = [" ".join(word(100 * k + j) for j in range(40)) for k in range(5)]
+    bench = spark.createDataFrame([(1, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 1), (1, 7), (2, 7), (3, 7), (4, 9)}
