@@ -27,7 +27,7 @@ ITEMS_PER_BLOCK = 5000
 COMMON, LEAST_WORDS = 0.1, 8
 _SLOTS = 20
 #: Windows are compared in blocks: cells of (windows x passages) at a time, vocabulary words summed at a time. They bound a task's memory, however long a text is and however many items there are.
-CELLS, SPAN = 8_000_000, 65_536
+CELLS, SPAN = 2_000_000, 65_536
 
 
 @dataclass
@@ -177,19 +177,12 @@ def sharing(p: Pieces, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, piece:
     return np.bincount(which[hit], minlength=len(lo)) >= p.least[piece]
 
 
-def window_blocks(windows: np.ndarray, lo: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """`windows` in order, at most so many at a time, from stretches of SPAN vocabulary words (lo: the place of each window's first one)."""
-    for stretch in np.split(windows, np.flatnonzero(np.diff(lo // SPAN)) + 1):
-        for at in range(0, len(stretch), most):
-            yield stretch[at : at + most]
-
-
-def window_sums(basis: np.ndarray, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Sums of basis[word[lo[k]:hi[k]]] for windows k, from running sums that begin at the first of them."""
-    start = lo.min(initial=len(word))
-    sums = np.zeros((hi.max(initial=start) - start + 1, basis.shape[1]), np.float32)
-    np.cumsum(basis[word[start : start + len(sums) - 1]], axis=0, out=sums[1:])
-    return sums[hi - start] - sums[lo - start]
+def running_sums(basis: np.ndarray, word: np.ndarray, at: int) -> np.ndarray:
+    """Row k: the sum of basis[word[at:at + k]], for windows that begin within SPAN words from `at` and have at most PASSAGE_WORDS."""
+    part = word[at : at + SPAN + PASSAGE_WORDS]
+    sums = np.zeros((len(part) + 1, basis.shape[1]), np.float32)
+    np.cumsum(basis[part], axis=0, out=sums[1:])
+    return sums
 
 
 def lcs(a: list, b: list) -> int:
@@ -205,6 +198,19 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
+def windows(p: Pieces, t: Tokens, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a batch that hold enough vocabulary words for some passage of p, in order: text, first word, and the places of their first and next vocabulary words."""
+    step = max(1, p.width // 4)
+    per = np.maximum(1, -(-(t.counts - p.width) // step) + 1)
+    doc = np.repeat(np.arange(len(per)), per)
+    first = t.starts[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
+    last = np.minimum(first + p.width, t.starts[1:][doc])
+    first = np.minimum(first, last)
+    lo, hi = seen[first], seen[last]
+    some = hi - lo >= p.least.min()
+    return doc[some], first[some], lo[some], hi[some]
+
+
 def _search(items: Items, basis: np.ndarray):
     pieces = pieces_of(items, basis)
     long_words = [w.tolist() for w in items.words]
@@ -230,22 +236,21 @@ def _search(items: Items, basis: np.ndarray):
                 seen = np.concatenate([[0], np.cumsum(word >= 0)])
                 inside = word[at].astype(np.int64)
                 candidates: dict[tuple[int, int], dict[int, float]] = {}
-                for p in pieces:
-                    step = max(1, p.width // 4)
-                    per = np.maximum(1, -(-(t.counts - p.width) // step) + 1)
-                    doc = np.repeat(np.arange(len(per)), per)
-                    first = t.starts[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
-                    last = np.minimum(first + p.width, t.starts[1:][doc])
-                    first = np.minimum(first, last)
-                    some = np.flatnonzero(seen[last] - seen[first] >= p.least.min())
-                    for block in window_blocks(some, seen[first[some]], max(64, CELLS // len(p.vectors))):
-                        lo, hi = seen[first[block]], seen[last[block]]
-                        near = _unit(window_sums(basis, inside, lo, hi)) @ p.vectors.T
-                        r, c = np.nonzero(near >= COSINE)
-                        enough = sharing(p, inside, lo[r], hi[r], c, len(items.vocabulary)) if len(r) else np.zeros(0, bool)
-                        for w, piece, cosine in zip(block[r[enough]], c[enough], near[r[enough], c[enough]], strict=True):
-                            key = int(doc[w]), int(p.item[piece])
-                            candidates.setdefault(key, {})[int(first[w] - p.first[piece] - t.starts[key[0]])] = float(cosine)
+                cut = [windows(p, t, seen) for p in pieces]
+                for start in range(0, len(inside), SPAN):
+                    sums = running_sums(basis, inside, start)
+                    for p, (doc, first, lo_all, hi_all) in zip(pieces, cut, strict=True):
+                        most = max(64, CELLS // len(p.vectors))
+                        begin, end = np.searchsorted(lo_all, [start, start + SPAN])
+                        for block in range(begin, end, most):
+                            own = slice(block, min(end, block + most))
+                            lo, hi = lo_all[own], hi_all[own]
+                            near = _unit(sums[hi - start] - sums[lo - start]) @ p.vectors.T
+                            r, c = np.nonzero(near >= COSINE)
+                            enough = sharing(p, inside, lo[r], hi[r], c, len(items.vocabulary)) if len(r) else np.zeros(0, bool)
+                            for w, piece, cosine in zip(block + r[enough], c[enough], near[r[enough], c[enough]], strict=True):
+                                key = int(doc[w]), int(p.item[piece])
+                                candidates.setdefault(key, {})[int(first[w] - p.first[piece] - t.starts[key[0]])] = float(cosine)
                 for (d, i), starts in candidates.items():
                     own, best, tried = t.hashes[t.starts[d] : t.starts[d + 1]], None, []
                     for start, cosine in sorted(starts.items(), key=lambda x: (-x[1], x[0])):

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quizmill.llm import common, decontaminate, importance, ngram_join, queries, toxicity
@@ -245,19 +246,20 @@ def test_groups_stay_together_across_batches():
     assert dict(got) == {1: 3, 2: 1, 3: 3, 4: 1}
 
 
-def test_window_blocks_cover_all_windows():
-    rng = np.random.default_rng(3)
-    basis = rng.normal(size=(50, 4)).astype(np.float32)
-    word = rng.integers(0, 50, 300_000)
-    lo = np.arange(0, len(word) - 8, 4)
-    some = np.flatnonzero(rng.random(len(lo)) < 0.3)
-    parts = list(decontaminate.window_blocks(some, lo[some], 512))
-    assert np.array_equal(np.concatenate(parts), some) and max(map(len, parts)) <= 512
-    for part in parts[::40]:
-        assert np.ptp(lo[part]) < decontaminate.SPAN
-        exact = np.array([basis[word[a : a + 8]].astype(float).sum(axis=0) for a in lo[part]])
-        assert np.abs(decontaminate.window_sums(basis, word, lo[part], lo[part] + 8) - exact).max() < 1e-3
-    assert list(decontaminate.window_blocks(some[:0], lo[:0], 512)) == [] or all(len(x) == 0 for x in decontaminate.window_blocks(some[:0], lo[:0], 512))
+def test_search_does_not_depend_on_the_span(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(700)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((6, 12, 20, 31, 40, 90))]
+    filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, f"{filler(rng.randint(0, 900))} {x} {filler(rng.randint(0, 900))}") for k, x in items for _ in range(3)]
+    own = decontaminate.Items.of(items)
+    basis = np.random.default_rng(1).normal(size=(len(own.vocabulary), 8)).astype(np.float32)
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])
+    run = lambda: pd.concat(decontaminate._search(own, basis)(iter([frame]))).drop(columns="cosine").sort_values(["doc_id", "near_word"], ignore_index=True)
+    expected = run()
+    monkeypatch.setattr(decontaminate, "SPAN", 100)
+    monkeypatch.setattr(decontaminate, "CELLS", 1)
+    assert len(expected) and expected.equals(run())
 
 
 def test_items_that_share_an_id_are_all_compared(spark, monkeypatch):
