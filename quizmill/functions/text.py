@@ -53,6 +53,11 @@ CITATION = "(?i)https?://|www\\.|\\b(?:U\\.S\\.C|C\\.F\\.R|Fed\\. Reg|F\\.\\s?(?
 NOTE_LIKE = "^\\d{1,3}[.)]?\\s+[\"“‘]|\\b(?:1[89]|20)\\d{2}\\b|\\sv\\.\\s"
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with \\b between ASCII words only, whatever other letters the text has; Java counts all letters."""
+    return pattern.replace("\\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
 def js_trim(t: Column) -> Column:
     return F.regexp_replace(t, f"^{WS}+|{WS}+\\z", "")
 
@@ -95,7 +100,7 @@ def strip_leading(t: Column) -> Column:
 
 def clean_definition(t: Column) -> Column:
     """First sentence without "See also", lead-ins, closing marks and an unclosed aside; capitalised."""
-    first = F.coalesce(F.get(split_sentences(F.trim(F.regexp_replace(t, "\\bSee also [^.]+\\.\\s*", ""))), 0), F.lit(""))
+    first = F.coalesce(F.get(split_sentences(F.trim(F.regexp_replace(t, ascii_bounds("\\bSee also [^.]+\\.\\s*"), ""))), 0), F.lit(""))
     tidy = F.trim(F.regexp_replace(F.regexp_replace(first, "(?i)^(?:defined as|known as)\\s+", ""), "[.;:]+\\z", ""))
     tidy = F.regexp_replace(tidy, "^(.+?)[\\s,;:]*\\([^()]*\\z", "$1")
     return F.concat(F.upper(F.substring(tidy, 1, 1)), F.substring(tidy, F.lit(2), F.length(tidy)))
@@ -107,7 +112,7 @@ def plausible_term(t: Column) -> Column:
     return (
         n.between(1, 6) & (F.length(t) >= 3) & ~F.lower(words[0]).isin(NOT_TERMS) & ~t.rlike('[,;:?!<>=“”"]|\\d|percent')
         & ~F.element_at(words, -1).rlike("(?i)^(?:a|an|the|of|to|and|or|is|are)\\z")
-        & ~t.rlike("\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b")
+        & ~t.rlike(ascii_bounds("\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b"))
         & ~(words[0].rlike("(?i)ing\\z") & F.coalesce(F.get(words, 1).rlike("(?i)^(?:a|an|the|every|each|your|our)\\z"), F.lit(False)))
     )
 
@@ -117,8 +122,8 @@ def plausible_definition(d: Column) -> Column:
     return (
         n.between(5, 45)
         & ~d.rlike('[!?]|[,.]["”’](?:\\s|\\z)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{}=]')
-        & ~d.rlike("(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)")
-        & ~d.rlike("(?i)\\b(?:I|I’m|I'm|you|your|we|our)\\b")
+        & ~d.rlike(ascii_bounds("(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)"))
+        & ~d.rlike(ascii_bounds("(?i)\\b(?:I|I’m|I'm|you|your|we|our)\\b"))
     )
 
 
@@ -134,10 +139,10 @@ def definition_in_sentence(s: Column) -> Column:
     body = F.trim(F.regexp_replace(part(3), "^defined as\\s+", ""))
     article = F.regexp_extract(body, "^(?:a|an|the|any|one of the|one of)\\s+(\\S+)", 1)
     plain = verb.isin("is", "are") & ~explicit
-    described = body.rlike(f"^(?:{NOT_DEFINING})\\b")
+    described = body.rlike(ascii_bounds(f"^(?:{NOT_DEFINING})\\b"))
     opinion = F.regexp_replace(F.lower(article), "\\W", "").isin(EVALUATIVE)
-    clause = body.rlike("^\\S+(?:\\s+\\S+){0,8}?\\s+(?:that|which|who|whose|where)\\b")
-    good = F.when(plain, ~described & F.when(article != "", ~opinion).otherwise(clause)).otherwise(~body.rlike("(?i)^that\\b"))
+    clause = body.rlike(ascii_bounds("^\\S+(?:\\s+\\S+){0,8}?\\s+(?:that|which|who|whose|where)\\b"))
+    good = F.when(plain, ~described & F.when(article != "", ~opinion).otherwise(clause)).otherwise(~body.rlike(ascii_bounds("(?i)^that\\b")))
     found = (verb != "") & ~s.rlike("^[\"“‘']|[!?]")
     return _entry(found & good & plausible_term(term) & plausible_definition(body), term, clean_definition(body))
 

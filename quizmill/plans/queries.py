@@ -282,6 +282,24 @@ def txt9_definition_in_sentence(spark, sf_dir: str) -> DataFrame:
     return s.withColumn("d", T.definition_in_sentence(F.col("sentence"))).where("d IS NOT NULL").select("book_id", "idx", "pos", "d.*")
 
 
+@query(f"WITH {SENTENCES} SELECT book_id, idx, pos, upper({_CLEAN.format('sentence')}[1]) || {_CLEAN.format('sentence')}[2:] AS clean FROM sents")
+def txt6_clean_definition(spark, sf_dir: str) -> DataFrame:
+    s = mining.sentences(passages.study_passages(A.blocks(spark, sf_dir)))
+    return s.select("book_id", "idx", "pos", T.clean_definition(F.col("sentence")).alias("clean"))
+
+
+@query(f"WITH {SENTENCES}, terms AS (SELECT book_id, idx, pos, array_to_string(string_split(sentence, ' ')[1:3], ' ') AS term FROM sents) SELECT book_id, idx, pos, term, {_PLAUSIBLE_TERM} AS plausible FROM terms")
+def txt7_plausible_term(spark, sf_dir: str) -> DataFrame:
+    s = mining.sentences(passages.study_passages(A.blocks(spark, sf_dir))).withColumn("term", F.substring_index("sentence", " ", 3))
+    return s.select("book_id", "idx", "pos", "term", T.plausible_term(F.col("term")).alias("plausible"))
+
+
+@query(f"WITH {SENTENCES} SELECT book_id, idx, pos, {_PLAUSIBLE_DEFINITION.format('sentence')} AS plausible FROM sents")
+def txt8_plausible_definition(spark, sf_dir: str) -> DataFrame:
+    s = mining.sentences(passages.study_passages(A.blocks(spark, sf_dir)))
+    return s.select("book_id", "idx", "pos", T.plausible_definition(F.col("sentence")).alias("plausible"))
+
+
 CANDIDATES = FOUND + """,
 candidates AS (SELECT *, trim(regexp_replace(replace(lower(term), '’', ''''), '\\s+', ' ', 'g')) AS key FROM found WHERE chapter NOT IN ('Preface', 'Glossary of terms'))"""
 
