@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.functions.text import CITATION, NOTE_LIKE, NUMBERED, is_study_passage
+from quizmill.functions.text import CITATION, NOTE_LIKE, NUMBERED, ascii_bounds, is_study_passage
 
 
 def load_blocks(blocks: DataFrame, book_id: str, start: int, end: int) -> DataFrame:
@@ -27,7 +27,7 @@ def note_blocks(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("_numbered", (F.col("kind") != "heading") & F.col("text").rlike(NUMBERED))
     near = lambda f, step: F.coalesce((f("idx").over(w) == F.col("idx") + step) & f("_numbered").over(w), F.lit(False))
     in_run = near(F.lag, -1) | near(F.lead, 1)
-    note = F.col("_numbered") & (F.col("text").rlike(CITATION) | (in_run & F.col("text").rlike(NOTE_LIKE)))
+    note = F.col("_numbered") & (F.col("text").rlike(ascii_bounds(CITATION)) | (in_run & F.col("text").rlike(ascii_bounds(NOTE_LIKE))))
     return rows.withColumn("is_note", note).drop("_numbered")
 
 
