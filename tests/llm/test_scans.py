@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -152,6 +152,38 @@ def test_near_links(spark):
     assert {(10 + i, i) for i in range(6)} | {(20, 0)} <= links and len(links) == 7
 
 
+def test_near_links_against_brute_force(spark):
+    """Most near texts are not the least of their bucket; sizes lie on both sides of a level's bound, and one family is larger than a block."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    texts = []
+    for k in range(400):
+        base = [word() for _ in range(rng.choice([6, 25, 60, 90, 120]))]
+        texts.append(" ".join(base))
+        for _ in range(300 if k == 7 else k % 4):
+            texts.append(" ".join(word() if rng.random() < 0.04 else w for w in base))
+    rows = [(i, t) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    prints = [(i, E.fingerprint(t.encode(), E._walk().run(t.encode()))) for i, t in rows]
+    got = {r["fingerprint"]: r for r in E.print_classes(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()}
+    known = sorted({f for _, f in prints})
+    assert set(got) == set(known)
+    pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if E.likeness(a, b) >= E.THRESHOLD]
+    links = Counter(x for p in pairs for x in p)
+    together = sum(got[a]["class_id"] == got[b]["class_id"] for a, b in pairs)
+    assert len(pairs) > 5000 and together >= 0.999 * len(pairs)
+    assert sum(got[f]["n_links"] != links[f] for f in known) <= 0.002 * len(known)
+    assert sum(r["n_links"] for r in got.values()) <= 2 * len(pairs)
+
+
+def test_near_links_in_the_query(spark, docs):
+    rows = docs.where("doc_id < 40").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a row without an id"), (900, "Some words " * 40), (901, "Some words " * 40)], "doc_id long, text string"))
+    out = E.with_classes(E.edit_fingerprints(rows)).collect()
+    by_id = {r["doc_id"]: r for r in out}
+    assert len(out) == rows.count() and by_id[901]["class_id"] == 900 and by_id[None]["class_id"] is None
+
+
 def test_fingerprint_odd(spark, odd, none):
     out = E.edit_fingerprints(odd).collect()
     assert len(out) == odd.count() and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
