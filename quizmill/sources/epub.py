@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.functions.text import resolve_path
+from quizmill.functions.text import fragment_of, resolve_path
 
 # Elements that hold blocks, and elements whose content is not book text.
 _BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table ul".split())
@@ -103,17 +104,95 @@ def _package(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["book_id", "kind", "opf", "pos", "value", "href", "media_type", "properties"])
 
 
-def epub_package(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """meta (book_id, title, author, language), manifest (book_id, item, path, media_type, properties), spine (book_id, pos, item)."""
+def package_rows(parts: DataFrame) -> DataFrame:
+    """The elements of each book's package file, in order."""
     container = member(parts, parts.select("book_id").distinct().withColumn("want", F.lit("META-INF/container.xml")))
     opf = container.select("book_id", F.regexp_extract("text", "full-path\\s*=\\s*[\"']([^\"']+)", 1).alias("want"))
-    rows = member(parts, opf).select("book_id", "path", "text").mapInPandas(_package, "book_id string, kind string, opf string, pos int, value string, href string, media_type string, properties string")
+    return member(parts, opf).select("book_id", "path", "text").mapInPandas(_package, "book_id string, kind string, opf string, pos int, value string, href string, media_type string, properties string")
+
+
+def epub_package(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """meta (book_id, title, author, language), manifest (book_id, item, path, media_type, properties), spine (book_id, pos, item)."""
+    rows = package_rows(parts)
     first = lambda kind: F.min_by(F.when((F.col("kind") == kind) & (F.col("value") != ""), F.col("value")), F.when((F.col("kind") == kind) & (F.col("value") != ""), F.col("pos")))
     meta = rows.groupBy("book_id").agg(F.coalesce(first("title"), F.lit("Untitled book")).alias("title"), first("creator").alias("author"), first("language").alias("language"))
     manifest = rows.where((F.col("kind") == "item") & (F.col("value") != "") & (F.col("href") != "")).select("book_id", F.col("value").alias("item"), resolve_path(F.col("opf"), F.col("href")).alias("path"), "media_type", "properties")
     return meta, manifest, rows.where("kind = 'itemref'").select("book_id", "pos", F.col("value").alias("item"))
 
 
+_ENTITY = re.compile(r"&(?!(?:amp|lt|gt|quot|apos);)\w+;")
+
+
+def _list_links(ol, depth: int) -> Iterator[tuple]:
+    """(depth, title, href) of a nested list; an entry without a link does not deepen what it holds."""
+    for li in (e for e in ol if _local(e.tag) == "li"):
+        label = next((e for name in ("a", "span") for e in li if _local(e.tag) == name), None)
+        title, href = ("", "") if label is None else (_clean("".join(label.itertext())), _attr(label, "href"))
+        if title and href:
+            yield depth, title, href
+        nested = next((e for e in li if _local(e.tag) == "ol"), None)
+        if nested is not None:
+            yield from _list_links(nested, depth + 1 if title and href else depth)
+
+
+def _named(el, name: str):
+    return (e for e in el.iter() if e is not el and _local(e.tag) == name)
+
+
+def _ncx_link(el, depth: int, content) -> Iterator[tuple]:
+    title, src = _clean("".join(t for e in [next(_named(el, "text"), None)] if e is not None for t in e.itertext())), "" if content is None else _attr(content, "src")
+    if title and src:
+        yield depth, title, src
+
+
+def _points(el, depth: int) -> Iterator[tuple]:
+    for point in (e for e in el if _local(e.tag) == "navPoint"):
+        yield from _ncx_link(point, depth, next((e for e in point if _local(e.tag) == "content"), None))
+        yield from _points(point, depth + 1)
+
+
+def member_links(text: str, ncx: bool) -> dict[str, list[tuple]]:
+    """Contents ("toc") and page list ("pages") of a nav document or an NCX as (depth, title, href); empty if it is not well-formed."""
+    root = _xml(_ENTITY.sub(lambda m: unescape(m.group(0)), text))
+    if root is None:
+        return {}
+    if ncx:
+        nav_map = next(_named(root, "navMap"), None)
+        pages = [x for target in _named(root, "pageTarget") for x in _ncx_link(target, 0, next(_named(target, "content"), None))]
+        return {"toc": [] if nav_map is None else list(_points(nav_map, 0)), "pages": pages}
+    navs = list(_named(root, "nav"))
+    typed = lambda name: next((n for n in navs if name in _attr(n, "type").split()), None)
+    toc = typed("toc")
+    lists = {"toc": toc if toc is not None else next(iter(navs), None), "pages": typed("page-list")}
+    return {kind: list(_list_links(ol, 0)) for kind, nav in lists.items() if nav is not None and (ol := next(_named(nav, "ol"), None)) is not None}
+
+
+def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows = frame[["book_id", "path", "text", "ncx"]].itertuples(index=False)
+        out = [(book, path, int(ncx), kind, pos, *link) for book, path, text, ncx in rows for kind, links in member_links(text, ncx).items() for pos, link in enumerate(links)]
+        yield pd.DataFrame(out, columns=["book_id", "source", "ncx", "kind", "pos", "depth", "title", "href"])
+
+
+def nav_links(parts: DataFrame) -> DataFrame:
+    """(book_id, kind, pos, depth, title, path, fragment): contents ("toc") and page list ("pages") of each book. The nav document comes first; the NCX (the one the spine names, else the first by media type) fills each kind that the nav document lacks."""
+    rows = package_rows(parts)
+    item = rows.where((F.col("kind") == "item") & (F.col("value") != "") & (F.col("href") != ""))
+    item = item.select("book_id", "pos", "value", resolve_path(F.col("opf"), F.col("href")).alias("want"), "media_type", F.array_contains(F.split("properties", "\\s+"), "nav").alias("nav"))
+    named = rows.where("kind = 'spine'").groupBy("book_id").agg(F.min_by("value", "pos").alias("toc"))
+    first = lambda df, order: df.groupBy("book_id").agg(F.min_by("want", order).alias("want"))
+    nav = first(item.where("nav"), F.col("pos")).withColumn("ncx", F.lit(False))
+    by_name = F.col("value").eqNullSafe(F.col("toc"))
+    ncx = item.join(named, "book_id", "left").where(by_name | (F.col("media_type") == "application/x-dtbncx+xml"))
+    ncx = first(ncx, F.struct((~by_name).cast("int"), "pos")).withColumn("ncx", F.lit(True))
+    wanted = nav.unionByName(ncx)
+    found = member(parts, wanted.select("book_id", "want").distinct()).join(wanted, ["book_id", "want"])
+    links = found.select("book_id", F.col("want").alias("path"), "text", "ncx").mapInPandas(_links, "book_id string, source string, ncx int, kind string, pos int, depth int, title string, href string")
+    chosen = links.groupBy("book_id", "kind").agg(F.min("ncx").alias("ncx"))
+    links = links.join(chosen, ["book_id", "kind", "ncx"])
+    return links.select("book_id", "kind", "pos", "depth", "title", resolve_path(F.col("source"), F.col("href")).alias("path"), fragment_of(F.col("href")).alias("fragment"))
+
+
 def reject_protected(parts: DataFrame) -> DataFrame:
     """Members of books that are not copy-protected: only fonts may be encrypted, by the two obfuscations."""
 

@@ -23,6 +23,18 @@ def test_tokenize():
     assert (t[3]["box_start"], t[3]["box_end"]) == (3, 4)
 
 
+def test_nav_document_first_and_ncx_for_what_it_lacks(spark):
+    opf = '<package><manifest><item id="n" href="nav.xhtml" properties="scripted nav"/><item id="x" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="x"/></package>'
+    nav = '<html xmlns:epub="http://www.idpf.org/2007/ops"><nav epub:type="landmarks"><ol><li><a href="z">Z</a></li></ol></nav><nav epub:type="toc"><ol><li><a href="t/a.xhtml#s">A&nbsp;1</a><ol><li><a href="t/b.xhtml">B</a></li></ol></li><li><span>Part</span><ol><li><a href="t/c.xhtml">C</a></li></ol></li></ol></nav></html>'
+    ncx = '<ncx><navMap><navPoint><navLabel><text>N</text></navLabel><content src="n.xhtml"/><navPoint><navLabel><text>M</text></navLabel><content src="n.xhtml#m"/></navPoint></navPoint></navMap><pageList><pageTarget><navLabel><text>7</text></navLabel><content src="t/a.xhtml#p7"/></pageTarget></pageList></ncx>'
+    files = {"META-INF/container.xml": '<rootfile full-path="OPS/book.opf"/>', "OPS/book.opf": opf, "OPS/toc.ncx": ncx}
+    rows = [("a", p, t) for p, t in {**files, "OPS/nav.xhtml": nav}.items()] + [("b", p, t) for p, t in files.items()]
+    got = epub.nav_links(spark.createDataFrame(rows, "book_id string, path string, text string")).orderBy("book_id", "kind", "pos").collect()
+    page = ("pages", 0, "7", "OPS/t/a.xhtml", "p7")
+    assert [(r["kind"], r["depth"], r["title"], r["path"], r["fragment"]) for r in got if r["book_id"] == "a"] == [page, ("toc", 0, "A 1", "OPS/t/a.xhtml", "s"), ("toc", 1, "B", "OPS/t/b.xhtml", None), ("toc", 0, "C", "OPS/t/c.xhtml", None)]
+    assert [(r["kind"], r["depth"], r["title"], r["path"], r["fragment"]) for r in got if r["book_id"] == "b"] == [page, ("toc", 0, "N", "OPS/n.xhtml", None), ("toc", 1, "M", "OPS/n.xhtml", "m")]
+
+
 def test_book_without_text_is_refused(spark):
     blocks = spark.createDataFrame([("a", 0, "heading", None), ("b", 0, "heading", None), ("b", 1, "paragraph", "1")], "book_id string, idx int, kind string, page string")
     meta = spark.createDataFrame([("a", "A"), ("b", "B")], "book_id string, title string")
