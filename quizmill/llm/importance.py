@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 from quizmill.llm.common import Tokens, batches, mix, stash
 
 BUCKETS = 1 << 14
-#: At most so many labelled rows choose the target text and the number of documents to keep.
+#: At most so many labelled rows give the target text and the share of documents to draw.
 LABELLED_ROWS = 20_000
-#: Weights are raised to this power before the draw: the higher, the nearer the sample is to the k best.
-SHARPNESS = 20.0
 SEED = 11
 #: Histogram bins, and how few rows of a bin are sorted, in the search for the k-th key.
 BINS, SORTED_ROWS = 4096, 10_000
@@ -60,32 +58,29 @@ def labelled_sample(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def log_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_grams, log_weight (the log of the importance weight p_target / p_raw of the whole text) and quality of sampled labelled rows."""
+def log_weights(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_grams, log_weight (the log of the importance weight p_target / p_raw of the whole text), quality of sampled labelled rows, and the string columns `keep` of docs."""
     sample = stash(labelled_sample(labels), "labelled")
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")  # at most LABELLED_ROWS rows
+    marked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *keep).join(F.broadcast(sample), "doc_id", "left")  # at most LABELLED_ROWS rows
+    marked = marked.withColumn("doc_id", F.col("doc_id").cast("string"))
     ratios = log_ratios(marked)
+    more = "".join(f", `{c}` string" for c in keep)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in batches(frame):
                 grams, owners = ngram_buckets(part["text"])
                 n = np.bincount(owners, minlength=len(part))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": n, "log_weight": np.bincount(owners, ratios[grams], minlength=len(part)), "quality": part["quality"]})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": n, "log_weight": np.bincount(owners, ratios[grams], minlength=len(part)), "quality": part["quality"], **{c: part[c] for c in keep}})
 
-    return stash(marked.mapInPandas(score, "doc_id long, n_grams long, log_weight double, quality int"), "log-weights")
+    scored = marked.mapInPandas(score, f"doc_id string, n_grams long, log_weight double, quality int{more}")
+    return stash(scored.withColumn("doc_id", F.col("doc_id").cast("long")), "log-weights")
 
 
-def threshold(scored: DataFrame) -> float:
-    """The log weight that parts the labelled rows best (mean of both classes' recalls; of equals the lowest); without both classes all stay."""
-    rows = scored.where(F.col("quality").isNotNull()).select("log_weight", "quality").limit(LABELLED_ROWS).toPandas().sort_values("log_weight")
-    good = (rows["quality"] == 1).to_numpy()
-    if not good.any() or good.all():
-        return -np.inf
-    lost, caught = np.cumsum(good) / good.sum(), np.cumsum(~good) / (~good).sum()
-    at = int(np.argmax(caught - lost))
-    after = rows["log_weight"].to_numpy()
-    return float((after[at] + after[min(at + 1, len(after) - 1)]) / 2)
+def good_share(scored: DataFrame) -> float:
+    """The share of the sampled labelled rows that are labelled good; 1 without labels."""
+    share = scored.agg(F.avg(F.when(F.col("quality") == 1, 1.0).when(F.col("quality").isNotNull(), 0.0))).first()[0]
+    return 1.0 if share is None else float(share)
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -119,14 +114,13 @@ def top_k(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.withColumn("selected", (F.col(key) > last[key]) | ((F.col(key) == last[key]) & tied))
 
 
-def resample(docs: DataFrame, labels: DataFrame, sharpness: float = SHARPNESS) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key, selected for every document.
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key, selected (and the string columns `keep`) for every document.
 
-    k is the number of documents whose weight reaches the threshold that parts the labelled rows; the k documents of the largest sharpness * log_weight + Gumbel noise are a sample without replacement with chances in proportion to weight^sharpness. Null and empty texts have weight 1 (log 0); rows with equal ids have equal noise."""
-    scored = log_weights(docs, labels)
-    cut = threshold(scored)
-    k = scored.where(F.col("log_weight") >= cut).count()
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") * sharpness + gumbel(F.col("doc_id")))
+    k = share of the documents, by default the share of good ones among the labelled rows. The k documents of the largest log_weight + Gumbel noise are a sample without replacement with chances in proportion to the weights; another seed draws another sample. Null and empty texts have weight 1 (log 0); rows with equal ids have equal noise; rows equal in key and id are drawn together."""
+    scored = log_weights(docs, labels, keep)
+    k = round((good_share(scored) if share is None else share) * scored.count())
+    keyed = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed))
     return top_k(keyed, "gumbel_key", k).drop("quality")
 
 
