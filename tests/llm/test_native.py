@@ -16,6 +16,16 @@ def key_of(line):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(BLANKS))
 
 
+def run_lengths(gone):
+    out, state = [0], False
+    for g in gone:
+        if g != state:
+            out.append(0)
+            state = g
+        out[-1] += 1
+    return ",".join(map(str, out if state else out[:-1]))
+
+
 def brute_lines(rows):
     held = defaultdict(set)
     for i, t in rows:
@@ -25,14 +35,15 @@ def brute_lines(rows):
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (i is not None and len(held[key_of(x)]) >= 3 and max(held[key_of(x)]) != i)]
-        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        gone = [i is not None and len(held[key_of(x)]) >= 3 and max(held[key_of(x)]) != i for x in lines]
+        kept = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+        out.append((i, len(lines), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), run_lengths(gone)))
     return sorted(map(str, out))
 
 
 def dedup(docs):
     kept = line_dedup.apply_bitmaps(docs.select("doc_id", "text"), line_dedup.keep_bitmaps(docs, hot_rows=2))
-    return sorted(str(tuple(r)) for r in kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256)).collect())
+    return sorted(str(tuple(r)) for r in kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256), "keep").collect())
 
 
 def test_lines_equal_brute_force(spark, docs):
@@ -47,8 +58,30 @@ def test_lines_case_blanks_and_hot_lines(spark):
 
 
 def test_bitmap_runs(spark):
-    df = spark.createDataFrame([([1, 2, 3, 7, 9, 10],), ([],), (None,)], "d array<int>")
-    assert [r[0] for r in df.select(line_dedup.bitmap(F.col("d"))).collect()] == ["1-3,7-7,9-10", "", ""]
+    df = spark.createDataFrame([([1, 2, 3, 7, 9, 10],), ([0],), ([],), (None,)], "d array<int>")
+    assert [r[0] for r in df.select(line_dedup.bitmap(F.col("d"))).collect()] == ["1,3,3,1,1,2", "0,1", "", ""]
+
+
+def test_line_query_equals_sql(spark, sf):
+    q = queries.QUERIES["op4_line_dedup"](spark, sf)
+    cols, expected = duck_rows(queries.ORACLE_SQL["op4_line_dedup"], sf)
+    assert sorted(q.columns) == cols and spark_rows(q) == expected
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    hot = "a line that three documents hold"
+    rows = [(1, f"{hot}\nprecious unrelated second line here"), (1, f"precious first line that nobody has\n{hot}"), (2, hot), (3, hot), (1, f"{hot}\nprecious unrelated second line here")]
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == brute_lines(rows)
+
+
+def test_a_text_of_very_many_lines(spark):
+    import time
+
+    rows = [(i, "\n".join(f"line number {k} of the long document" + (" own" * i if k % 2 else "") for k in range(50_000))) for i in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = dedup(df)
+    assert time.time() - began < 60 and got == brute_lines(rows)
 
 
 def test_lines_odd(spark, odd, none):
