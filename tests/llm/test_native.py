@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from oracle import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
@@ -159,6 +160,47 @@ def test_mixing_meets_targets(spark, odd, docs):
         assert all(abs(target[s] - expected[s]) < 1e-6 and abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 66, 90, 150, 1000])
+def test_permutations(spark, n):
+    df = spark.range(n).crossJoin(spark.range(3).withColumnRenamed("id", "e")).select("id", F.concat(F.lit("s:"), F.col("e").cast("string")).alias("seed"), "e").withColumn("keys", mixing.round_keys(F.col("seed")))
+    to = df.withColumn("to", mixing.permuted(F.col("id"), F.lit(n), F.col("seed"), F.col("keys")))
+    rows = to.withColumn("back", mixing.permuted(F.col("to"), F.lit(n), F.col("seed"), F.col("keys"), inverse=True)).collect()
+    assert all(r["back"] == r["id"] for r in rows)
+    orders = [[r["to"] for r in sorted(rows, key=lambda r: r["id"]) if r["e"] == e] for e in range(3)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    if n >= 50:  # neighbours part, and each epoch has an order of its own
+        assert all(sum(abs(a - b) == 1 for a, b in zip(o, o[1:])) <= 8 for o in orders)
+        assert sum(a == b for a, b in zip(orders[0], orders[1])) <= 8
+
+
+def test_draws_are_multinomial(spark):
+    plans = spark.createDataFrame([(0, "a", 200_000), (1, None, 64), (2, "c", 0)], "rank long, source string, slots long")
+    rows = mixing.shard_counts(plans, 16).collect()
+    n = Counter()
+    for r in rows:
+        n[r["rank"]] += r["n"]
+    assert n == {0: 200_000, 1: 64}
+    chi = sum((r["n"] - 12_500) ** 2 / 12_500 for r in rows if r["rank"] == 0)
+    assert 3 < chi < 40
+    assert all(r["begin"] == sum(x["n"] for x in rows if x["rank"] == r["rank"] and x["out_shard"] < r["out_shard"]) for r in rows)
+
+
+def test_empty_rows_that_repeat_are_rows_of_their_own(spark):
+    rows = [(1, "s", ""), (1, "s", ""), (1, "s", None), (None, None, "a b"), (None, None, "a b"), (None, None, "c d e")]
+    got = mixing.taken_words(spark.createDataFrame(rows, "doc_id long, source string, text string"), block=2).collect()
+    assert sorted(r["size"] for r in got) == [0, 0, 0, 2, 2, 3] and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_mixed_texts_of_rows_without_ids(spark):
+    rows = [(None, "s", "a1 a2 a3"), (None, "s", "b1 b2 b3 b4"), (7, "s", "c1"), (7, "s", "d1 d2"), (8, "t", " ".join(f"e{i}" for i in range(200)))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for block in (1, 2, 64):
+        out = mixing.mixed_texts(df.withColumn("k", F.md5("text")), block, key="k").collect()
+        for r in out:
+            own = next(x[2].split() for x in rows if x[2].split()[0][0] == r["text"].strip()[0])
+            assert r["text"].split() == sorted(r["text"].split(), key=own.index) and set(r["text"].split()) <= set(own)
+
+
 def test_mixed_texts(spark, docs, none):
     out = mixing.mixed_texts(docs, block=64)
     assert out.columns == docs.columns
@@ -166,7 +208,11 @@ def test_mixed_texts(spark, docs, none):
     target = {r["source"]: r["target"] for r in mixing.source_targets(mixing.token_counts(docs)).collect()}
     got = words(out)
     assert all(abs(got[s] - target[s]) <= 1 for s in target)
-    counts = mixing.shard_counts(mixing.mix_blocks(mixing.token_counts(docs), mixing.source_targets(mixing.token_counts(docs)), 64))
-    assert counts.agg(F.sum("blocks")).first()[0] > 0
+    by_shard = {r["out_shard"]: r["n"] for r in mixing.mix_blocks(mixing.token_counts(docs), mixing.source_targets(mixing.token_counts(docs)), 64).where("n > 0").groupBy("out_shard").agg(F.sum("n").alias("n")).collect()}
+    listed = Counter()
+    for r in mixing.taken_words(docs, block=64).collect():
+        for part in filter(None, r["shards"].split(",")):
+            listed[int(part.split(":")[0])] += int(part.split(":")[1])
+    assert listed == by_shard and len(by_shard) > 32
     assert mixing.mixed_texts(none).count() == 0
     assert mixing.taken_words(none).count() == 0
