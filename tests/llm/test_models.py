@@ -231,10 +231,29 @@ def test_minhash_estimates_jaccard():
 
 def test_near_classes_odd(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.where("doc_id IS NOT NULL").collect()]
-    assert near_rows(odd) == brute_classes(rows)
+    assert near_rows(odd.where("doc_id IS NOT NULL")) == brute_classes(rows)
+    got = {(r["doc_id"], r["copy_of"], r["n_copies"]) for r in ngram_join.near_classes(odd).collect() if r["doc_id"] is None}
+    assert got == {(None, None, 1), (None, 0, 4)}  # a text of its own; a null text is a copy of the texts without words
     assert near_rows(none) == []
 
 
+def test_near_classes_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (4, c), (None, c + " more"), (None, c + " more"), (None, " ".join(f"d{i}" for i in range(9)))]
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 1), (None, 4, 1), (None, None, 0)}
+
+
+def test_exact_links_equal_plain_sets():
+    rng = np.random.default_rng(2)
+    pivot = np.unique(rng.integers(0, 1 << 60, 60, dtype=np.uint64))
+    sets = [pivot, *[np.unique(np.concatenate([rng.choice(pivot, rng.integers(30, len(pivot)), replace=False), rng.choice(pivot[:9] + np.uint64(1), rng.integers(0, 9))])) for _ in range(60)]]
+    g = pd.DataFrame({"size": [len(x) for x in sets], "pivot": len(pivot), "difference": [np.setxor1d(x, pivot).tobytes() for x in sets]})
+    a, b = np.triu_indices(len(sets), 1)
+    plain = [5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    assert ngram_join.exact_links(g, a, b).tolist() == plain == ngram_join.exact_links(g, a, b, most=7).tolist() and 0 < sum(plain) < len(plain)
+
+
 def test_groups_stay_together_across_batches():
     import pandas as pd
 
