@@ -27,7 +27,7 @@ _VALUES = BANDS * ROWS
 TOLERANCE = 1e-4
 _STEP = 32
 #: Documents of one block, and bytes of set differences; a larger group is cut into blocks, and pairs of blocks are tasks' work.
-BLOCK, BLOCK_BYTES = 128, 1 << 23
+BLOCK, BLOCK_BYTES = 512, 1 << 23
 
 _RNG = np.random.default_rng(23)
 _MULTIPLY = _RNG.integers(0, 1 << 31, _VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
