@@ -45,6 +45,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def row_key(df: DataFrame) -> Column:
+    """A text that is equal for rows that are equal in all columns and differs for others: 128 bits of hashes of all values and of which are null. Columns of map type cannot be hashed."""
+    columns = [*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns]]
+    return F.concat(F.lower(F.hex(F.xxhash64(*columns))), F.lit("-"), F.lower(F.hex(F.xxhash64(F.lit(7), *columns))))
+
+
 def hash_bucket(col: Column, buckets: int) -> Column:
     """0 .. buckets-1 from the md5 of the value as text (the same in any engine); null counts as the empty text."""
     word = F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 7)

@@ -13,16 +13,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import Tokens, batches
+from quizmill.llm.common import Tokens, batches, text_of
 
 PASSAGE_WORDS = 32
 RANK = 48
 #: Least cosine of a candidate window, least share of an item's words in common order, and what suffices if the answer is there too.
-COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.5, 0.7, 0.55, 0.8
-#: Least share of a passage's vocabulary words that a candidate window holds, in any order.
-SHARED = 0.4
+COSINE, LCS, LCS_WITH_ANSWER, ANSWER = 0.5, 0.6, 0.5, 0.7
 #: Items are compared in blocks of so many, which bounds what is broadcast.
 ITEMS_PER_BLOCK = 5000
+#: Tasks that sketch the corpus at most: each sends a row per vocabulary word that it met.
+SKETCH_TASKS = 4096
 #: Words in more than this share of the items are left out of the passages, but not where an item would keep fewer than LEAST_WORDS.
 COMMON, LEAST_WORDS = 0.1, 8
 _SLOTS = 20
@@ -32,34 +32,55 @@ CELLS, SPAN = 2_000_000, 65_536
 
 @dataclass
 class Items:
-    """A block of benchmark items: word hashes, answers, and a vocabulary of the words that tell them apart."""
+    """A block of benchmark items: word hashes, answers, and a vocabulary (sorted hashes) of the words that tell items apart. slots[p] is the number of vocabulary words whose first _SLOTS bits are below p; most is the largest number that share them."""
 
-    ids: list[int]
+    ids: list[str | None]
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: np.ndarray = field(default=None)
     slots: np.ndarray = field(default=None)
+    most: int = 0
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> "Items":
+    def of(cls, rows: list[tuple[str | None, str]], common: np.ndarray = np.zeros(0, np.uint64)) -> "Items":
+        """`common` are the words that are left out of the vocabulary, but not of items that would keep fewer than LEAST_WORDS."""
         t, last = Tokens([x for _, x in rows], words=True), Tokens([answer_of(x) for _, x in rows], words=True)
         cut = lambda k: [k.hashes[a:b] for a, b in zip(k.starts[:-1], k.starts[1:], strict=True)]
         out = cls([i for i, _ in rows], cut(t), cut(last))
-        seen, n = np.unique(np.concatenate([np.unique(w) for w in out.words] or [np.zeros(0, np.uint64)]), return_counts=True)
-        rare = seen[n <= max(1, COMMON * len(rows))]
-        kept = [w if np.isin(w, rare).sum() < LEAST_WORDS else w[np.isin(w, rare)] for w in out.words]
-        out.vocabulary = np.unique(np.concatenate([*kept, np.zeros(0, np.uint64)]))
-        out.slots = np.full(1 << _SLOTS, -1, np.int32)
-        for i, h in enumerate(out.vocabulary):
-            out.slots[int(h) >> (64 - _SLOTS)] = i  # of words in one slot the last is kept; the others are not in `index`
+        rare = ~np.isin(t.hashes, common)
+        enough = np.bincount(t.owners, rare, minlength=len(rows)) >= LEAST_WORDS
+        out.vocabulary = np.unique(t.hashes[rare | ~enough[t.owners]])
+        out.slots = np.concatenate([[0], np.cumsum(np.bincount((out.vocabulary >> np.uint64(64 - _SLOTS)).astype(np.int64), minlength=1 << _SLOTS))]).astype(np.int32)
+        out.most = int(np.diff(out.slots).max(initial=0))
         return out
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word, -1 if it is not in the vocabulary."""
-        i = self.slots[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-        hit = np.flatnonzero(i >= 0)
-        i[hit[self.vocabulary[i[hit]] != hashes[hit]]] = -1
-        return i
+        out = np.full(len(hashes), -1, np.int32)
+        slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        at = np.flatnonzero(self.slots[slot + 1] > self.slots[slot])
+        lo, hi = self.slots[slot[at]], self.slots[slot[at] + 1]
+        for step in range(self.most):
+            here = lo + step < hi
+            at, lo, hi = at[here], lo[here], hi[here]
+            hit = self.vocabulary[lo + step] == hashes[at]
+            out[at[hit]] = lo[hit] + step
+        return out
+
+
+def _item_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for part in batches(frame):
+            t = Tokens(list(part["text"]), words=True)
+            own = np.unique(np.stack([t.owners.astype(np.uint64), t.hashes]), axis=1)[1] if len(t.hashes) else t.hashes
+            yield pd.DataFrame({"word": own.view(np.int64)})
+
+
+def common_words(items: DataFrame) -> np.ndarray:
+    """Hashes of the words in more than COMMON of all items (and in two at least): at most 1 / COMMON times the mean number of words of an item."""
+    counted = items.select("text").mapInPandas(_item_words, "word long").groupBy("word").count()
+    found = counted.where(F.col("count") > max(1.0, COMMON * items.count())).select("word").toPandas()
+    return found["word"].to_numpy(np.int64).view(np.uint64)
 
 
 def answer_of(text: str) -> str:
@@ -68,10 +89,11 @@ def answer_of(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def _sketch(items: Items, test: np.ndarray):
-    """Per task: for each vocabulary word the passages that hold it and its row of (C^T C) test, C being passages by words."""
+def _sketch(shipped):
+    """Per task: for each vocabulary word the passages that hold it and its row of (C^T C) test, C being passages by words. `shipped` broadcasts the items and the test matrix."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, test = shipped.value
         m = len(items.vocabulary)
         y, df, total = np.zeros((m, test.shape[1])), np.zeros(m, np.int64), 0
         for frame in frames:
@@ -109,7 +131,8 @@ def latent_basis(docs: DataFrame, items: Items, rank: int = RANK) -> np.ndarray:
     if not m:
         return np.zeros((0, rank), np.float32)
     test = np.random.default_rng(17).normal(size=(m, rank)).astype(np.float32)
-    parts = docs.select("text").mapInPandas(_sketch(items, test), "word long, df long, row array<float>")
+    shipped = docs.sparkSession.sparkContext.broadcast((items, test))  # bounded by ITEMS_PER_BLOCK
+    parts = docs.select("text").coalesce(SKETCH_TASKS).mapInPandas(_sketch(shipped), "word long, df long, row array<float>")
     summed = parts.groupBy("word").agg(F.sum("df").alias("df"), *[F.sum(F.col("row")[i].cast("double")).alias(f"y{i}") for i in range(rank)]).toPandas().set_index("word")
     df, y = np.zeros(m + 1), np.zeros((m + 1, rank))
     df[summed.index] = summed["df"]
@@ -133,7 +156,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """The items' passages of one width: latent vectors, item numbers, first words, how many vocabulary words a window must share, and the (passage, word) pairs, sorted."""
+    """The items' passages of one width: latent vectors, item numbers, first words, how many vocabulary words a window must share, and the (passage, word) pairs, sorted.
+
+    What must be shared follows from what is accepted in the end: where LCS_WITH_ANSWER of an item's words come in order, a passage has that share of its words in the text; at worst all its words outside the vocabulary are among them, and a quarter of the passage lies outside the window."""
 
     width: int
     vectors: np.ndarray
@@ -161,7 +186,8 @@ def pieces_of(items: Items, basis: np.ndarray) -> list[Pieces]:
                 rows.append(basis[inside].sum(axis=0))
                 own.append(i)
                 first.append(a)
-                least.append(max(1, int(np.ceil(SHARED * len(pairs[-1])))))
+                wide = min(width, n)
+                least.append(max(1, int((LCS_WITH_ANSWER - 0.25) * wide) - (wide - len(pairs[-1]))))
         if rows:
             out.append(Pieces(width, _unit(np.array(rows)), np.array(own), np.array(first), np.array(least), np.concatenate(pairs)))
     return out
@@ -211,20 +237,26 @@ def windows(p: Pieces, t: Tokens, seen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[some], first[some], lo[some], hi[some]
 
 
-def _search(items: Items, basis: np.ndarray):
-    pieces = pieces_of(items, basis)
-    long_words = [w.tolist() for w in items.words]
-    answers = [w.tolist() for w in items.answers]
+def settle(item: list, answer: list, words: np.ndarray, start: int) -> tuple[float, float, int]:
+    """Share of the item's words and of its answer's that come in order in the text about `start`, and where that span begins."""
+    n = len(item)
+    a = max(0, start - n // 4)
+    span = words[a : max(a, start + n + n // 4 + 1)].tolist()
+    held = set(span)
+    if sum(x in held for x in item) < LCS_WITH_ANSWER * n:
+        return 0.0, 0.0, a  # no more words can come in order than come at all
+    share = lcs(item, span) / max(1, n)
+    return share, lcs(answer, span) / max(1, len(answer)) if share >= LCS_WITH_ANSWER else 0.0, a
+
 
-    def settle(words: np.ndarray, i: int, start: int) -> tuple[float, float, int]:
-        n = len(long_words[i])
-        a = max(0, start - n // 4)
-        span = words[a : max(a, start + n + n // 4 + 1)].tolist()
-        share = lcs(long_words[i], span) / max(1, n)
-        found = lcs(answers[i], span) / max(1, len(answers[i])) if share >= LCS_WITH_ANSWER else 0.0
-        return share, found, a
+def _search(shipped, keep: tuple[str, ...] = ()):
+    """`shipped` broadcasts the items and the basis."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, basis = shipped.value
+        pieces = pieces_of(items, basis)
+        long_words = [w.tolist() for w in items.words]
+        answers = [w.tolist() for w in items.answers]
         for frame in frames:
             out = []
             for part in batches(frame, chars=500_000):
@@ -257,35 +289,39 @@ def _search(items: Items, basis: np.ndarray):
                         if any(abs(start - x) <= len(long_words[i]) // 8 for x in tried):
                             continue  # the span reaches a quarter of the item beyond either end: nearly the same span
                         tried.append(start)
-                        share, found, a = settle(own, i, start)
+                        share, found, a = settle(long_words[i], answers[i], own, start)
                         if (share >= LCS or (share >= LCS_WITH_ANSWER and found >= ANSWER)) and (best is None or share > best[0]):
                             best = (share, found, a, cosine)
                     if best:
-                        out.append((part["doc_id"].iloc[d], items.ids[i], best[3], best[0], best[1], best[2]))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs", "answer", "near_word"]).astype({"doc_id": "Int64"})
+                        out.append((part["doc_id"].iloc[d], items.ids[i], best[3], best[0], best[1], best[2], *(part[c].iloc[d] for c in keep)))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs", "answer", "near_word", *keep])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, near_word): documents that hold a benchmark item, word for word or paraphrased; near_word is about where.
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer, near_word, and the string columns `keep` of docs): documents that hold a benchmark item, word for word or paraphrased; near_word is about where.
 
-    Whole texts are searched; items are taken in blocks of ITEMS_PER_BLOCK, each with its own passes. Null and empty texts hold nothing, items without words are held by none, repeated rows are found as often as they come."""
-    found = None
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    Whole texts are searched; items are taken in blocks of ITEMS_PER_BLOCK, each with its own latent space and passes; which words are common is counted over all items. Null and empty texts hold nothing, items without words are held by none, items without id are searched like others, repeated rows are found as often as they come."""
+    spark, found = docs.sparkSession, None
+    items = benchmark.select("item_id", text_of().alias("text")).distinct()
+    place = F.struct(F.col("item_id").isNotNull().alias("known"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text", place.alias("place"))
+    common = common_words(items)
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    more = "".join(f", `{c}` string" for c in keep)
     after = None
     while True:
-        block = (items if after is None else items.where((F.col("item_id") > after[0]) | ((F.col("item_id") == after[0]) & (F.col("text") > after[1])))).orderBy("item_id", "text").limit(ITEMS_PER_BLOCK).collect()
-        if not block and found is not None:
-            return found
-        own = Items.of([(r["item_id"], r["text"]) for r in block])
-        basis = latent_basis(texts, own)
-        rows = texts.mapInPandas(_search(own, basis), "doc_id long, item_id long, cosine double, lcs double, answer double, near_word long")
-        found = rows if found is None else found.unionByName(rows)
+        rest = items if after is None else items.where(F.col("place") > F.struct(*[F.lit(v) for v in after]))
+        block = rest.orderBy("place").limit(ITEMS_PER_BLOCK).collect()
+        if block or found is None:
+            own = Items.of([(r["item_id"], r["text"]) for r in block], common)
+            shipped = spark.sparkContext.broadcast((own, latent_basis(texts, own)))  # bounded by ITEMS_PER_BLOCK
+            rows = texts.mapInPandas(_search(shipped, keep), f"doc_id string, item_id string, cosine double, lcs double, answer double, near_word long{more}")
+            found = rows if found is None else found.unionByName(rows)
         if len(block) < ITEMS_PER_BLOCK:
-            return found
-        after = block[-1]["item_id"], block[-1]["text"]
+            return found.withColumns({"doc_id": F.col("doc_id").cast("long"), "item_id": F.col("item_id").cast("long")})
+        after = tuple(block[-1]["place"])
 
 
 def op9_latent_decontamination(spark, sf_dir: str) -> DataFrame:

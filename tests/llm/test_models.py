@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -268,13 +269,13 @@ def test_groups_stay_together_across_batches():
 def test_search_does_not_depend_on_the_span(monkeypatch):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(700)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((6, 12, 20, 31, 40, 90))]
+    items = [(str(k), " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((6, 12, 20, 31, 40, 90))]
     filler = lambda n: " ".join(rng.choice(words) for _ in range(n))
     rows = [(k, f"{filler(rng.randint(0, 900))} {x} {filler(rng.randint(0, 900))}") for k, x in items for _ in range(3)]
     own = decontaminate.Items.of(items)
     basis = np.random.default_rng(1).normal(size=(len(own.vocabulary), 8)).astype(np.float32)
     frame = pd.DataFrame(rows, columns=["doc_id", "text"])
-    run = lambda: pd.concat(decontaminate._search(own, basis)(iter([frame]))).drop(columns="cosine").sort_values(["doc_id", "near_word"], ignore_index=True)
+    run = lambda: pd.concat(decontaminate._search(SimpleNamespace(value=(own, basis)))(iter([frame]))).drop(columns="cosine").sort_values(["doc_id", "near_word"], ignore_index=True)
     expected = run()
     monkeypatch.setattr(decontaminate, "SPAN", 100)
     monkeypatch.setattr(decontaminate, "CELLS", 1)
@@ -289,3 +290,42 @@ def test_items_that_share_an_id_are_all_compared(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(texts)], "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(0, 1), (1, 7), (2, 7), (3, 7), (4, 9)}
+
+
+def test_vocabulary_lookup_is_exact(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_SLOTS", 6)  # many words in a slot
+    rows = [(str(k), " ".join(f"word{k * 50 + j}" for j in range(50))) for k in range(60)]
+    own = decontaminate.Items.of(rows)
+    t = common.Tokens([x for _, x in rows] + ["none of these here"], words=True)
+    at = own.index(t.hashes)
+    assert len(own.vocabulary) == 3000 and (own.vocabulary[at[:3000]] == t.hashes[:3000]).all() and (at[3000:] == -1).all()
+
+
+def test_common_words_are_counted_over_all_items(spark, monkeypatch):
+    texts = [f"the common words of item {chr(97 + k % 26)}{k} " + " ".join(f"own{k}x{j}" for j in range(12)) for k in range(40)]
+    bench = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(texts)], "doc_id long, text string")
+    find = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    whole = find()
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", 7)
+    assert whole == find() == {(k, k if k else None) for k in range(40)}
+
+
+def test_reworded_items_are_found(spark, sf, docs):
+    """One word in five is another, and two neighbouring stretches change places."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rng = random.Random(12)
+    clean = [r["text"].split() for r in docs.where("length(text) > 400").orderBy("doc_id").limit(40).collect()]
+    pool = [w for t in clean for w in t]
+    items = [(r["item_id"], r["text"].split()) for r in bench.orderBy("item_id").limit(40).collect()]
+    rows = []
+    for k, (_, words) in enumerate(items):
+        new = [rng.choice(pool) if rng.random() < 0.2 else w for w in words]
+        at = rng.randrange(max(1, len(new) - 6))
+        new[at : at + 6] = new[at + 3 : at + 6] + new[at : at + 3]
+        host = clean[k % len(clean)]
+        rows.append((k, " ".join(host[:60] + new + host[60:])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    hit = sum((k, i) in found for k, (i, _) in enumerate(items))
+    print("reworded items found:", hit, "of", len(items))
+    assert hit >= 0.9 * len(items)
