@@ -1,42 +1,53 @@
 """A training corpus from `documents`: quality, near duplicates, benchmark leaks, source weights, shards.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; run() writes each result as Parquet in the shared folder and reads it again. All stages but the last return the columns of `documents`."""
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; run() writes each result as Parquet in the shared folder and reads it again. All stages but the last return the columns of `documents`.
+
+Stages decide by row, not by doc_id: a row is known by a hash of all its columns, so rows that share a doc_id, or have none, are told apart. Rows that are equal in every column are decided alike."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import stash
+from quizmill.llm.common import row_key, stash
 from quizmill.llm.decontaminate import contaminated
 from quizmill.llm.importance import resample
 from quizmill.llm.mixing import mixed_texts
 from quizmill.llm.ngram_join import near_classes
 from quizmill.llm.sharding import shard_rows
 
+_ROW = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_ROW, row_key(docs))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling selects; labelled rows of the labels table set the target."""
-    chosen = resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("selected").select(F.col("doc_id").alias("__id"))
-    return docs.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows = _keyed(docs)
+    chosen = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=(_ROW,)).where("selected").select(_ROW)
+    return rows.join(chosen.hint("merge"), _ROW, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each class of near copies; of rows that repeat a doc_id one; rows without doc_id stay."""
-    gone = near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class of near copies: that of the least doc_id (none: last), then of the least row hash."""
+    rows = _keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW)
+    stays = near_classes(rows, keep=(_ROW,)).groupBy("group").agg(F.min(order).alias("first")).select(f"first.{_ROW}")
+    return rows.join(stays.hint("merge"), _ROW, "left_semi").dropDuplicates([_ROW]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = _keyed(docs)
+    leaks = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(_ROW,)).select(_ROW).distinct()
+    return rows.join(leaks.hint("merge"), _ROW, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, a row for each document and epoch."""
-    return mixed_texts(docs)
+    """The words that the mix takes: a row for each document, epoch and output shard of the draw."""
+    return mixed_texts(_keyed(docs), key=_ROW).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
