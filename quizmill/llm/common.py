@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,6 +195,24 @@ def shingles(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), begins
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """`df` with the string column text as zlib-packed UTF-8 in `packed` (binary): for texts that must be shuffled. All other columns must be strings or never null."""
+    kept = [c for c in df.columns if c != "text"]
+
+    def run(frames: Iterator) -> Iterator:
+        for frame in frames:
+            out = frame[kept].copy()
+            out["packed"] = [zlib.compress(t.encode(), 1) for t in frame["text"]]
+            yield out
+
+    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept], "packed binary"])
+    return df.select(*kept, "text").mapInPandas(run, schema)
+
+
+def unpacked(data: bytes) -> str:
+    return zlib.decompress(data).decode()
+
+
 def batches(frame, rows: int = 256, chars: int = 1_000_000) -> Iterator:
     """Slices of a pandas frame with a column `text`: at most so many rows, and few rows where texts are long."""
     lengths = frame["text"].str.len().fillna(0).to_numpy()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import stash, text_of
+from quizmill.llm.common import packed, stash, text_of, unpacked
 
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 BASE_RULES = (
@@ -63,22 +63,37 @@ def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rule_versions: l
 
 
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = None
     for frame in frames:
-        rows = [(blob, int(v), find_spans(text, RULE_VERSIONS[int(v)])) for blob, text, todo in zip(frame["blob"], frame["text"], frame["todo"], strict=True) for v in todo]
+        rows = []
+        for blob, data, todo in zip(frame["blob"], frame["packed"], frame["todo"], strict=True):
+            if blob == last:
+                continue  # a repeated row: they come one after another
+            last, text = blob, unpacked(data)
+            rows += [(blob, int(v), find_spans(text, RULE_VERSIONS[int(v)])) for v in todo]
         yield pd.DataFrame(rows, columns=["blob", "rule_version", "spans"])
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_versions: tuple[int, ...] = (1, 2)) -> DataFrame:
     """New ledger rows: blob, rule_version, spans. `versions` has path and text (any history: a path may come many times).
 
-    Each unseen blob is read from one of the paths that hold it, so a group of copies is scanned once; rows are moved by path, never by blob, so a hot blob does not fill a task. Null texts are empty texts; a null path is a path; repeated rows are scanned once."""
+    Each unseen blob is read from one of the paths that hold it, so a group of copies is scanned once; rows are moved by path and blob, packed, so a hot blob does not fill a task. Null texts are empty texts; a null path is a path; repeated rows are scanned once."""
     addressed = versions.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text_of().alias("text")).withColumn("blob", blob_id(F.col("text")))
-    todo = unseen_blobs(addressed.select("path", "blob"), ledger, list(rule_versions))
-    texts = addressed.withColumnRenamed("blob", "_blob").join(todo.hint("merge"), (F.col("path") == F.col("holder")) & (F.col("_blob") == F.col("blob")))
-    found = texts.select("blob", "text", "todo").mapInPandas(_scan, f"blob string, rule_version int, spans {_SPAN}")
+    todo = unseen_blobs(addressed.select("path", "blob"), ledger, list(rule_versions)).withColumnsRenamed({"blob": "_blob", "holder": "_path"})
+    texts = packed(addressed).join(todo.hint("merge"), (F.col("path") == F.col("_path")) & (F.col("blob") == F.col("_blob")))
+    found = texts.select("blob", "packed", "todo").mapInPandas(_scan, f"blob string, rule_version int, spans {_SPAN}")
     return found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
 
 
+def scan_history(runs: list[tuple[DataFrame, tuple[int, ...]]]) -> DataFrame:
+    """The ledger after some runs, each over (versions so far, rule versions so far). A run scans the pairs that the ledger does not hold yet; what it finds is written and added."""
+    ledger = None
+    for versions, rules in runs:
+        new = stash(scan_versions(versions, ledger, rules), "secret-ledger")
+        ledger = new if ledger is None else ledger.unionByName(new)
+    return ledger
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame) -> DataFrame:
     """All rows of `versions` (path, text, more) without text, with blob and spans: all rule versions' findings in the blob, by start, then kind as listed. Columns of these two names are replaced."""
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
@@ -95,9 +110,10 @@ def joined_spans(spans: Column) -> Column:
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Two runs, as in an archive that grows: the first has half of the versions and rule version 1, the second all versions and both. The second scans what the first has not; all documents get their findings from the ledger of both."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
-    ledger = stash(scan_versions(docs), "secret-ledger")
-    found = findings_by_path(docs, ledger)
+    early = docs.where(F.pmod(F.xxhash64("path"), F.lit(2)) == 0)
+    found = findings_by_path(docs, scan_history([(early, (1,)), (docs, (1, 2))]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin([kind for kind, *_ in BASE_RULES]))
     return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
