@@ -1,6 +1,6 @@
 """WARC archives with revisit records, and a capture index merged from locally sorted runs.
 
-Archives are written by Spark's text sink (records end with CRLF CRLF, so the sink's line separator makes well-formed files) and read back whole, each file a bounded number of records."""
+Archives are written by Spark's text sink (records end with CRLF CRLF, so the sink's line separator makes well-formed files) and read back whole; how many there are follows from the payloads' bytes. The sink packs a file as one gzip stream, so a record's offset counts in the unpacked archive."""
 
 from __future__ import annotations
 
@@ -15,20 +15,26 @@ from pyspark.sql import functions as F
 from quizmill.llm.common import scratch_path, stash
 
 LEAST_REVISIT_BYTES = 100
-RECORDS_PER_FILE = 1000
+#: Payload bytes of an archive, on average, and captures that one task merges, on average.
+ARCHIVE_BYTES, MERGE_ROWS = 1 << 24, 500_000
 _END = "\r\n\r\n"
-_INDEX = "url_key string, timestamp string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long"
+_INDEX = "url_key string, timestamp string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, place long"
 
 
-def record_kinds(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_digest, payload_bytes, refers_to: of equal payloads of 100 bytes or more, all but the smallest page_id refer to it.
+def record_kinds(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """page_id, url, html, payload_digest, payload_bytes, refers_to: of equal payloads of 100 bytes or more, all but the smallest page_id refer to it. Dealt by page over as many partitions as there will be archives.
 
-    Digests are counted before they are joined, with a partial aggregation; only digests on two page ids or more are joined back."""
+    Digests meet without their payloads: the table of (page, digest) is written, counted with a partial aggregation and joined by digest, where a hot digest can be split; payloads move once, by page."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html")).withColumns({"payload_digest": F.sha2("html", 256), "payload_bytes": F.octet_length("html").cast("long")})
-    groups = rows.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("origin"), F.max("page_id").alias("other")).where(F.col("origin") < F.col("other"))
-    joined = rows.join(groups.select("payload_digest", "origin").hint("merge"), "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("origin"), F.col("origin"))).drop("origin")
+    slim = stash(rows.select("page_id", "payload_digest", "payload_bytes"), "payloads")
+    groups = slim.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("origin"), F.max("page_id").alias("other")).where(F.col("origin") < F.col("other"))
+    groups = stash(groups.select("payload_digest", "origin"), "shared-payloads")
+    revisits = slim.join(groups.hint("merge"), "payload_digest").where(F.col("page_id") != F.col("origin")).distinct()
+    archives = max(1, -(-int(slim.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]) // archive_bytes))
+    marks = revisits.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("origin").alias("refers_to"))
+    same = (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    return rows.repartition(archives, "page_id", "payload_digest").join(marks.repartition(archives, "_page", "_digest").hint("merge"), same, "left").drop("_page", "_digest")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -64,10 +70,10 @@ def capture_date(page_id: Column) -> Column:
     return F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce(page_id, F.lit(0)) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzipped WARC files of at most records_per_file records."""
-    records = record_kinds(pages).select(warc_record(capture_date(F.col("page_id"))).alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Gzipped WARC files of about archive_bytes of payload each."""
+    records = record_kinds(pages, archive_bytes).select(warc_record(capture_date(F.col("page_id"))).alias("value"))
+    records.write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def parse_archive(name: str, data: bytes) -> Iterator[tuple]:
@@ -110,13 +116,18 @@ def _index_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                     raise ValueError(f"{name}: payload at {offset} does not match its digest")
                 run.append((url_key(head.get("WARC-Target-URI")), head["WARC-Date"], _page(head["WARC-Record-ID"]), head["WARC-Type"], _page(head.get("WARC-Refers-To")), digest, size, name.rsplit("/", 1)[-1], offset))
-            run.sort(key=lambda r: (r[0], r[1]))
-            out = pd.DataFrame(run, columns=columns)
+            run.sort(key=_capture_order)
+            out = pd.DataFrame([(*r, i) for i, r in enumerate(run)], columns=columns)
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
+def _capture_order(row: tuple) -> tuple:
+    """URL key, timestamp, page (none: first)."""
+    return row[0], row[1], -1 if pd.isna(row[2]) else row[2]
+
+
 def capture_runs(spark, path: str) -> DataFrame:
-    """The archives' index lines, each archive a run sorted by URL key and timestamp; payloads are checked against their digests."""
+    """The archives' index lines, each archive a run sorted by URL key and timestamp, numbered in `place`; payloads are checked against their digests."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInPandas(_index_rows, _INDEX)
 
@@ -161,29 +172,30 @@ class LoserTree:
 
 
 def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    runs: dict[tuple, list] = {}
-    columns = None
+    """Rows come run by run, each in its own order; the tree takes them from all runs at once."""
+    runs, columns, name = [], None, None
     for frame in frames:
         columns = list(frame.columns)
         for row in frame.itertuples(index=False, name=None):
-            runs.setdefault(row[7], []).append(row)
-    if not runs:
-        return
-    key = lambda r: (r[0], r[1], -1 if pd.isna(r[2]) else r[2])
-    # a run's rows come as the shuffle's blocks do: in order inside a block, so a stable sort has little to do
-    ordered = [sorted(run, key=key) for _, run in sorted(runs.items())]
-    merged, out = LoserTree(ordered, key), []
-    for row in merged:
+            if row[7] != name:
+                name = row[7]
+                runs.append([])
+            runs[-1].append(row)
+    out = []
+    for row in LoserTree(runs, _capture_order):
         out.append(row)
         if len(out) == 10_000:
             yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
             out = []
-    yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+    if out:
+        yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
-    """All captures, globally ordered by URL key and timestamp: ranges of (URL key, timestamp, page) go to tasks, so a hot URL is split by time; each task merges its parts of the runs with a loser tree."""
-    return runs.repartitionByRange("url_key", "timestamp", "page_id").mapInPandas(_merge, _INDEX)
+def merged_index(runs: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """All captures, globally ordered by URL key, timestamp and page: ranges of these, of merge_rows captures each on average, go to tasks, so a hot URL is split by time. A shuffle does not keep the order of its blocks, so Spark's own (spilling) sort puts each task's pieces of runs in place again; a loser tree merges them."""
+    ranges = max(1, -(-runs.count() // merge_rows), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id").sortWithinPartitions("archive", "place")
+    return dealt.mapInPandas(_merge, _INDEX).drop("place")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
