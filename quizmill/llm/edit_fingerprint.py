@@ -1,6 +1,6 @@
 """Randomised edit embedding: fingerprints whose Hamming likeness follows edit distance.
 
-A shared random walk reads the bytes of a text: at step j it emits the byte it stands on and moves on if r_j(byte) is 1. Texts that differ by few edits fall into step again after each one, so their step strings agree almost everywhere. Fingerprints sample bits of the step string at shared positions; bands of those bits find candidates, and the whole fingerprints verify them."""
+A shared random walk reads the characters of a text (ASCII as they are, others hashed to 128 symbols): at step j it emits the symbol it stands on and moves on if r_j(symbol) is 1. Texts that differ by few edits fall into step again after each one, so their step strings agree almost everywhere. Fingerprints sample bits of the step string at shared positions; bands of those bits find candidates, and the whole fingerprints verify them."""
 
 from __future__ import annotations
 
@@ -8,23 +8,25 @@ import hashlib
 import itertools
 import math
 import operator
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.llm import ngram_join
-from quizmill.llm.common import stash
+from quizmill.llm.common import packed, stash, text_of, unpacked
 
 #: Steps after which the walk's random bits r_j repeat.
 PERIOD = 1024
 SAMPLES = 256
 #: Likeness from which two fingerprints are linked, and the chance that the bands miss a pair at it.
 THRESHOLD = 0.8
-MISS = 1e-3
+MISS = 0.02
 _LEAST_LEVEL = 4
 
 
@@ -80,7 +82,7 @@ def fingerprint(data: bytes, states: np.ndarray) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of steps that agree. Bits agree by chance half the time, which is taken off; texts of which one is more than four times the other's steps have 0."""
+    """0 to 1: the share of steps that agree. Bits agree by chance half the time, which is taken off; texts whose levels differ by two or more, of which one has more than twice the other's steps and so less than half in common, have 0."""
     if a == b:
         return 1.0
     (sa, la, *ha), (sb, lb, *hb) = a.split(":"), b.split(":")
@@ -99,6 +101,12 @@ def likeness(a: str, b: str) -> float:
     return min(1.0, share * min(1 << level, max(sa, sb)) / max(sa, sb))
 
 
+def symbols(text: str) -> bytes:
+    """A byte for each character: ASCII as it is, others hashed to 128 .. 255."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 128, points, 128 + (points * np.uint32(2654435761) >> np.uint32(25))).astype(np.uint8).tobytes()
+
+
 def edited_text(text: str, following: str) -> str:
     """The last third of the code points replaced by the first as many (or all) of the following text."""
     cut = len(text) // 3
@@ -109,66 +117,61 @@ class _Doc:
     """A document with its walk, until the next document is known."""
 
     def __init__(self, doc_id, text: str):
-        self.doc_id, self.text, self.data = doc_id, text, text.encode()
-        self.states = _walk().run(self.data)
-        self.print = fingerprint(self.data, self.states)
+        self.doc_id, self.text = doc_id, text
+        data = symbols(text)
+        self.states = _walk().run(data)
+        self.print = fingerprint(data, self.states)
 
     def row(self, following: str, next_print: str) -> tuple:
         edited = edited_text(self.text, following)
-        data = edited.encode()
-        kept = len(self.text[: len(self.text) - len(self.text) // 3].encode())
+        data, kept = symbols(edited), len(self.text) - len(self.text) // 3
         states = np.concatenate([self.states[:kept], _walk().run(data[kept:], int(self.states[kept]))])  # the walk of the kept part is the same
         print_ = fingerprint(data, states)
-        return (self.doc_id, len(self.text), hashlib.sha256(data).hexdigest(), self.print, print_, likeness(self.print, print_), likeness(self.print, next_print))
+        return (self.doc_id, len(self.text), hashlib.sha256(edited.encode()).hexdigest(), self.print, print_, likeness(self.print, print_), likeness(self.print, next_print))
 
 
 _COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+_SCHEMA = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order: each is finished when the next one comes. The first and the last of a partition go out with their texts, to meet their neighbours."""
-    last, columns = None, [*_COLUMNS, "edge", "text"]
+    """Rows in order: each is finished when the next one comes. The first and the last of a partition go out with their texts and the partition's number, to meet their neighbours."""
+    last, columns, part = None, [*_COLUMNS, "edge", "part", "packed"], TaskContext.get().partitionId()
+    edge = lambda doc, which: (doc.doc_id, len(doc.text), None, doc.print, None, None, None, which, part, zlib.compress(doc.text.encode(), 1))
+    frame_of = lambda rows: pd.DataFrame(rows, columns=columns).astype({"edge": "Int32", "part": "Int32"})
+    rows = []
     for frame in frames:
-        rows = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-            doc = _Doc(None if pd.isna(doc_id) else int(doc_id), text)
-            if last is None:
-                rows.append((doc.doc_id, len(text), None, doc.print, None, None, None, 0, text))
-            else:
-                rows.append((*last.row(text, doc.print), None, None))
+        for doc_id, data in zip(frame["doc_id"], frame["packed"], strict=True):
+            doc = _Doc(doc_id, unpacked(data))
+            rows.append(edge(doc, 0) if last is None else (*last.row(doc.text, doc.print), None, None, None))
             last = doc
             if len(rows) == 1000:
-                yield _frame(rows, columns).astype({"edge": "Int32"})
+                yield frame_of(rows)
                 rows = []
-        if rows:
-            yield _frame(rows, columns).astype({"edge": "Int32"})
     if last is not None:
-        yield _frame([(last.doc_id, len(last.text), None, last.print, None, None, None, 1, last.text)], columns).astype({"edge": "Int32"})
+        yield frame_of([*rows, edge(last, 1)])
 
 
 def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield _frame([_Doc(None if pd.isna(r.doc_id) else int(r.doc_id), r.text).row(r.next_text, r.next_print) for r in frame.itertuples()], _COLUMNS)
+        yield pd.DataFrame([_Doc(r.doc_id, unpacked(r.packed)).row(unpacked(r.next_packed), r.next_print) for r in frame.itertuples()], columns=_COLUMNS)
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited form, with their likeness and that of the next document in descending doc_id (after the last: the first).
 
-    Texts are range-partitioned by doc_id once and streamed in order; the two edges of each partition (as many rows as partitions, not documents) are matched afterwards. A null text is empty; null ids come last; rows with equal ids are ordered by text; a lone document is its own next."""
-    order = F.col("doc_id").desc_nulls_last()
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartitionByRange(order).sortWithinPartitions(order, "text")
-    done = stash(ranged.mapInPandas(_neighbours, f"{_SCHEMA}, edge int, text string"), "edit-prints")
-    # partitions do not share ids, so the edges' order by id is the partitions' order
-    by = Window.orderBy(order, "edge")
-    edges = done.where(F.col("edge").isNotNull())
-    follow = edges.select("doc_id", "edge", "text", F.lead("text").over(by).alias("_text"), F.lead("fingerprint").over(by).alias("_print"), F.first("text").over(by).alias("_first_text"), F.first("fingerprint").over(by).alias("_first_print"))
-    lasts = follow.where(F.col("edge") == 1).select("doc_id", "text", F.coalesce("_text", "_first_text").alias("next_text"), F.coalesce("_print", "_first_print").alias("next_print"))
-    return done.where(F.col("edge").isNull()).select(*_COLUMNS).unionByName(lasts.mapInPandas(_finish, _SCHEMA))
+    Texts are packed, range-partitioned by doc_id once and streamed in order; the two edges of each partition (as many rows as partitions, not documents) are matched afterwards: partition numbers find the next partition that has rows, texts are joined by them. A null text is empty; null ids come last; rows with equal ids are ordered by a hash of the text; a lone document is its own next."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
+    order = F.col("_id").desc_nulls_last()
+    ranged = packed(rows).withColumn("_id", F.col("doc_id").cast("long")).repartitionByRange(order).sortWithinPartitions(order, "tie")
+    done = stash(ranged.mapInPandas(_neighbours, f"{_SCHEMA}, edge int, part int, packed binary"), "edit-prints")
+    # partitions do not share ids, so the partitions' order is the ids' order; the list of partitions is all that this window sees
+    parts = done.where("edge = 0").select("part")
+    follow = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("_next"))
+    firsts = done.where("edge = 0").select(F.col("part").alias("_next"), F.col("packed").alias("next_packed"), F.col("fingerprint").alias("next_print"))
+    lasts = done.where("edge = 1").select("doc_id", "packed", "part").join(follow, "part").join(firsts.hint("merge"), "_next").select("doc_id", "packed", "next_packed", "next_print")
+    every = done.where(F.col("edge").isNull()).select(*_COLUMNS).unionByName(lasts.mapInPandas(_finish, _SCHEMA))
+    return every.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def band_width(classes: int) -> tuple[int, int]:

@@ -60,6 +60,17 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert S.scan_versions(v2, ledger.union(more)).count() == 0
 
 
+def test_history_of_runs(spark, docs, monkeypatch):
+    """The ledger of two runs holds each (blob, rule version) once, and finds what one run over all finds."""
+    v = docs.where("doc_id < 80").select(F.col("doc_id").alias("path"), "text")
+    v = v.unionByName(v.where("path < 20"))  # repeated rows
+    both = S.scan_history([(v.where("path % 2 = 0"), (1,)), (v, (1, 2))])
+    keys = [(r["blob"], r["rule_version"]) for r in both.collect()]
+    assert len(keys) == len(set(keys)) == 2 * v.select("text").distinct().count()
+    rows = lambda ledger: sorted(str(tuple(r)) for r in S.findings_by_path(v, ledger).collect())
+    assert rows(both) == rows(S.scan_versions(v))
+
+
 def test_secret_odd(spark, odd, none):
     v = odd.withColumnRenamed("doc_id", "path")
     assert S.findings_by_path(v, S.scan_versions(v)).count() == odd.count()
@@ -88,6 +99,18 @@ def test_warc_copies_and_odd_payloads(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_many_archives_and_ranges(spark, docs, tmp_path):
+    pages = docs.where("doc_id < 120").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h"), F.col("doc_id") % 3, F.lit(".example/")).alias("url"), F.when(F.col("doc_id") % 4 == 0, F.lit("<p>one error page</p>" * 9)).otherwise(F.col("text")).alias("html"))
+    path = f"file://{tmp_path}/archives"
+    warc.write_archives(pages, path, archive_bytes=20_000)
+    runs = warc.capture_runs(spark, path)
+    assert runs.select("archive").distinct().count() > 3
+    out = warc.merged_index(runs, merge_rows=10).collect()
+    order = [(r["url_key"], r["timestamp"], r["page_id"]) for r in out]
+    assert len(out) == pages.count() and order == sorted(order)
+    assert {r["page_id"] for r in out if r["record_type"] == "revisit"} >= set(range(4, 120, 4)) & {r["page_id"] for r in out}
+
+
 @given(st.lists(st.lists(st.integers(0, 30), max_size=12), max_size=9))
 def test_loser_tree(runs):
     assert list(warc.LoserTree([sorted(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
@@ -103,6 +126,7 @@ def test_fingerprint_query(spark, sf, docs):
         edited = E.edited_text(own, other)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(own)
         for t, f in ((own, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            assert f == E.fingerprint(E.symbols(t), E._walk().run(E.symbols(t)))
             assert by_text.setdefault(t, f) == f
         assert r["near_next"] == E.likeness(r["fingerprint"], nxt["fingerprint"])
     assert sum(r["near_edited"] for r in rows) / len(rows) > 0.6 > 0.2 > sum(r["near_next"] for r in rows) / len(rows)
@@ -127,7 +151,8 @@ def plain_walk(data):
 @settings(max_examples=30, deadline=None)
 @given(st.text(max_size=60))
 def test_walk_equals_the_plain_one(text):
-    data = text.encode()
+    data = E.symbols(text)
+    assert len(data) == len(text)
     steps, w = plain_walk(data)
     level = max(4, (max(len(steps), 1) - 1).bit_length())
     parts = E.fingerprint(data, w.run(data)).split(":")
@@ -165,7 +190,7 @@ def test_near_links_against_brute_force(spark):
         for _ in range(300 if k == 7 else k % 4):
             texts.append(" ".join(word() if rng.random() < 0.04 else w for w in base))
     rows = [(i, t) for i, t in enumerate(rng.sample(texts, len(texts)))]
-    prints = [(i, E.fingerprint(t.encode(), E._walk().run(t.encode()))) for i, t in rows]
+    prints = [(i, E.fingerprint(E.symbols(t), E._walk().run(E.symbols(t)))) for i, t in rows]
     got = {r["fingerprint"]: r for r in E.print_classes(spark.createDataFrame(prints, "doc_id long, fingerprint string")).collect()}
     known = sorted({f for _, f in prints})
     assert set(got) == set(known)
