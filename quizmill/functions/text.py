@@ -48,6 +48,8 @@ GLOSSARY = "^([A-Z][^.:—–]{1,60}?)\\s*(?:\\.|:|—|–| - )\\s+(?:See also [
 GLOSSARY_SECTION = "(?i)glossary|terminology|definitions|key terms|vocabulary"
 NOT_CONCEPT_SECTION = "(?i)^(?:foreword|preface|introduction to this (?:book|edition)|about this book)"
 SKIPPED_SECTION = "(?i)^(?:(?:table of )?contents|index|copyright|acknowledge?ments?|about the (?:authors?|editors?|contributors?)|dedication|also by.*|bibliography|references|endnotes|notes)\\z"
+# Words of the person who speaks, as they are written; they make no definition.
+PERSON = "\\b(?:I|I’m|I'm|you|your|we|our)\\b"
 NUMBERED = "^\\d{1,3}[.)]?\\s+\\S"
 CITATION = "(?i)https?://|www\\.|\\b(?:U\\.S\\.C|C\\.F\\.R|Fed\\. Reg|F\\.\\s?(?:2d|3d|4th|Supp)|S\\. Ct|Id\\.|Ibid|supra|infra|accessed|retrieved|available at|press release)\\b"
 NOTE_LIKE = "^\\d{1,3}[.)]?\\s+[\"“‘]|\\b(?:1[89]|20)\\d{2}\\b|\\sv\\.\\s"
@@ -123,7 +125,7 @@ def plausible_definition(d: Column) -> Column:
         n.between(5, 45)
         & ~d.rlike('[!?]|[,.]["”’](?:\\s|\\z)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{}=]')
         & ~d.rlike(ascii_bounds("(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)"))
-        & ~d.rlike(ascii_bounds("(?i)\\b(?:I|I’m|I'm|you|your|we|our)\\b"))
+        & ~d.rlike(ascii_bounds(PERSON))
     )
 
 

@@ -23,10 +23,10 @@ DUTY_VERBS = (
     "enforces|enforced|oversees|oversaw|defines|defined|sets out|focuses on|addresses|obligates|directs|authorizes|authorized|amends|amended|provides|provided|guarantees|"
     "exempts|brings|investigates|issues|issued|administers|expanded|expands|introduced"
 )
+#: Where a name may end: before white space, a comma or a bracket.
+_WORD_ENDS = "(?=[\\s,(])"
 _ADVERB = "^(?:also|generally|specifically|now|still|further|explicitly|expressly|primarily|broadly)\\s+"
 _ENACTED = "^(?:was|were) (?:enacted|passed|adopted|signed into law|created|established)(?: in \\d{4})?(?:\\s+(and|to)\\s+(.+))?\\z"
-#: Longest name, in words, that is looked for at the start of a sentence.
-NAME_WORDS = 24
 
 
 def sentences(passages: DataFrame) -> DataFrame:
@@ -67,11 +67,14 @@ def find_duties(sents: DataFrame, entities: DataFrame) -> DataFrame:
     # "The X" may also be a name that begins with The
     forms = F.concat(F.array(form(lead, F.substring(body, F.length(lead) + 1, F.length(body)))), F.when(lead.startswith("The"), F.array(form(F.lit(""), body))).otherwise(F.array().cast("array<struct<lead:string,rest:string>>")))
     seen = sents.where(F.col("sentence").rlike("^[A-Z]")).select("book_id", "idx", "pos", "sentence", "chapter", F.explode(forms).alias("f"))
-    # each column below is used more than once, so each is computed in a step of its own
-    cut = seen.select("book_id", "idx", "pos", "sentence", "chapter", F.col("f.lead").alias("_lead"), F.col("f.rest").alias("_rest")).withColumn("_words", F.split("_rest", "(?=[\\s,(])", NAME_WORDS + 1))
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.size("_words"), F.lit(NAME_WORDS))), lambda n: F.array_join(F.slice("_words", 1, n), ""))
-    begun = cut.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(starts).alias("start"))
     names = entities.select("book_id", "key", "name", "kind", "acronym", F.explode(F.filter(F.array("name", "acronym"), lambda x: x.isNotNull())).alias("start"))
+    # a sentence whose first word begins no name goes no further; of the others as many beginnings as the longest such name has words
+    pieces = F.split("start", _WORD_ENDS)
+    firsts = names.groupBy("book_id", pieces[0].alias("_first")).agg(F.max(F.size(pieces)).alias("_longest"))
+    cut = seen.select("book_id", "idx", "pos", "sentence", "chapter", F.col("f.lead").alias("_lead"), F.col("f.rest").alias("_rest"), F.split("f.rest", _WORD_ENDS).alias("_words")).withColumn("_first", F.get("_words", 0))
+    few = cut.join(firsts, ["book_id", "_first"])
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.size("_words"), F.col("_longest"))), lambda n: F.array_join(F.slice("_words", 1, n), ""))
+    begun = few.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(starts).alias("start"))
     hit = begun.join(names, ["book_id", "start"])
     after = F.substring("_rest", F.length("start") + 1, F.length("_rest"))
     under = F.col("_lead").startswith("Under")

@@ -264,7 +264,7 @@ _PLAUSIBLE_TERM = f"""len(regexp_split_to_array(term, '\\s+')) BETWEEN 1 AND 6 A
   AND NOT regexp_matches(term, '\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b')
   AND NOT (regexp_matches(regexp_split_to_array(term, '\\s+')[1], '(?i)ing$') AND coalesce(regexp_matches(regexp_split_to_array(term, '\\s+')[2], '(?i)^(?:a|an|the|every|each|your|our)$'), false))"""
 _PLAUSIBLE_DEFINITION = """len(regexp_split_to_array({0}, '\\s+')) BETWEEN 5 AND 45 AND NOT regexp_matches({0}, '[!?]|[,.]["”’](?:\\s|$)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{{}}=]')
-  AND NOT regexp_matches({0}, '(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)') AND NOT regexp_matches({0}, '(?i)\\b(?:I|I’m|I''m|you|your|we|our)\\b')"""
+  AND NOT regexp_matches({0}, '(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)') AND NOT regexp_matches({0}, '""" + _re(T.PERSON) + """')"""
 _CLEAN = """regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\bSee also [^.]+\\.\\s*', '', 'g')), '(?i)^(?:defined as|known as)\\s+', ''), '[.;:]+$', '')), '^(.+?)[\\s,;:]*\\([^()]*$', '\\1')"""
 FOUND = SENTENCES + f""",
 parts AS (SELECT *, regexp_extract(sentence, '{_re(T.DEFINITION)}', ['a', 'b', 'c']) AS m FROM sents WHERE NOT regexp_matches(sentence, '^["“‘'']|[!?]')),
@@ -321,43 +321,86 @@ def min6_term_counts(spark, sf_dir: str) -> DataFrame:
     return mining.term_counts(c.select("book_id", T.key_of(F.col("term")).alias("key")), study)
 
 
-@query(None)
+_ENDS_SHORT = f"(^|[^A-Za-z.])\\.{{0,3}}(?:{_ABBR}|[A-Z])\\.[\"”’)\\]]{{0,8}}$"
+
+
+def _first_sentence(x: str) -> str:
+    """SQL: the pieces of a text up to the first one that does not end in an abbreviation."""
+    pieces = f"string_split({_SPLIT.format(x)}, chr(1))"
+    return f"trim(array_to_string(({pieces})[1:coalesce(nullif(list_position(list_transform({pieces}, lambda p: NOT regexp_matches(p, '{_ENDS_SHORT}')), true), 0), len({pieces}))], ' '))"
+
+
+_ENTRY = f"""SELECT book_id, idx, text, path, nxt, at_, regexp_matches(trim(text), '{_re(T.GLOSSARY)}') AS framed, trim(regexp_replace(regexp_extract(trim(text), '{_re(T.GLOSSARY)}', 1), '\\s*\\([^)]*\\)$', '')) AS term,
+  trim(regexp_replace(regexp_extract(trim(text), '{_re(T.GLOSSARY)}', 2), '\\bSee also [^.]+\\.\\s*', '', 'g')) AS told"""
+_CAPITAL = "upper({0}[1]) || {0}[2:]"
+_DEFINED_BY = _CLEAN.format(_first_sentence("told"))
+GLOSSED = SENTENCES + f""",
+blocks_on AS (SELECT *, lead(text) OVER w AS nxt, lead(idx) OVER w AS at_ FROM study WHERE kind IN ('paragraph', 'list-item') WINDOW w AS (PARTITION BY book_id ORDER BY idx)),
+split_up AS ({_ENTRY} FROM blocks_on),
+cleaned AS (SELECT *, {_CAPITAL.format('(' + _DEFINED_BY + ')')} AS definition FROM split_up),
+entries AS (SELECT *, framed AND {_PLAUSIBLE_TERM} AND {_PLAUSIBLE_DEFINITION.format('definition')} AS whole FROM cleaned)"""
+GLOSSARY = GLOSSED + f""",
+inside AS (SELECT * FROM entries WHERE len(list_filter(path, lambda p: regexp_matches(p, '{_re(T.GLOSSARY_SECTION)}'))) > 0),
+short AS (SELECT book_id, at_ AS idx, text AS term, nxt AS sentence, path, trim(regexp_replace(nxt, '\\bSee also [^.]+\\.\\s*', '', 'g')) AS told FROM inside
+  WHERE NOT whole AND at_ = idx + 1 AND NOT regexp_matches(text, '[.!?]$') AND len(regexp_split_to_array(text, '\\s+')) <= 6),
+short_cleaned AS (SELECT *, {_CAPITAL.format('(' + _DEFINED_BY + ')')} AS definition FROM short),
+glossary AS (SELECT book_id, idx, 0 AS pos, term, definition, text AS sentence, path[1] AS chapter FROM inside WHERE whole
+  UNION ALL SELECT book_id, idx, -1, term, definition, sentence, path[1] FROM short_cleaned WHERE {_PLAUSIBLE_TERM} AND {_PLAUSIBLE_DEFINITION.format('definition')})"""
+
+
+@query(f"WITH {GLOSSED} SELECT book_id, idx, CASE WHEN whole THEN term END AS term, CASE WHEN whole THEN definition END AS definition FROM entries")
+def txt10_glossary_entry(spark, sf_dir: str) -> DataFrame:
+    study = passages.study_passages(A.blocks(spark, sf_dir)).where(F.col("kind").isin("paragraph", "list-item"))
+    return study.select("book_id", "idx", T.glossary_entry(F.col("text")).alias("e")).select("book_id", "idx", "e.*")
+
+
+@query(f"WITH {GLOSSARY} SELECT * FROM glossary")
 def min4_glossary_candidates(spark, sf_dir: str) -> DataFrame:
     return mining.glossary_candidates(passages.study_passages(A.blocks(spark, sf_dir)))
 
 
-@query(None)
+DEFINED = COUNTS + GLOSSARY.removeprefix(SENTENCES) + """,
+every AS (SELECT book_id, key, term, definition, idx, pos, sentence, chapter, false AS glossed FROM candidates
+  UNION ALL SELECT book_id, trim(regexp_replace(replace(lower(term), '’', ''''), '\\s+', ' ', 'g')), term, definition, idx, pos, sentence, chapter, true FROM glossary),
+defined AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.book_id, c.key ORDER BY c.idx, c.pos) AS n_ FROM every c LEFT JOIN counts k ON c.book_id = k.book_id AND c.key = k.key
+  WHERE NOT contains(lower(definition), c.key) AND (glossed OR coalesce(k.n, 0) >= 2)) WHERE n_ = 1)"""
+_DEFINED_ROWS = "SELECT book_id, key, term, definition, idx, pos, sentence, chapter FROM defined"
+
+
+@query(f"WITH {DEFINED} {_DEFINED_ROWS}")
 def min7_definitions(spark, sf_dir: str) -> DataFrame:
     return mining.book_definitions(passages.study_passages(A.blocks(spark, sf_dir)))
 
 
-DEFINED = COUNTS + """,
-defined AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.book_id, c.key ORDER BY idx, pos) AS n_ FROM candidates c JOIN counts k ON c.book_id = k.book_id AND c.key = k.key WHERE NOT contains(lower(definition), c.key) AND k.n >= 2) WHERE n_ = 1)"""
+def concept_blocks(spark, sf_dir: str) -> DataFrame:
+    """Blocks of which every third begins with a definition and a second mention of its term, both made of the block's own words: the given prose hardly defines anything twice."""
+    words = F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")
+    term, body = F.array_join(F.slice(words, 1, 2), " "), F.lower(F.array_join(F.slice(words, 3, 8), " "))
+    told = F.concat(F.upper(F.substring(term, 1, 1)), F.substring(term, F.lit(2), F.length(term)), F.lit(" is a kind of "), body, F.lit(". More on "), F.lower(term), F.lit(" follows. "), F.col("text"))
+    return A.blocks(spark, sf_dir).withColumn("text", F.when((F.col("idx") % 3 == 0) & (F.col("kind") != "heading"), told).otherwise(F.col("text")))
 
 
-def _sentence_definitions(spark, sf_dir: str) -> DataFrame:
-    study = passages.study_passages(A.blocks(spark, sf_dir))
-    c = mining.sentence_candidates(mining.sentences(study))
-    counts = mining.term_counts(c.select("book_id", T.key_of(F.col("term")).alias("key")), study)
-    return mining.definitions(c.limit(0), c, counts)
+def _on_concepts(sql: str) -> str:
+    words = "string_split(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')"
+    term, body = f"array_to_string(({words})[1:2], ' ')", f"lower(array_to_string(({words})[3:10], ' '))"
+    told = f"upper(({term})[1]) || ({term})[2:] || ' is a kind of ' || {body} || '. More on ' || lower({term}) || ' follows. ' || text"
+    concept = f"concept AS (SELECT * REPLACE (CASE WHEN idx % 3 = 0 AND kind <> 'heading' THEN {told} ELSE text END AS text) FROM blocks),\nflagged AS (SELECT *, kind"
+    return sql.replace("flagged AS (SELECT *, kind", concept).replace("AS numbered FROM blocks)", "AS numbered FROM concept)")
 
 
-@query(f"WITH {DEFINED} SELECT book_id, key, term, definition, idx, pos, chapter FROM defined")
-def min7_sentence_definitions(spark, sf_dir: str) -> DataFrame:
-    return _sentence_definitions(spark, sf_dir).select("book_id", "key", "term", "definition", "idx", "pos", "chapter")
+CONCEPTS = _on_concepts(DEFINED)
 
 
-#: For the questions: definitions need not be mentioned twice, which few of the given books' are.
-ALL_DEFINED = CANDIDATES + """,
-defined AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY idx, pos) AS n_ FROM candidates WHERE NOT contains(lower(definition), key)) WHERE n_ = 1)"""
+def _all_definitions(spark, sf_dir: str) -> DataFrame:
+    return mining.book_definitions(passages.study_passages(concept_blocks(spark, sf_dir)))
 
 
-def _all_definitions(spark, sf_dir: str) -> DataFrame:
-    c = mining.sentence_candidates(mining.sentences(passages.study_passages(A.blocks(spark, sf_dir))))
-    return mining.definitions(c.limit(0), c, c.select("book_id", T.key_of(F.col("term")).alias("key"), F.lit(2).alias("n")).distinct())
+@query(f"WITH {CONCEPTS} SELECT book_id, key, term, definition, idx, pos, chapter FROM defined")
+def min7_sentence_definitions(spark, sf_dir: str) -> DataFrame:
+    return _all_definitions(spark, sf_dir).select("book_id", "key", "term", "definition", "idx", "pos", "chapter")
 
 
-DISTRACTED = ALL_DEFINED + """,
+DISTRACTED = CONCEPTS + """,
 pairs AS (SELECT d.book_id, d.key, o.key AS o_key, row_number() OVER (PARTITION BY d.book_id, d.key ORDER BY (o.chapter <> d.chapter)::INT, abs(length(o.definition) - length(d.definition)), o.idx, o.pos, o.key) AS r
   FROM defined d JOIN defined o ON d.book_id = o.book_id AND NOT (d.key = o.key OR contains(d.key, o.key) OR contains(o.key, d.key)) AND NOT contains(lower(o.definition), d.key) AND o.definition <> d.definition),
 near AS (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY md5(key || '|' || o_key)) AS n, count(*) OVER (PARTITION BY book_id, key) AS c FROM pairs WHERE r <= 6),
@@ -369,10 +412,13 @@ def qst1_definition_distractors(spark, sf_dir: str) -> DataFrame:
     return questions.definition_distractors(_all_definitions(spark, sf_dir))
 
 
-@query(f"""WITH {DISTRACTED}, w AS (SELECT x.book_id, x.key, list(o.term ORDER BY n) AS terms, list(o.definition ORDER BY n) AS defs FROM wrong x JOIN defined o ON x.book_id = o.book_id AND x.other = o.key GROUP BY ALL),
+_ASKED = DISTRACTED + """, w AS (SELECT x.book_id, x.key, list(o.term ORDER BY n) AS terms, list(o.definition ORDER BY n) AS defs FROM wrong x JOIN defined o ON x.book_id = o.book_id AND x.other = o.key GROUP BY ALL),
 q AS (SELECT d.*, terms, defs, substring(md5('coin|' || d.key), 1, 1) < '8' AS ask, CASE WHEN regexp_matches(definition, '^[A-Z][a-z]') THEN lower(definition[1]) || definition[2:] ELSE definition END AS low FROM defined d JOIN w ON d.book_id = w.book_id AND d.key = w.key)
 SELECT book_id, CASE WHEN ask THEN 'term' ELSE 'define' END AS style, CASE WHEN ask THEN 'Which term does the book describe as “' || low || '”?' ELSE 'Which of the following best describes “' || term || '”?' END AS stem,
-  array_to_string(CASE WHEN ask THEN [term] || terms ELSE [definition] || defs END, ' / ') AS options, idx, sentence AS quote, chapter FROM q""")
+  array_to_string(CASE WHEN ask THEN [term] || terms ELSE [definition] || defs END, ' / ') AS options, idx, sentence AS quote, chapter FROM q"""
+
+
+@query(f"WITH {_ASKED}")
 def qst2_definition_questions(spark, sf_dir: str) -> DataFrame:
     q = questions.definition_questions(_all_definitions(spark, sf_dir))
     return q.select("book_id", "style", "stem", F.array_join("options", " / ").alias("options"), F.get("block_indexes", 0).alias("idx"), "quote", "chapter")
@@ -455,13 +501,26 @@ def qst3_law_distractors(spark, sf_dir: str) -> DataFrame:
     return questions.law_distractors(d, e, f)
 
 
-@query(None)
+_LAW_ASKED = _DUTIES + """, fd AS (SELECT book_id, key, chapter FROM (SELECT *, row_number() OVER (PARTITION BY book_id, key ORDER BY idx, pos) AS r FROM duties) WHERE r = 1),
+e AS (SELECT e.book_id, e.kind, e.key, e.name || CASE WHEN e.acronym IS NULL THEN '' ELSE ' (' || e.acronym || ')' END AS shown, fd.chapter FROM entities e LEFT JOIN fd ON e.book_id = fd.book_id AND e.key = fd.key),
+pairs AS (SELECT d.book_id, d.idx, d.pos, e.shown, row_number() OVER (PARTITION BY d.book_id, d.idx, d.pos ORDER BY (e.chapter IS DISTINCT FROM d.chapter)::INT, md5(md5(d.sentence) || '|' || e.key)) AS r
+  FROM duties d JOIN e ON d.book_id = e.book_id AND d.kind = e.kind AND NOT contains(d.key, e.key) AND NOT contains(e.key, d.key) AND NOT contains(lower(d.sentence), e.key)),
+wrong AS (SELECT book_id, idx, pos, list(shown ORDER BY r) AS others FROM pairs WHERE r <= 3 GROUP BY ALL HAVING count(*) = 3),
+asked AS (SELECT d.*, others, row_number() OVER (PARTITION BY d.book_id, d.key ORDER BY d.idx, d.pos) AS n FROM duties d JOIN wrong w ON d.book_id = w.book_id AND d.idx = w.idx AND d.pos = w.pos)
+SELECT book_id, idx, CASE WHEN under THEN 'Which ' || kind || ' is this? “Under this ' || kind || ', ' || CASE WHEN regexp_matches(predicate, '^[A-Z][a-z]') THEN lower(predicate[1]) || predicate[2:] ELSE predicate END || '.”' ELSE 'Which ' || kind || ' ' || predicate || '?' END AS stem,
+  array_to_string([name || CASE WHEN acronym IS NULL THEN '' ELSE ' (' || acronym || ')' END] || others, ' / ') AS options, sentence AS quote, chapter FROM asked WHERE n <= 4"""
+
+
+@query(f"WITH {_LAW_ASKED}")
 def qst4_law_questions(spark, sf_dir: str) -> DataFrame:
     e, d, f = _laws(spark, sf_dir)
-    return questions.law_questions(d, e, f)
+    q = questions.law_questions(d, e, f)
+    return q.select("book_id", F.get("block_indexes", 0).alias("idx"), "stem", F.array_join("options", " / ").alias("options"), "quote", "chapter")
 
 
-@query(None)
+@query(f"""SELECT coalesce(a.book_id, b.book_id) AS book_id, coalesce("define", 0) AS "define", coalesce(term, 0) AS term, coalesce(law, 0) AS law
+FROM (SELECT book_id, count(*) FILTER (style = 'define') AS "define", count(*) FILTER (style = 'term') AS term FROM (WITH {_ASKED}) GROUP BY book_id) a
+FULL JOIN (SELECT book_id, count(*) AS law FROM (WITH {_LAW_ASKED}) GROUP BY book_id) b ON a.book_id = b.book_id""")
 def qst5_generate_concepts(spark, sf_dir: str) -> DataFrame:
     e, d, f = _laws(spark, sf_dir)
     both = questions.generate_concepts(questions.definition_questions(_all_definitions(spark, sf_dir)), questions.law_questions(d, e, f))

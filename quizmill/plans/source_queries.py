@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import io
 import tempfile
 import uuid
@@ -135,12 +137,12 @@ def str6_heading_level(spark, sf_dir: str) -> DataFrame:
     return structure.heading_path(*_headed(spark, sf_dir)).select("book_id", "seq", structure.heading_level(F.col("kind"), F.col("headings")).alias("level"))
 
 
-@query(f"WITH {_HEADED} SELECT book_id, seq, CASE WHEN headings = '' THEN 'h' ELSE 'h>' || CASE WHEN starts_with(headings, 'H') THEN CASE WHEN contains(headings, '>') THEN substring(headings, instr(headings, '>') + 1) ELSE '' END ELSE headings END END AS path FROM lists")
+@query(f"""WITH {_HEADED}, rest AS (SELECT book_id, seq, CASE WHEN starts_with(headings, 'H') THEN CASE WHEN contains(headings, '>') THEN substring(headings, instr(headings, '>') + 1) ELSE '' END ELSE headings END AS r FROM lists)
+SELECT book_id, seq, CASE WHEN r = '' THEN 'h' ELSE 'h>' || r END AS path FROM rest""")
 def str7_build_path(spark, sf_dir: str) -> DataFrame:
     """Chapter "h": the first heading, which contains it, is skipped."""
     p = structure.build_path(F.lit("h"), F.col("headings"))
-    rows = structure.heading_path(*_headed(spark, sf_dir)).select("book_id", "seq", "headings", F.array_join(p, ">").alias("path"))
-    return rows.select("book_id", "seq", F.when((F.size("headings") == 1), "h>").otherwise(F.col("path")).alias("path"))
+    return structure.heading_path(*_headed(spark, sf_dir)).select("book_id", "seq", F.array_join(p, ">").alias("path"))
 
 
 _BUNDLE = {
@@ -177,6 +179,25 @@ def src11_check_bundle(spark, sf_dir: str) -> DataFrame:
     return bundle.check_bundle(bundle.read_raw(spark, path, "header"), raw)
 
 
+@query("""WITH n AS (SELECT count(*) AS questions, count(*) FILTER (doc_id % 10 = 0) AS bad FROM documents WHERE doc_id IS NOT NULL)
+SELECT 'newer format' AS given, 'too_new' AS verdict, 0::BIGINT AS bad_questions, 0::BIGINT AS bad_blocks FROM n UNION ALL SELECT 'other app', 'not_ours', 0, 0 FROM n UNION ALL SELECT 'other app, newer', 'not_ours', 0, 0 FROM n
+UNION ALL SELECT 'no header', 'not_ours', 0, 0 FROM n UNION ALL SELECT 'wrong field', CASE WHEN bad > 0 THEN 'damaged' ELSE 'ok' END, bad, 0 FROM n UNION ALL SELECT 'broken line', CASE WHEN bad > 0 THEN 'damaged' ELSE 'ok' END, bad, 0 FROM n UNION ALL SELECT 'no blocks', 'damaged', 0, NULL FROM n""")
+def src11_refused_bundles(spark, sf_dir: str) -> DataFrame:
+    """The exported bundle of the given tables, changed in the ways that are refused."""
+    path = _exported(spark, sf_dir)
+    raw, header = {t: bundle.read_raw(spark, path, t) for t in bundle.TABLES}, bundle.read_raw(spark, path, "header")
+    tenth = F.get_json_object("value", "$.id").rlike("^q[0-9]*0$")
+    spoilt = lambda value: {**raw, "questions": raw["questions"].select(F.when(tenth, value).otherwise(F.col("value")).alias("value"))}
+    other = header.select(F.replace("value", F.lit(f'"{bundle.APP}"'), F.lit('"other"')).alias("value"))
+    newer = lambda head: head.select(F.replace("value", F.lit(f'"format":{bundle.FORMAT}'), F.lit(f'"format":{bundle.FORMAT + 1}')).alias("value"))
+    cases = {
+        "newer format": (newer(header), raw), "other app": (other, raw), "other app, newer": (newer(other), raw), "no header": (header.limit(0), raw),
+        "wrong field": (header, spoilt(F.regexp_replace("value", '"answer":[0-9]+', '"answer":"x"'))), "broken line": (header, spoilt(F.substring("value", 1, 9))), "no blocks": (header, {**raw, "blocks": None}),
+    }
+    rows = [bundle.check_bundle(*given).select(F.lit(name).alias("given"), "verdict", "bad_questions", "bad_blocks") for name, given in cases.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -111,3 +111,10 @@ def test_snippet_and_highlight(spark):
     h = one(spark, T.highlight, "one two three", "two")
     assert (h["before"], h["match"], h["after"]) == ("one ", "two", " three")
     assert one(spark, T.highlight, "one", "x")["before"] == "one"
+
+
+def test_person_is_a_word_as_written(spark):
+    """Only the words of the list in their own case speak of a person: "i.e." and "We" do not."""
+    cases = [("small files, i.e. a token, that a browser keeps", True), ("a plan for We Co customers and others", True), ("small files that you keep on a disk", False), ("a thing that I keep on my disk", False), ("a rule for Our Lady of the lakes", True)]
+    df = spark.createDataFrame(cases, "d string, ok boolean")
+    assert all(r["got"] == r["ok"] for r in df.withColumn("got", T.plausible_definition(F.col("d"))).collect())
