@@ -29,8 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this process has asked for, in order.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def delete_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders asked for since then, but for those in `keep`. For callers who have written what they wanted: frames that still read the folders fail afterwards."""
+    for path in [p for p in SCRATCH[since:] if p not in keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        SCRATCH.remove(path)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

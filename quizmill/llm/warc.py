@@ -5,6 +5,7 @@ Archives are written by Spark's text sink (records end with CRLF CRLF, so the si
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,8 @@ LEAST_REVISIT_BYTES = 100
 #: Payload bytes of an archive, on average, and captures that one task merges, on average.
 ARCHIVE_BYTES, MERGE_ROWS = 1 << 24, 500_000
 _END = "\r\n\r\n"
-_INDEX = "url_key string, timestamp string, page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, place long"
+#: An index line as Python sees it: ids are texts there, so that a null among them makes no floats of the others.
+_INDEX = "url_key string, timestamp string, page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, archive string, offset long, place long"
 
 
 def record_kinds(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -66,8 +68,8 @@ def warc_record(date: Column) -> Column:
 
 
 def capture_date(page_id: Column) -> Column:
-    """The tables have no capture time: one minute per page id from 2024-01-01."""
-    return F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce(page_id, F.lit(0)) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """The tables have no capture time: one minute per page id from 2024-01-01, which starts over after 2^25 ids."""
+    return F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(1 << 25)) * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -91,9 +93,12 @@ def parse_archive(name: str, data: bytes) -> Iterator[tuple]:
         at = end + 4
 
 
-def _page(urn: str | None) -> int | None:
-    number = (urn or "")[len("<urn:page:") : -1]
-    return int(number) if number else None
+def _page(urn: str | None) -> str | None:
+    return (urn or "")[len("<urn:page:") : -1] or None
+
+
+def _numbered(index: DataFrame) -> DataFrame:
+    return index.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def url_key(url: str | None) -> str:
@@ -117,19 +122,18 @@ def _index_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     raise ValueError(f"{name}: payload at {offset} does not match its digest")
                 run.append((url_key(head.get("WARC-Target-URI")), head["WARC-Date"], _page(head["WARC-Record-ID"]), head["WARC-Type"], _page(head.get("WARC-Refers-To")), digest, size, name.rsplit("/", 1)[-1], offset))
             run.sort(key=_capture_order)
-            out = pd.DataFrame([(*r, i) for i, r in enumerate(run)], columns=columns)
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame([(*r, i) for i, r in enumerate(run)], columns=columns)
 
 
 def _capture_order(row: tuple) -> tuple:
     """URL key, timestamp, page (none: first)."""
-    return row[0], row[1], -1 if pd.isna(row[2]) else row[2]
+    return row[0], row[1], -math.inf if pd.isna(row[2]) else int(row[2])
 
 
 def capture_runs(spark, path: str) -> DataFrame:
     """The archives' index lines, each archive a run sorted by URL key and timestamp, numbered in `place`; payloads are checked against their digests."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInPandas(_index_rows, _INDEX)
+    return _numbered(files.mapInPandas(_index_rows, _INDEX))
 
 
 class LoserTree:
@@ -185,17 +189,18 @@ def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row in LoserTree(runs, _capture_order):
         out.append(row)
         if len(out) == 10_000:
-            yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(out, columns=columns)
             out = []
     if out:
-        yield pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield pd.DataFrame(out, columns=columns)
 
 
 def merged_index(runs: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """All captures, globally ordered by URL key, timestamp and page: ranges of these, of merge_rows captures each on average, go to tasks, so a hot URL is split by time. A shuffle does not keep the order of its blocks, so Spark's own (spilling) sort puts each task's pieces of runs in place again; a loser tree merges them."""
     ranges = max(1, -(-runs.count() // merge_rows), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = runs.repartitionByRange(ranges, "url_key", "timestamp", "page_id").sortWithinPartitions("archive", "place")
-    return dealt.mapInPandas(_merge, _INDEX).drop("place")
+    texts = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return _numbered(texts.mapInPandas(_merge, _INDEX)).drop("place")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """The pipeline's stages on planted rows, and on odd ones."""
 
+import os
 import random
 
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
+from quizmill.llm import common
+
 
 def staged(spark, docs, sf, upto):
     for name, stage in P.STAGES[:upto]:
@@ -37,7 +40,11 @@ def test_stages_take_effect(spark, sf, docs):
 
 
 def test_run_returns_all_words_of_the_mix(spark, sf):
+    before = list(common.SCRATCH)
     out = P.run(spark, sf)
+    left = [p for p in common.SCRATCH if p not in before]
+    assert len(left) == 1 and "/stage4-" in left[0] and os.path.isdir(left[0].removeprefix("file://"))
+    assert not any("/stage0-" in p for p in os.listdir(os.path.dirname(left[0].removeprefix("file://"))) if p not in before)
     assert {"shard", "slot", "grown_shard", "text"} <= set(out.columns)
     assert out.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("ok")).where("NOT ok").count() == 0
 
