@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import row_key, stash
+from quizmill.llm.common import SCRATCH, delete_scratch, row_key, stash
 from quizmill.llm.decontaminate import contaminated
 from quizmill.llm.importance import resample
 from quizmill.llm.mixing import mixed_texts
@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. When a stage's result is written, what it and its predecessor left in the shared folder is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(SCRATCH)
     for i, (_, stage) in enumerate(STAGES):
         docs = stash(stage(spark, docs, sf_dir), f"stage{i}")
+        delete_scratch(spark, since, keep=(SCRATCH[-1],))
     return docs
