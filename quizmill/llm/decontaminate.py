@@ -158,7 +158,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Pieces:
     """The items' passages of one width: latent vectors, item numbers, first words, how many vocabulary words a window must share, and the (passage, word) pairs, sorted.
 
-    What must be shared follows from what is accepted in the end: where LCS_WITH_ANSWER of an item's words come in order, a passage has that share of its words in the text; at worst all its words outside the vocabulary are among them, and a quarter of the passage lies outside the window."""
+    What must be shared follows from what is accepted in the end: where LCS_WITH_ANSWER of an item's words come in order, a passage has that share of its words in the text, and the nearest window, which is off by half a step, seven eighths of these; at worst all the passage's words outside the vocabulary are among them."""
 
     width: int
     vectors: np.ndarray
@@ -187,7 +187,7 @@ def pieces_of(items: Items, basis: np.ndarray) -> list[Pieces]:
                 own.append(i)
                 first.append(a)
                 wide = min(width, n)
-                least.append(max(1, int((LCS_WITH_ANSWER - 0.25) * wide) - (wide - len(pairs[-1]))))
+                least.append(max(1, int(LCS_WITH_ANSWER * 7 / 8 * wide) - (wide - len(pairs[-1]))))
         if rows:
             out.append(Pieces(width, _unit(np.array(rows)), np.array(own), np.array(first), np.array(least), np.concatenate(pairs)))
     return out
