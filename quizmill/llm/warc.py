@@ -33,7 +33,8 @@ def record_kinds(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFr
     groups = slim.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("origin"), F.max("page_id").alias("other")).where(F.col("origin") < F.col("other"))
     groups = stash(groups.select("payload_digest", "origin"), "shared-payloads")
     revisits = slim.join(groups.hint("merge"), "payload_digest").where(F.col("page_id") != F.col("origin")).distinct()
-    archives = max(1, -(-int(slim.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]) // archive_bytes))
+    # fewer partitions than the session's would be dealt anew for the join
+    archives = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(slim.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]) // archive_bytes))
     marks = revisits.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("origin").alias("refers_to"))
     same = (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
     return rows.repartition(archives, "page_id", "payload_digest").join(marks.repartition(archives, "_page", "_digest").hint("merge"), same, "left").drop("_page", "_digest")
@@ -73,7 +74,7 @@ def capture_date(page_id: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Gzipped WARC files of about archive_bytes of payload each."""
+    """Gzipped WARC files of about archive_bytes of payload each, or less: there are at least as many as the session's shuffle partitions."""
     records = record_kinds(pages, archive_bytes).select(warc_record(capture_date(F.col("page_id"))).alias("value"))
     records.write.option("lineSep", _END).option("compression", "gzip").text(path)
 
