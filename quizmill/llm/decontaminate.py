@@ -283,8 +283,13 @@ def _search(shipped, keep: tuple[str, ...] = ()):
                             for w, piece, cosine in zip(block + r[enough], c[enough], near[r[enough], c[enough]], strict=True):
                                 key = int(doc[w]), int(p.item[piece])
                                 candidates.setdefault(key, {})[int(first[w] - p.first[piece] - t.starts[key[0]])] = float(cosine)
+                held: dict[int, set] = {}
                 for (d, i), starts in candidates.items():
                     own, best, tried = t.hashes[t.starts[d] : t.starts[d + 1]], None, []
+                    if d not in held:
+                        held = {d: set(own.tolist())} if len(held) > 64 else {**held, d: set(own.tolist())}
+                    if sum(x in held[d] for x in long_words[i]) < LCS_WITH_ANSWER * len(long_words[i]):
+                        continue  # the whole text has too few of the item's words, so each span has
                     for start, cosine in sorted(starts.items(), key=lambda x: (-x[1], x[0])):
                         if any(abs(start - x) <= len(long_words[i]) // 8 for x in tried):
                             continue  # the span reaches a quarter of the item beyond either end: nearly the same span
