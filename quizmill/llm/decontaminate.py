@@ -26,18 +26,24 @@ SKETCH_TASKS = 4096
 #: Words in more than this share of the items are left out of the passages, but not where an item would keep fewer than LEAST_WORDS.
 COMMON, LEAST_WORDS = 0.1, 8
 _SLOTS = 20
-#: Windows are compared in blocks: cells of (windows x passages) at a time, vocabulary words summed at a time. They bound a task's memory, however long a text is and however many items there are.
-CELLS, SPAN = 2_000_000, 65_536
+#: Windows are compared in blocks: cells of (windows x passages) at a time, vocabulary words summed at a time, item words looked up at a time. They bound a task's memory, however long a text is and however many items there are.
+CELLS, SPAN, LOOKUPS = 2_000_000, 65_536, 1_000_000
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: word hashes, answers, and a vocabulary (sorted hashes) of the words that tell items apart. slots[p] is the number of vocabulary words whose first _SLOTS bits are below p; most is the largest number that share them."""
+    """A block of benchmark items: word hashes, answers, all their words (`known`, sorted hashes) and the vocabulary: those of them that tell items apart.
+
+    numbers[k] is the vocabulary number of known word k, -1 for none (and at the end, for unknown words); flat[sizes' running sum] are the items' words as known words, one item after another. slots[p] is the number of known words whose first _SLOTS bits are below p; most is the largest number that share them."""
 
     ids: list[str | None]
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    known: np.ndarray = field(default=None)
     vocabulary: np.ndarray = field(default=None)
+    numbers: np.ndarray = field(default=None)
+    flat: np.ndarray = field(default=None)
+    sizes: np.ndarray = field(default=None)
     slots: np.ndarray = field(default=None)
     most: int = 0
 
@@ -49,13 +55,21 @@ class Items:
         out = cls([i for i, _ in rows], cut(t), cut(last))
         rare = ~np.isin(t.hashes, common)
         enough = np.bincount(t.owners, rare, minlength=len(rows)) >= LEAST_WORDS
+        out.known, out.flat = np.unique(t.hashes, return_inverse=True)
+        out.sizes = t.counts
         out.vocabulary = np.unique(t.hashes[rare | ~enough[t.owners]])
-        out.slots = np.concatenate([[0], np.cumsum(np.bincount((out.vocabulary >> np.uint64(64 - _SLOTS)).astype(np.int64), minlength=1 << _SLOTS))]).astype(np.int32)
+        out.numbers = np.full(len(out.known) + 1, -1, np.int32)
+        out.numbers[np.searchsorted(out.known, out.vocabulary)] = np.arange(len(out.vocabulary))
+        out.slots = np.concatenate([[0], np.cumsum(np.bincount((out.known >> np.uint64(64 - _SLOTS)).astype(np.int64), minlength=1 << _SLOTS))]).astype(np.int32)
         out.most = int(np.diff(out.slots).max(initial=0))
         return out
 
     def index(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word, -1 if it is not in the vocabulary."""
+        return self.numbers[self.place(hashes)]
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word among the known ones, -1 for others."""
         out = np.full(len(hashes), -1, np.int32)
         slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
         at = np.flatnonzero(self.slots[slot + 1] > self.slots[slot])
@@ -63,7 +77,7 @@ class Items:
         for step in range(self.most):
             here = lo + step < hi
             at, lo, hi = at[here], lo[here], hi[here]
-            hit = self.vocabulary[lo + step] == hashes[at]
+            hit = self.known[lo + step] == hashes[at]
             out[at[hit]] = lo[hit] + step
         return out
 
@@ -237,6 +251,43 @@ def windows(p: Pieces, t: Tokens, seen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[some], first[some], lo[some], hi[some]
 
 
+def holding(items: Items, places: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of the stretches lo:hi of `places`, sorted known words with their places (word x step + place), hold LCS_WITH_ANSWER of the item's words; no more words can come in order than come at all. lo, hi and step fit the keys in places[0] (step first)."""
+    step, keys = places[0], np.append(places[1:], np.iinfo(np.int64).max)
+    sizes, out = items.sizes[item], np.zeros(len(item), bool)
+    begins, ends = np.concatenate([[0], np.cumsum(items.sizes)])[item], np.cumsum(sizes)
+    at = 0
+    while at < len(item):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + LOOKUPS, "right")))
+        n = sizes[at:to]
+        which = np.repeat(np.arange(to - at), n)
+        word = items.flat[np.arange(len(which)) + np.repeat(begins[at:to] - (np.cumsum(n) - n), n)] * step
+        hit = keys[np.searchsorted(keys, word + lo[at:to][which])] < word + hi[at:to][which]
+        out[at:to] = np.bincount(which[hit], minlength=to - at) >= LCS_WITH_ANSWER * n
+        at = to
+    return out
+
+
+def promising(items: Items, known: np.ndarray, t: Tokens, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which candidates (text, item, first word) may be accepted: first the whole text, then the span that settle() reads must hold enough of the item's words. Starts within a quarter of the item's length are looked up together, for all their spans at once."""
+    at = np.flatnonzero(known >= 0)
+    step = np.int64(len(known) + 1)
+    places = np.concatenate([[step], np.sort(known[at] * step + at)])
+    pairs, pair = np.unique(doc * np.int64(len(items.ids)) + item, return_inverse=True)
+    d, i = pairs // len(items.ids), pairs % len(items.ids)
+    left = np.flatnonzero(holding(items, places, i, t.starts[d], t.starts[d + 1])[pair])
+    n = items.sizes[item[left]]
+    wide = np.maximum(1, n // 4)
+    cells, cell = np.unique(np.stack([pair[left], start[left] // wide]), axis=1, return_inverse=True)
+    d, i = d[cells[0]], i[cells[0]]
+    n, wide = items.sizes[i], np.maximum(1, items.sizes[i] // 4)
+    lo = t.starts[d] + np.maximum(0, cells[1] * wide - n // 4)
+    hi = np.minimum(t.starts[d + 1], t.starts[d] + cells[1] * wide + wide + n + n // 4)
+    out = np.zeros(len(doc), bool)
+    out[left] = holding(items, places, i, lo, hi)[cell.ravel()]
+    return out
+
+
 def settle(item: list, answer: list, words: np.ndarray, start: int) -> tuple[float, float, int]:
     """Share of the item's words and of its answer's that come in order in the text about `start`, and where that span begins."""
     n = len(item)
@@ -261,13 +312,14 @@ def _search(shipped, keep: tuple[str, ...] = ()):
             out = []
             for part in batches(frame, chars=500_000):
                 t = Tokens(list(part["text"]), words=True)
-                word = items.index(t.hashes)
+                known = items.place(t.hashes)
+                word = items.numbers[known]
                 at = np.flatnonzero(word >= 0)
                 if not len(at):
                     continue
                 seen = np.concatenate([[0], np.cumsum(word >= 0)])
                 inside = word[at].astype(np.int64)
-                candidates: dict[tuple[int, int], dict[int, float]] = {}
+                hits = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.float32),)]
                 cut = [windows(p, t, seen) for p in pieces]
                 for start in range(0, len(inside), SPAN):
                     sums = running_sums(basis, inside, start)
@@ -278,18 +330,19 @@ def _search(shipped, keep: tuple[str, ...] = ()):
                             own = slice(block, min(end, block + most))
                             lo, hi = lo_all[own], hi_all[own]
                             near = _unit(sums[hi - start] - sums[lo - start]) @ p.vectors.T
-                            r, c = np.nonzero(near >= COSINE)
-                            enough = sharing(p, inside, lo[r], hi[r], c, len(items.vocabulary)) if len(r) else np.zeros(0, bool)
-                            for w, piece, cosine in zip(block + r[enough], c[enough], near[r[enough], c[enough]], strict=True):
-                                key = int(doc[w]), int(p.item[piece])
-                                candidates.setdefault(key, {})[int(first[w] - p.first[piece] - t.starts[key[0]])] = float(cosine)
-                held: dict[int, set] = {}
+                            r, c = np.divmod(np.flatnonzero(near >= COSINE), len(p.vectors))
+                            if not len(r):
+                                continue
+                            enough = sharing(p, inside, lo[r], hi[r], c, len(items.vocabulary))
+                            r, c = r[enough], c[enough]
+                            hits.append((doc[own][r], p.item[c], first[own][r] - p.first[c] - t.starts[doc[own][r]], near[r, c]))
+                found = [np.concatenate(x) for x in zip(*hits, strict=True)]
+                good = promising(items, known, t, *found[:3]) if len(found[0]) else np.zeros(0, bool)
+                candidates: dict[tuple[int, int], dict[int, float]] = {}
+                for d, i, start, cosine in zip(*[x[good].tolist() for x in found], strict=True):
+                    candidates.setdefault((d, i), {})[start] = cosine
                 for (d, i), starts in candidates.items():
                     own, best, tried = t.hashes[t.starts[d] : t.starts[d + 1]], None, []
-                    if d not in held:
-                        held = {d: set(own.tolist())} if len(held) > 64 else {**held, d: set(own.tolist())}
-                    if sum(x in held[d] for x in long_words[i]) < LCS_WITH_ANSWER * len(long_words[i]):
-                        continue  # the whole text has too few of the item's words, so each span has
                     for start, cosine in sorted(starts.items(), key=lambda x: (-x[1], x[0])):
                         if any(abs(start - x) <= len(long_words[i]) // 8 for x in tried):
                             continue  # the span reaches a quarter of the item beyond either end: nearly the same span
