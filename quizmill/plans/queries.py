@@ -560,6 +560,12 @@ def llm1_slice_book(spark, sf_dir: str) -> DataFrame:
     return slices.slice_book(A.blocks(spark, sf_dir), 600, 150)
 
 
+@query(f"WITH {SLICES.replace('> 600 THEN', '> 36000 THEN').replace('< 150 AND', '< 4000 AND').replace('<= 780.0', '<= 46800.0')} SELECT book_id, run, chapter, a || '-' || z AS slice_key, a AS start, z AS stop, chars::BIGINT AS chars FROM slices")
+def llm1_full_size_slices(spark, sf_dir: str) -> DataFrame:
+    """Slices at the sizes that are meant for use."""
+    return slices.slice_book(A.blocks(spark, sf_dir))
+
+
 @query("SELECT doc_id, least(12, greatest(2, floor(n_chars / 3000 + 0.5)))::INT AS wanted FROM documents WHERE doc_id IS NOT NULL")
 def llm2_questions_wanted(spark, sf_dir: str) -> DataFrame:
     return A.documents(spark, sf_dir).select("doc_id", slices.questions_wanted(F.col("n_chars")).alias("wanted"))
@@ -621,11 +627,21 @@ def llm7_parse_json_text(spark, sf_dir: str) -> DataFrame:
     return responses(spark, sf_dir).select("book_id", "slice_key", v.isNotNull().alias("parsed"), F.try_variant_get(v, "$.questions[1].stem", "string").alias("second"))
 
 
-@query(None)
+#: What responses() makes, in SQL.
+_RESPONSES = SLICES + """,
+written AS (SELECT *, a || '-' || z AS slice_key, '{"questions":[{"stem":"Q' || a || '-' || z || '","options":[' || CASE WHEN a % 6 = 1 THEN '"one","ONE","three","all of the above"' ELSE '"A) one","two","three","four"' END || '],"correctIndex":' || CASE WHEN a % 6 = 2 THEN '7' ELSE '1' END
+  || ',"explanations":["a","b","c","d"],"sourcePassages":[' || CASE WHEN a % 6 = 3 THEN '999999' ELSE '"P' || a || '"' END || ']},{"stem":"Second","options":["A) one","two","three","four"],"correctIndex":"2","explanations":["a","b","c","d"],"sourcePassages":[' || z || ']}]}' AS body FROM slices),
+responses AS (SELECT *, CASE a % 6 WHEN 4 THEN 'Here:' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' WHEN 5 THEN 'sorry' ELSE body END AS text FROM written)"""
+
+
+@query(f"""WITH {_RESPONSES}
+SELECT book_id, slice_key, CASE WHEN a % 4 < 2 THEN '' ELSE text END AS text, CASE WHEN a % 4 = 0 OR a % 8 = 1 THEN 'blocked' WHEN a % 4 = 1 THEN 'bad-output' ELSE 'ok' END AS status,
+  CASE WHEN a % 4 <> 0 THEN chars::INT END AS prompt_tokens, NULL::INT AS output_tokens, NULL::INT AS thinking_tokens FROM responses""")
 def llm8_response_text(spark, sf_dir: str) -> DataFrame:
+    """Answers of which a quarter is refused with the prompt, an eighth declined, an eighth empty."""
     n = F.pmod(F.col("start"), F.lit(4))
     shape = lambda text, finish: F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.lit("hm").alias("text"), F.lit(True).alias("thought")), F.struct(text.alias("text"), F.lit(None).cast("boolean").alias("thought"))).alias("parts")).alias("content"), finish.alias("finishReason"))).alias("candidates"), F.struct(F.col("chars").alias("promptTokenCount")).alias("usageMetadata"))
-    body = F.when(n == 0, F.lit('{"promptFeedback":{"blockReason":"SAFETY"}}')).otherwise(F.to_json(shape(F.when(n == 1, F.lit("")).otherwise(F.col("text")), F.when(n == 1, F.lit("RECITATION")).otherwise(F.lit("STOP")))))
+    body = F.when(n == 0, F.lit('{"promptFeedback":{"blockReason":"SAFETY"}}')).otherwise(F.to_json(shape(F.when(n == 1, F.lit("")).otherwise(F.col("text")), F.when(F.col("start") % 8 == 1, F.lit("RECITATION")).otherwise(F.lit("STOP")))))
     return responses(spark, sf_dir).select("book_id", "slice_key", slices.response_text(body).alias("r")).select("book_id", "slice_key", "r.*")
 
 
@@ -642,7 +658,12 @@ def llm9_validate_drafts(spark, sf_dir: str) -> DataFrame:
     return d.select("book_id", "slice_key", "pos", "stem", F.array_join("options", ",").alias("options"), "answer", F.array_join("sources", ",").alias("sources"))
 
 
-@query(None)
+@query(f"""WITH {SLICES}, d AS (SELECT book_id, a || '-' || z AS slice_key, 0 AS pos, 'Q' || a || '-' || z AS stem FROM slices WHERE a % 6 IN (0, 4) UNION ALL SELECT book_id, a || '-' || z, 1, 'Second' FROM slices WHERE a % 6 <> 5),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id, slice_key ORDER BY pos) AS q FROM d),
+asked AS (SELECT book_id, slice_key, string_agg(concat_ws(chr(10), 'Question ' || q || ': ' || stem, '0) one', '1) two', '2) three', '3) four'), chr(10) || chr(10) ORDER BY q) AS asked FROM n GROUP BY ALL),
+l AS (SELECT s.book_id, s.a || '-' || s.z AS slice_key, string_agg('[P' || p.idx || '] ' || p.text, chr(10) ORDER BY p.idx) AS lines FROM slices s JOIN study p ON p.book_id = s.book_id AND p.idx BETWEEN s.a AND s.z AND length(p.text) >= 20 GROUP BY ALL)
+SELECT asked.book_id, asked.slice_key, concat_ws(chr(10), {', '.join("'" + r.replace("'", "''") + "'" for r in slices.CHECK_RULES)}, '', lines, '', asked) AS prompt, '{slices.CHECK_SCHEMA}' AS response_schema, 0.0::DOUBLE AS temperature
+FROM asked JOIN l ON asked.book_id = l.book_id AND asked.slice_key = l.slice_key""")
 def llm10_check_requests(spark, sf_dir: str) -> DataFrame:
     _, p, d = _drafts(spark, sf_dir)
     return slices.check_requests(d, p)

@@ -224,6 +224,14 @@ def stm2_last_attempt_stream(spark, sf_dir: str) -> DataFrame:
     return streams.run_available(streams.last_attempt_stream(e), scratch(spark, "last"), scratch(spark, "stream"))
 
 
+@query("""WITH c AS (SELECT 'q' || (event_id * 7 % 1000) AS id, event_id % 3 = 0 AS flagged, floor(epoch_us(ts) / 3600000000)::BIGINT AS "at" FROM events)
+SELECT id, flagged, "at" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at" DESC, flagged DESC) AS n FROM c) WHERE n = 1""")
+def stm2_flag_stream(spark, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    e = _event_stream(spark, sf_dir).select(F.concat(F.lit("q"), (n * 7 % 1000).cast("string")).alias("id"), (n % 3 == 0).alias("flagged"), F.floor(F.unix_micros("ts") / 3600000000).alias("at"))
+    return streams.run_available(streams.flag_stream(e), scratch(spark, "flags"), scratch(spark, "stream"))
+
+
 @query(f"WITH {A.CALLS}, d AS (SELECT *, ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles')::DATE AS day FROM calls) SELECT day, model, count(*) AS requests, bool_or(used_up) AS used_up FROM d GROUP BY day, model")
 def stm3_daily_usage_stream(spark, sf_dir: str) -> DataFrame:
     e = _event_stream(spark, sf_dir).select(F.col("event_type").alias("model"), "ts", (F.col("event_id") % 97 == 0).alias("used_up"))
