@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-
+import html
 import io
 import tempfile
 import uuid
@@ -67,6 +67,38 @@ def src2_epub_package(spark, sf_dir: str) -> DataFrame:
     return structure.spine_documents(manifest, spine).join(meta, "book_id").select("book_id", "title", "author", "path")
 
 
+def _zip_linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for n, url in zip(frame["page_id"], frame["url"], strict=True):
+            title, data = html.escape(url or "untitled"), io.BytesIO()
+            parts = "".join(f'<li><a href="text/p.xhtml#s{k}">Part {k}</a></li>' for k in range(1, n % 3 + 1))
+            pages = "".join(f'<li><a href="text/p.xhtml#p{k}">{k}</a></li>' for k in range(1, n % 5 + 1))
+            nav = f'<nav epub:type="toc"><ol><li><a href="text/p.xhtml">Nav {title}</a>{f"<ol>{parts}</ol>" if parts else ""}</li></ol></nav>' + (f'<nav epub:type="page-list"><ol>{pages}</ol></nav>' if n % 4 == 2 else "")
+            point = lambda label, src, inner="": f'<navPoint><navLabel><text>{label}</text></navLabel><content src="../text/{src}"/>{inner}</navPoint>'
+            targets = "".join(f'<pageTarget><navLabel><text>n{k}</text></navLabel><content src="../text/p.xhtml#n{k}"/></pageTarget>' for k in range(1, n % 5 + 1))
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
+                item = '<item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>' if n % 4 else ""
+                z.writestr("OPS/book.opf", f'<package><manifest>{item}<item id="x" href="ncx/toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="x"/></package>')
+                if n % 4:
+                    z.writestr("OPS/nav.xhtml", f'<html xmlns:epub="http://www.idpf.org/2007/ops"><body>{nav}{"<p>" if n % 4 == 3 else ""}</body></html>')
+                z.writestr("OPS/ncx/toc.ncx", f"<ncx><navMap>{point(f'Ncx {title}', 'p.xhtml', ''.join(point(f'Point {k}', f'p.xhtml#s{k}') for k in range(1, n % 3 + 1)))}</navMap><pageList>{targets}</pageList></ncx>")
+            out.append((f"file:/books/p{n}.epub", data.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+@query("""WITH p AS (SELECT 'p' || page_id || '.epub' AS book_id, page_id AS n, page_id % 4 IN (1, 2) AS nav, coalesce(nullif(url, ''), 'untitled') AS title FROM pages WHERE page_id IS NOT NULL),
+parts AS (SELECT *, unnest(range(1, n % 3 + 1)) AS k FROM p), leaves AS (SELECT *, unnest(range(1, n % 5 + 1)) AS k FROM p)
+SELECT book_id, 'toc' AS kind, 0 AS pos, 0 AS depth, CASE WHEN nav THEN 'Nav ' ELSE 'Ncx ' END || title AS title, 'OPS/text/p.xhtml' AS path, NULL AS fragment FROM p
+UNION ALL SELECT book_id, 'toc', k::INT, 1, CASE WHEN nav THEN 'Part ' ELSE 'Point ' END || k, 'OPS/text/p.xhtml', 's' || k FROM parts
+UNION ALL SELECT book_id, 'pages', k::INT - 1, 0, CASE WHEN n % 4 = 2 THEN '' ELSE 'n' END || k, 'OPS/text/p.xhtml', CASE WHEN n % 4 = 2 THEN 'p' ELSE 'n' END || k FROM leaves""")
+def src2_nav_links(spark, sf_dir: str) -> DataFrame:
+    """Each page as an EPUB with an NCX and, but for a quarter, a nav document: without page list, with one, or not well-formed."""
+    pages = A.read(spark, sf_dir, "pages").where("page_id IS NOT NULL").select("page_id", "url")
+    return epub.nav_links(epub.epub_members(pages.mapInPandas(_zip_linked, "path string, content binary")))
+
+
 @query("""SELECT 'p' || page_id || '.epub' AS book_id FROM pages WHERE page_id IS NOT NULL AND (page_id % 11 = 0 OR page_id % 4 <> 0)""")
 def src3_reject_protected(spark, sf_dir: str) -> DataFrame:
     return epub.reject_protected(epub.epub_members(archives(spark, sf_dir))).select("book_id").distinct()
