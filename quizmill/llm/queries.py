@@ -9,7 +9,7 @@ from quizmill.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quizmill.llm.mixing import OP8_SQL, op8_source_mixing
 from quizmill.llm.ngram_join import op10_ngram_jaccard_join
 from quizmill.llm.secret_scan import op1_secret_scan
-from quizmill.llm.sharding import op7_hash_tree_sharding
+from quizmill.llm.sharding import OP7_SQL, op7_hash_tree_sharding
 from quizmill.llm.toxicity import op3_toxicity_cnn
 from quizmill.llm.warc import OP5_SQL, op5_warc_index
 
@@ -20,4 +20,4 @@ QUERIES = {
         op6_edit_fingerprint, op7_hash_tree_sharding, op8_source_mixing, op9_latent_decontamination, op10_ngram_jaccard_join,
     )
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_warc_index": OP5_SQL, "op8_source_mixing": OP8_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_warc_index": OP5_SQL, "op7_hash_tree_sharding": OP7_SQL, "op8_source_mixing": OP8_SQL}

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quizmill.llm.common import hash_bucket, running_sum, text_of
 
+#: Rows that are numbered in one window of a shard, on average, at most.
+PER_BUCKET = 100_000
+
 
 @dataclass(frozen=True)
 class Node:
@@ -43,9 +46,9 @@ def leaves(root: Node) -> list[Node]:
 
 
 def draw(key: Column, n: Node) -> Column:
-    """-ln(u) / weight with u in (0, 1) from the hash of key and node: the least draw of siblings wins with a chance in proportion to its weight."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(n.name)), 12).cast("double")
-    return -F.log((bits + 0.5) / F.lit(float(1 << 52))) / F.lit(float(n.weight))
+    """-ln(u) / weight with u in (0, 1) from 52 bits of the md5 of key and node: the least draw of siblings wins with a chance in proportion to its weight."""
+    word = F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(n.name))), 1, 13)
+    return -F.log((F.conv(word, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))) / F.lit(float(n.weight))
 
 
 def descend(key: Column, root: Node) -> Column:
@@ -61,13 +64,15 @@ def descend(key: Column, root: Node) -> Column:
     return out
 
 
-def shard_rows(rows: DataFrame, key: str = "doc_id", root: Node | None = None, buckets: int = 256) -> DataFrame:
+def shard_rows(rows: DataFrame, key: str = "doc_id", root: Node | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
     """`rows` with shard (int), grown_shard (int: the shard with one more) and slot (long: gapless from 0 in each shard).
 
-    Columns of these names are replaced. A null key is a key like any other; rows that repeat a key share its shard and get slots of their own. Slots come from two-level counts, so no shard is numbered in one task."""
+    Columns of these names are replaced. A null key is a key like any other; rows that repeat a key share its shard and get slots of their own. Slots come from two-level counts over buckets of all text and whole-number columns, so neither a shard nor the rows of a hot or null key are numbered in one task; only rows that are equal in all those columns stay together."""
     root = root or tree()
-    placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "grown_shard": descend(F.col(key), grow(root)).cast("int"), "__bucket": hash_bucket(F.col(key), buckets), "__one": F.lit(1).cast("long")})
     order = [key, *[c for c, kind in rows.dtypes if c not in (key, "shard", "slot", "grown_shard") and kind in ("bigint", "int", "string")]]
+    buckets = max(256, -(-rows.count() // per_bucket))
+    bucket = hash_bucket(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in order]), buckets)
+    placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "grown_shard": descend(F.col(key), grow(root)).cast("int"), "__bucket": bucket, "__one": F.lit(1).cast("long")})
     return running_sum(placed.drop("slot"), "shard", "__bucket", order, "__one", "slot").drop("__bucket", "__one")
 
 
@@ -79,3 +84,40 @@ def sizes(docs: DataFrame) -> DataFrame:
 def op7_hash_tree_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return shard_rows(sizes(docs)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _nodes(root: Node) -> list[tuple[str, Node]]:
+    """(parent's name, node) of all nodes below root."""
+    return [x for c in root.children for x in [(root.name, c), *_nodes(c)]]
+
+
+def _sql_nodes(root: Node) -> str:
+    return ", ".join(f"('{parent}', '{n.name}', {n.weight}::DOUBLE, {'NULL' if n.shard is None else n.shard}::INT)" for parent, n in _nodes(root))
+
+
+def _sql_descent(name: str, root: Node) -> str:
+    """A winner for each document and inner node, and the way down three levels of them."""
+    return f"""
+{name}_nodes(parent, child, weight, shard) AS (VALUES {_sql_nodes(root)}),
+{name}_won AS (
+  SELECT k, parent, arg_min(child, -ln((('0x' || substr(md5(k || ':' || child), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight) AS child
+  FROM (SELECT DISTINCT coalesce(doc_id::VARCHAR, '') AS k FROM documents) CROSS JOIN {name}_nodes GROUP BY k, parent
+), {name} AS (
+  SELECT a.k, n.shard FROM {name}_won a JOIN {name}_won b ON a.k = b.k AND b.parent = a.child JOIN {name}_won c ON a.k = c.k AND c.parent = b.child JOIN {name}_nodes n ON n.child = c.child WHERE a.parent = 'root'
+)"""
+
+
+OP7_SQL = f"""
+WITH {_sql_descent("now", tree())}, {_sql_descent("grown", grow(tree()))}, steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), raw AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT doc_id, k, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM raw, steps
+), placed AS (
+  SELECT s.*, now.shard, grown.shard AS grown_shard, ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, size::VARCHAR, text_crc32::VARCHAR)), 1, 7))::BIGINT % greatest(256, ((SELECT count(*) FROM documents) + {PER_BUCKET - 1}) // {PER_BUCKET}) AS bucket
+  FROM sized s JOIN now ON s.k = now.k JOIN grown ON s.k = grown.k
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM placed
+"""

@@ -104,6 +104,22 @@ def test_sharding_moves_only_into_the_new_shard(spark, sf, docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_equals_sql(spark, sf):
+    cols, rows = duck_rows(queries.ORACLE_SQL["op7_hash_tree_sharding"], sf)
+    assert spark_rows(queries.QUERIES["op7_hash_tree_sharding"](spark, sf)) == rows
+
+
+def test_slots_of_a_hot_key(spark):
+    """Rows of one key and of none get slots from several buckets, gapless together."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 5).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    rows = sharding.shard_rows(df, per_bucket=10).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 3000 and len(slots) <= 2
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_weights_confine_movement(spark):
     root = sharding.tree(16)
     heavy = sharding.node("root", [sharding.node(r.name, [sharding.Node(k.name, k.weight, None, k.children) if (i, j) != (0, 0) else sharding.node(k.name, [sharding.Node(x.name, x.weight * (2 if x.shard == 0 else 1), x.shard) for x in k.children]) for j, k in enumerate(r.children)]) for i, r in enumerate(root.children)])
