@@ -64,6 +64,12 @@ def descend(key: Column, root: Node) -> Column:
     return out
 
 
+def grown_shard(key: Column, root: Node, shard: Column) -> Column:
+    """The shard in grow(root), given the one in root: the old regions' draws are what they were, so only the new one's is compared with the least of them."""
+    new = grow(root).children[-1]
+    return F.when(draw(key, new) < F.array_min(F.array(*[draw(key, c) for c in root.children])), F.lit(leaves(new)[0].shard)).otherwise(shard)
+
+
 def shard_rows(rows: DataFrame, key: str = "doc_id", root: Node | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
     """`rows` with shard (int), grown_shard (int: the shard with one more) and slot (long: gapless from 0 in each shard).
 
@@ -72,7 +78,8 @@ def shard_rows(rows: DataFrame, key: str = "doc_id", root: Node | None = None, p
     order = [key, *[c for c, kind in rows.dtypes if c not in (key, "shard", "slot", "grown_shard") and kind in ("bigint", "int", "string")]]
     buckets = max(256, -(-rows.count() // per_bucket))
     bucket = hash_bucket(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in order]), buckets)
-    placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "grown_shard": descend(F.col(key), grow(root)).cast("int"), "__bucket": bucket, "__one": F.lit(1).cast("long")})
+    placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "__bucket": bucket, "__one": F.lit(1).cast("long")})
+    placed = placed.withColumn("grown_shard", grown_shard(F.col(key), root, F.col("shard")).cast("int"))
     return running_sum(placed.drop("slot"), "shard", "__bucket", order, "__one", "slot").drop("__bucket", "__one")
 
 
