@@ -13,9 +13,11 @@ ABBREVIATIONS = (
     "U.S U.K E.U U.N e.g i.e etc cf al vs v viz approx Inc Corp Co Ltd LLC No Nos Mr Mrs Ms Dr Prof Jr Sr St Art Arts Sec Secs Fed Reg "
     "Regs Stat Pub L C.F.R U.S.C Cir Cal Civ Ct App Supp Rev Ch ch para Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec Gov Dept Assn Ass"
 ).split()
-_CLOSERS = '["”’)\\]]{0,8}'
+_CLOSERS = '["”’)\\]]*'
 _ABBREVIATED = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
-_BOUNDARY = f'(?:(?<=[!?]{_CLOSERS})|(?<=\\.{_CLOSERS})(?<!(?<![A-Za-z.])\\.{{0,3}}(?:{_ABBREVIATED}|[A-Z])\\.{_CLOSERS}))\\s+(?=["“(]?[A-Z0-9])'
+_AHEAD = '(?=["“(]?[A-Z0-9])'
+# Code points that Unicode keeps out of text: one ends a sentence, the other says that none ends here.
+_END, _GOES_ON = "\uFDD0", "\uFDD1"
 
 # Words that may lead a name without being part of it.
 LEADING = "The|A|An|This|That|These|Those|Its|Their|Under|In|By|Since|Unlike|Like|Both|Each|Also|Only|When|While|After|Before|Although|However|Because|If|As|For|Of|And|To|On|the|of|and|for|to|on|in"
@@ -60,6 +62,19 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace("\\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
+def js_blanks(pattern: str) -> str:
+    """The pattern with \\s and \\S for what JavaScript calls white space; Java's are ASCII. \\S must not stand in brackets."""
+    return pattern.replace("\\S", f"[^{WS[1:]}").replace("\\s", WS)
+
+
+def _as_meant(pattern: str) -> str:
+    return ascii_bounds(js_blanks(pattern))
+
+
+def js_words(t: Column) -> Column:
+    return F.split(t, f"{WS}+")
+
+
 def js_trim(t: Column) -> Column:
     return F.regexp_replace(t, f"^{WS}+|{WS}+\\z", "")
 
@@ -88,44 +103,47 @@ def fragment_of(href: Column) -> Column:
 
 
 def split_sentences(t: Column) -> Column:
-    """Array of sentences, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(t, _BOUNDARY), js_trim), lambda s: s != "")
+    """Array of sentences, trimmed, without empty ones. A run of letters and dots that is an abbreviation or an initial is marked first, so that its dot ends nothing."""
+    short = js_blanks(f"(?<![A-Za-z.])(\\.*(?:{_ABBREVIATED}|[A-Z])\\.{_CLOSERS})(?=\\s+{_AHEAD})")
+    marked = F.regexp_replace(t, short, f"$1{_GOES_ON}")
+    cut = F.replace(F.regexp_replace(marked, js_blanks(f"([.!?]{_CLOSERS})\\s+{_AHEAD}"), f"$1{_END}"), F.lit(_GOES_ON), F.lit(""))
+    return F.filter(F.transform(F.split(cut, _END), js_trim), lambda s: s != "")
 
 
 def key_of(t: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), "’", "'"), "\\s+", " "))
+    return js_trim(F.regexp_replace(F.replace(F.lower(t), F.lit("’"), F.lit("'")), f"{WS}+", " "))
 
 
 def strip_leading(t: Column) -> Column:
-    return F.regexp_replace(F.trim(t), f"^(?:(?:{LEADING})\\s+)+", "")
+    return F.regexp_replace(js_trim(t), js_blanks(f"^(?:(?:{LEADING})\\s+)+"), "")
 
 
 def clean_definition(t: Column) -> Column:
     """First sentence without "See also", lead-ins, closing marks and an unclosed aside; capitalised."""
-    first = F.coalesce(F.get(split_sentences(F.trim(F.regexp_replace(t, ascii_bounds("\\bSee also [^.]+\\.\\s*"), ""))), 0), F.lit(""))
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(first, "(?i)^(?:defined as|known as)\\s+", ""), "[.;:]+\\z", ""))
-    tidy = F.regexp_replace(tidy, "^(.+?)[\\s,;:]*\\([^()]*\\z", "$1")
+    first = F.coalesce(F.get(split_sentences(js_trim(F.regexp_replace(t, _as_meant("\\bSee also [^.]+\\.\\s*"), ""))), 0), F.lit(""))
+    tidy = js_trim(F.regexp_replace(F.regexp_replace(first, js_blanks("(?i)^(?:defined as|known as)\\s+"), ""), "[.;:]+\\z", ""))
+    tidy = F.regexp_replace(tidy, js_blanks("^(.+?)[\\s,;:]*\\([^()]*\\z"), "$1")
     return F.concat(F.upper(F.substring(tidy, 1, 1)), F.substring(tidy, F.lit(2), F.length(tidy)))
 
 
 def plausible_term(t: Column) -> Column:
-    words = F.split(t, "\\s+")
+    words = js_words(t)
     n = F.size(words)
     return (
         n.between(1, 6) & (F.length(t) >= 3) & ~F.lower(words[0]).isin(NOT_TERMS) & ~t.rlike('[,;:?!<>=“”"]|\\d|percent')
         & ~F.element_at(words, -1).rlike("(?i)^(?:a|an|the|of|to|and|or|is|are)\\z")
-        & ~t.rlike(ascii_bounds("\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b"))
+        & ~t.rlike(_as_meant("\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b"))
         & ~(words[0].rlike("(?i)ing\\z") & F.coalesce(F.get(words, 1).rlike("(?i)^(?:a|an|the|every|each|your|our)\\z"), F.lit(False)))
     )
 
 
 def plausible_definition(d: Column) -> Column:
-    n = F.size(F.split(d, "\\s+"))
+    n = F.size(js_words(d))
     return (
         n.between(5, 45)
-        & ~d.rlike('[!?]|[,.]["”’](?:\\s|\\z)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{}=]')
-        & ~d.rlike(ascii_bounds("(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)"))
-        & ~d.rlike(ascii_bounds(PERSON))
+        & ~d.rlike(js_blanks('[!?]|[,.]["”’](?:\\s|\\z)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{}=]'))
+        & ~d.rlike(_as_meant("(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)"))
+        & ~d.rlike(_as_meant(PERSON))
     )
 
 
@@ -135,26 +153,26 @@ def _entry(ok: Column, term: Column, definition: Column) -> Column:
 
 def definition_in_sentence(s: Column) -> Column:
     """struct(term, definition) or null."""
-    part = lambda i: F.regexp_extract(s, DEFINITION, i)
-    term, verb = F.trim(part(1)), part(2)
-    explicit = part(3).rlike("^defined as\\s+")
-    body = F.trim(F.regexp_replace(part(3), "^defined as\\s+", ""))
-    article = F.regexp_extract(body, "^(?:a|an|the|any|one of the|one of)\\s+(\\S+)", 1)
+    part = lambda i: F.regexp_extract(s, js_blanks(DEFINITION), i)
+    term, verb = js_trim(part(1)), part(2)
+    explicit = part(3).rlike(js_blanks("^defined as\\s+"))
+    body = js_trim(F.regexp_replace(part(3), js_blanks("^defined as\\s+"), ""))
+    article = F.regexp_extract(body, js_blanks("^(?:a|an|the|any|one of the|one of)\\s+(\\S+)"), 1)
     plain = verb.isin("is", "are") & ~explicit
-    described = body.rlike(ascii_bounds(f"^(?:{NOT_DEFINING})\\b"))
+    described = body.rlike(_as_meant(f"^(?:{NOT_DEFINING})\\b"))
     opinion = F.regexp_replace(F.lower(article), "\\W", "").isin(EVALUATIVE)
-    clause = body.rlike(ascii_bounds("^\\S+(?:\\s+\\S+){0,8}?\\s+(?:that|which|who|whose|where)\\b"))
-    good = F.when(plain, ~described & F.when(article != "", ~opinion).otherwise(clause)).otherwise(~body.rlike(ascii_bounds("(?i)^that\\b")))
+    clause = body.rlike(_as_meant("^\\S+(?:\\s+\\S+){0,8}?\\s+(?:that|which|who|whose|where)\\b"))
+    good = F.when(plain, ~described & F.when(article != "", ~opinion).otherwise(clause)).otherwise(~body.rlike(_as_meant("(?i)^that\\b")))
     found = (verb != "") & ~s.rlike("^[\"“‘']|[!?]")
     return _entry(found & good & plausible_term(term) & plausible_definition(body), term, clean_definition(body))
 
 
 def glossary_entry(t: Column) -> Column:
     """struct(term, definition) or null."""
-    text = F.trim(t)
-    term = F.trim(F.regexp_replace(F.regexp_extract(text, GLOSSARY, 1), "\\s*\\([^)]*\\)\\z", ""))
-    definition = clean_definition(F.regexp_extract(text, GLOSSARY, 2))
-    return _entry(text.rlike(GLOSSARY) & plausible_term(term) & plausible_definition(definition), term, definition)
+    text = js_trim(t)
+    term = js_trim(F.regexp_replace(F.regexp_extract(text, js_blanks(GLOSSARY), 1), js_blanks("\\s*\\([^)]*\\)\\z"), ""))
+    definition = clean_definition(F.regexp_extract(text, js_blanks(GLOSSARY), 2))
+    return _entry(text.rlike(js_blanks(GLOSSARY)) & plausible_term(term) & plausible_definition(definition), term, definition)
 
 
 def lower_first(t: Column) -> Column:
@@ -170,8 +188,8 @@ def related(a: Column, b: Column) -> Column:
 
 
 def fnv1a32(t: Column) -> Column:
-    """Unsigned 32-bit FNV-1a over the text's UTF-16 units (characters of the first plane)."""
-    units = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """Unsigned 32-bit FNV-1a over the text's UTF-16 units."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(t, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
     return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * 16777619, F.lit(1 << 32)))
 
 
@@ -185,7 +203,7 @@ def seeded(seed: Column, key: Column) -> Column:
 
 
 def is_study_passage(kind: Column, path: Column) -> Column:
-    return (kind != "heading") & ~F.exists(path, lambda p: F.trim(p).rlike(SKIPPED_SECTION))
+    return (kind != "heading") & ~F.exists(path, lambda p: js_trim(p).rlike(SKIPPED_SECTION))
 
 
 def chapter_of(path: Column) -> Column:

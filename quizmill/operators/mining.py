@@ -39,8 +39,9 @@ def _mentions(sentence: Column) -> Column:
     """Matches of all patterns with the text before them removed, so that what follows a match can be seen: (pattern, n, name, acronym)."""
 
     def of(p: int, kind: str, pattern: str) -> Column:
+        pattern = T.ascii_bounds(T.js_blanks(pattern))
         found = F.regexp_extract_all(sentence, F.lit(f"({pattern})"), F.lit(1))
-        follows = F.regexp_extract_all(sentence, F.lit(f"(?:{pattern})(?:\\s*\\(([A-Z][A-Z0-9&]{{1,7}})\\))?"), F.lit(1))
+        follows = F.regexp_extract_all(sentence, F.lit(f"(?:{pattern})" + T.js_blanks("(?:\\s*\\(([A-Z][A-Z0-9&]{1,7})\\))?")), F.lit(1))
         return F.transform(found, lambda m, i: F.struct(F.lit(p).alias("pattern"), i.alias("n"), F.lit(kind).alias("kind"), m.alias("raw"), F.coalesce(F.get(follows, i), F.lit("")).alias("acronym")))
 
     return F.concat(*[of(p, kind, pattern) for p, (kind, pattern) in enumerate(ENTITY_PATTERNS)])
@@ -49,7 +50,7 @@ def _mentions(sentence: Column) -> Column:
 def find_entities(sents: DataFrame) -> DataFrame:
     """(book_id, key, name, kind, acronym): laws and agencies. The first mention in reading order names the entity; the first acronym found right after any mention is its acronym."""
     hits = sents.where(F.col("sentence").rlike("[A-Z]")).select("book_id", "idx", "pos", F.explode(_mentions(F.col("sentence"))).alias("m"))
-    named = hits.withColumn("name", T.strip_leading(F.col("m.raw"))).where(F.size(F.split("name", "\\s+")) >= 2)
+    named = hits.withColumn("name", T.strip_leading(F.col("m.raw"))).where(F.size(T.js_words(F.col("name"))) >= 2)
     order = F.struct("idx", "pos", "m.pattern", "m.n")
     return named.groupBy("book_id", T.key_of(F.col("name")).alias("key")).agg(
         F.min_by("name", order).alias("name"), F.min_by("m.kind", order).alias("kind"),
@@ -62,16 +63,16 @@ def find_duties(sents: DataFrame, entities: DataFrame) -> DataFrame:
 
     Names are found by an equi join on the beginnings of the sentence that end at a word's end, not by trying every entity. Of several names the longest decides, even if its sentence then fails."""
     body = F.regexp_replace("sentence", "\\.\\z", "")
-    lead = F.regexp_extract(body, "^(Under (?:the )?|The\\s+)?", 1)
+    lead = F.regexp_extract(body, T.js_blanks("^(Under (?:the )?|The\\s+)?"), 1)
     form = lambda lead, rest: F.struct(lead.alias("lead"), rest.alias("rest"))
     # "The X" may also be a name that begins with The
     forms = F.concat(F.array(form(lead, F.substring(body, F.length(lead) + 1, F.length(body)))), F.when(lead.startswith("The"), F.array(form(F.lit(""), body))).otherwise(F.array().cast("array<struct<lead:string,rest:string>>")))
     seen = sents.where(F.col("sentence").rlike("^[A-Z]")).select("book_id", "idx", "pos", "sentence", "chapter", F.explode(forms).alias("f"))
     names = entities.select("book_id", "key", "name", "kind", "acronym", F.explode(F.filter(F.array("name", "acronym"), lambda x: x.isNotNull())).alias("start"))
     # a sentence whose first word begins no name goes no further; of the others as many beginnings as the longest such name has words
-    pieces = F.split("start", _WORD_ENDS)
+    pieces = F.split("start", T.js_blanks(_WORD_ENDS))
     firsts = names.groupBy("book_id", pieces[0].alias("_first")).agg(F.max(F.size(pieces)).alias("_longest"))
-    cut = seen.select("book_id", "idx", "pos", "sentence", "chapter", F.col("f.lead").alias("_lead"), F.col("f.rest").alias("_rest"), F.split("f.rest", _WORD_ENDS).alias("_words")).withColumn("_first", F.get("_words", 0))
+    cut = seen.select("book_id", "idx", "pos", "sentence", "chapter", F.col("f.lead").alias("_lead"), F.col("f.rest").alias("_rest"), F.split("f.rest", T.js_blanks(_WORD_ENDS)).alias("_words")).withColumn("_first", F.get("_words", 0))
     few = cut.join(firsts, ["book_id", "_first"])
     starts = F.transform(F.sequence(F.lit(1), F.least(F.size("_words"), F.col("_longest"))), lambda n: F.array_join(F.slice("_words", 1, n), ""))
     begun = few.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(starts).alias("start"))
@@ -79,15 +80,17 @@ def find_duties(sents: DataFrame, entities: DataFrame) -> DataFrame:
     after = F.substring("_rest", F.length("start") + 1, F.length("_rest"))
     under = F.col("_lead").startswith("Under")
     acronym = "(?:\\s*\\([A-Z][A-Z0-9&]{1,7}\\))?"
-    said = F.when(under, F.regexp_extract(after, f"^{acronym},\\s+(.+)\\z", 1)).otherwise(F.regexp_extract(after, f"^{acronym}(?:,\\s+[^,]{{3,90}},)?\\s+(.+)\\z", 1))
+    after_name = lambda pattern: F.regexp_extract(after, T.js_blanks(pattern), 1)
+    said = F.when(under, after_name(f"^{acronym},\\s+(.+)\\z")).otherwise(after_name(f"^{acronym}(?:,\\s+[^,]{{3,90}},)?\\s+(.+)\\z"))
     framed = hit.withColumns({"said": said, "under": under}).where("said != ''")
     best = Window.partitionBy("book_id", "idx", "pos").orderBy(F.length("name").desc(), "key")
     first = framed.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    was, rest_said = F.regexp_extract("said", _ENACTED, 1), F.regexp_extract("said", _ENACTED, 2)
-    enacted = F.col("said").rlike(_ENACTED)
-    plain = F.regexp_replace(F.when(was == "and", rest_said).otherwise(F.col("said")), _ADVERB, "")
-    predicate = F.when(F.col("under"), F.col("said")).when(enacted & (was == "to"), F.concat(F.lit("was enacted to "), rest_said)).when((~enacted | (was == "and")) & plain.rlike(f"^(?:{DUTY_VERBS})\\b"), plain)
-    told = first.withColumn("predicate", predicate).where(F.col("predicate").isNotNull() & F.size(F.split("predicate", "\\s+")).between(4, 40))
+    passed = T.js_blanks(_ENACTED)
+    was, rest_said = F.regexp_extract("said", passed, 1), F.regexp_extract("said", passed, 2)
+    enacted = F.col("said").rlike(passed)
+    plain = F.regexp_replace(F.when(was == "and", rest_said).otherwise(F.col("said")), T.js_blanks(_ADVERB), "")
+    predicate = F.when(F.col("under"), F.col("said")).when(enacted & (was == "to"), F.concat(F.lit("was enacted to "), rest_said)).when((~enacted | (was == "and")) & plain.rlike(T.ascii_bounds(f"^(?:{DUTY_VERBS})\\b")), plain)
+    told = first.withColumn("predicate", predicate).where(F.col("predicate").isNotNull() & F.size(T.js_words(F.col("predicate"))).between(4, 40))
     inside = lambda name: F.coalesce(F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("predicate"), "[^a-z0-9_]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(F.lower(name), "[^a-z0-9_]+", " "), F.lit(" "))), F.lit(False))
     clean = told.where(~inside("name") & ~inside("acronym"))
     return clean.select("book_id", "idx", "pos", "key", "name", "kind", "acronym", F.regexp_replace("predicate", "[.;:,]+\\z", "").alias("predicate"), "under", "sentence", "chapter")
@@ -110,14 +113,14 @@ def glossary_candidates(passages: DataFrame) -> DataFrame:
     rows = study.withColumns({"_next": F.lead("text").over(w), "_at": F.lead("idx").over(w), "entry": T.glossary_entry(F.col("text")), "chapter": T.chapter_of(F.col("path"))}).where(_in_glossary(F.col("path")))
     one = rows.where(F.col("entry").isNotNull()).select("book_id", "idx", F.lit(0).alias("pos"), "entry.*", F.col("text").alias("sentence"), "chapter")
     definition = T.clean_definition(F.col("_next"))
-    short = (F.col("_at") == F.col("idx") + 1) & ~F.col("text").rlike("[.!?]\\z") & (F.size(F.split("text", "\\s+")) <= 6)
+    short = (F.col("_at") == F.col("idx") + 1) & ~F.col("text").rlike("[.!?]\\z") & (F.size(T.js_words(F.col("text"))) <= 6)
     two = rows.where(F.col("entry").isNull() & short & T.plausible_term(F.col("text")) & T.plausible_definition(definition))
     return one.unionByName(two.select("book_id", F.col("_at").alias("idx"), F.lit(-1).alias("pos"), F.col("text").alias("term"), definition.alias("definition"), F.col("_next").alias("sentence"), "chapter"))
 
 
 def sentence_candidates(sents: DataFrame) -> DataFrame:
     """The same columns from sentences outside glossaries and prefaces."""
-    rows = sents.where(~_in_glossary(F.col("path")) & ~F.col("chapter").rlike(T.NOT_CONCEPT_SECTION) & F.col("sentence").rlike("\\s(?:is|are|refers to|means|denotes)\\s"))
+    rows = sents.where(~_in_glossary(F.col("path")) & ~F.col("chapter").rlike(T.NOT_CONCEPT_SECTION) & F.col("sentence").rlike(T.js_blanks("\\s(?:is|are|refers to|means|denotes)\\s")))
     found = rows.withColumn("entry", T.definition_in_sentence(F.col("sentence"))).where(F.col("entry").isNotNull())
     return found.select("book_id", "idx", "pos", "entry.*", "sentence", "chapter")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.functions.text import CITATION, NOTE_LIKE, NUMBERED, ascii_bounds, is_study_passage
+from quizmill.functions.text import CITATION, NOTE_LIKE, NUMBERED, ascii_bounds, is_study_passage, js_blanks
 
 
 def load_blocks(blocks: DataFrame, book_id: str, start: int, end: int) -> DataFrame:
@@ -13,10 +13,21 @@ def load_blocks(blocks: DataFrame, book_id: str, start: int, end: int) -> DataFr
     return blocks.where((F.col("book_id") == book_id) & (F.col("idx") >= start) & (F.col("idx") < end)).orderBy("idx")
 
 
+def load_ranges(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
+    """load_blocks for a table of requests (book_id, start, end): each block once for every request that holds it."""
+    held = blocks.join(ranges.select("book_id", "start", "end"), "book_id").where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
+    return held.select(*blocks.columns)
+
+
 def load_all_blocks(blocks: DataFrame, book_id: str) -> DataFrame:
     return blocks.where(F.col("book_id") == book_id).orderBy("idx")
 
 
+def load_books(blocks: DataFrame, ids: DataFrame) -> DataFrame:
+    """load_all_blocks for the books in `ids` (book_id)."""
+    return blocks.join(ids.select("book_id"), "book_id", "left_semi")
+
+
 def list_books(books: DataFrame) -> DataFrame:
     return books.orderBy("imported_at", "id")
 
@@ -24,10 +35,10 @@ def list_books(books: DataFrame) -> DataFrame:
 def note_blocks(blocks: DataFrame) -> DataFrame:
     """blocks with is_note: numbered lines with a citation, or next to a numbered line (by index) and like a note themselves."""
     w = Window.partitionBy("book_id").orderBy("idx")
-    rows = blocks.withColumn("_numbered", (F.col("kind") != "heading") & F.col("text").rlike(NUMBERED))
+    rows = blocks.withColumn("_numbered", (F.col("kind") != "heading") & F.col("text").rlike(js_blanks(NUMBERED)))
     near = lambda f, step: F.coalesce((f("idx").over(w) == F.col("idx") + step) & f("_numbered").over(w), F.lit(False))
     in_run = near(F.lag, -1) | near(F.lead, 1)
-    note = F.col("_numbered") & (F.col("text").rlike(ascii_bounds(CITATION)) | (in_run & F.col("text").rlike(ascii_bounds(NOTE_LIKE))))
+    note = F.col("_numbered") & (F.col("text").rlike(ascii_bounds(js_blanks(CITATION))) | (in_run & F.col("text").rlike(ascii_bounds(js_blanks(NOTE_LIKE)))))
     return rows.withColumn("is_note", note).drop("_numbered")
 
 

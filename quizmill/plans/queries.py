@@ -39,7 +39,7 @@ study AS (SELECT * FROM noted WHERE kind <> 'heading' AND NOT is_note AND NOT re
 _SPLIT = r"""regexp_replace({0}, '([.!?]["”’)\]]*)\s+(["“(]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g')"""
 SENTENCES = NOTED + """,
 pieces AS (SELECT book_id, idx, path, unnest(string_split(marked, chr(1))) AS piece, unnest(range(len(string_split(marked, chr(1))))) AS n FROM (SELECT *, """ + _SPLIT.format("text") + """ AS marked FROM study WHERE kind IN ('paragraph', 'list-item'))),
-joined AS (SELECT *, sum(CASE WHEN coalesce(regexp_matches(before, '(^|[^A-Za-z.])\\.{0,3}(?:""" + _ABBR + """|[A-Z])\\.["”’)\\]]{0,8}$'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, idx ORDER BY n) AS g
+joined AS (SELECT *, sum(CASE WHEN coalesce(regexp_matches(before, '(^|[^A-Za-z.])\\.*(?:""" + _ABBR + """|[A-Z])\\.["”’)\\]]*$'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY book_id, idx ORDER BY n) AS g
   FROM (SELECT *, lag(piece) OVER (PARTITION BY book_id, idx ORDER BY n) AS before FROM pieces)),
 glued AS (SELECT book_id, idx, any_value(path) AS path, g, regexp_replace(string_agg(piece, ' ' ORDER BY n), '^\\s+|\\s+$', '', 'g') AS sentence FROM joined GROUP BY book_id, idx, g),
 sents AS (SELECT book_id, idx, path, path[1] AS chapter, row_number() OVER (PARTITION BY book_id, idx ORDER BY g) - 1 AS pos, sentence FROM glued WHERE sentence <> '')"""
@@ -48,14 +48,17 @@ sents AS (SELECT book_id, idx, path, path[1] AS chapter, row_number() OVER (PART
 # ---------------------------------------------------------------- sources and structure
 
 
-@query(f"WITH {A.BLOCKS} SELECT book_id, idx, text FROM blocks WHERE book_id = 'b1' AND idx >= 10 AND idx < 60")
+@query(f"WITH {A.BLOCKS}, n AS (SELECT book_id, count(*) AS c FROM blocks GROUP BY book_id) SELECT book_id, idx, text FROM blocks JOIN n USING (book_id) WHERE idx >= c // 4 AND idx < c * 3 // 4")
 def src6_load_blocks(spark, sf_dir: str) -> DataFrame:
-    return passages.load_blocks(A.blocks(spark, sf_dir), "b1", 10, 60).select("book_id", "idx", "text")
+    """The middle half of every book."""
+    c = F.col("block_count")
+    asked = _counts(spark, sf_dir).select("book_id", F.floor(c / 4).alias("start"), F.floor(c * 3 / 4).alias("end"))
+    return passages.load_ranges(A.blocks(spark, sf_dir), asked).select("book_id", "idx", "text")
 
 
-@query(f"WITH {A.BLOCKS} SELECT book_id, idx, kind, page FROM blocks WHERE book_id = 'b0'")
+@query(f"WITH {A.BLOCKS} SELECT book_id, idx, kind, page FROM blocks")
 def src6_load_all_blocks(spark, sf_dir: str) -> DataFrame:
-    return passages.load_all_blocks(A.blocks(spark, sf_dir), "b0").select("book_id", "idx", "kind", "page")
+    return passages.load_books(A.blocks(spark, sf_dir), A.books(spark, sf_dir).select(F.col("id").alias("book_id"))).select("book_id", "idx", "kind", "page")
 
 
 @query(f"WITH {A.BOOKS} SELECT id, title, imported_s FROM books")
@@ -127,11 +130,12 @@ def str11_segment_starts(spark, sf_dir: str) -> DataFrame:
     return _starts(spark, sf_dir)
 
 
-@query(f"""WITH {_STARTS}, p AS (SELECT c.book_id, k.k * 13 - 20 AS position, least(greatest(k.k * 13 - 20, 0), block_count - 1) AS "at" FROM counts c, range(60) k(k))
+@query(f"""WITH {_STARTS}, q AS (SELECT book_id, block_count, unnest(range(-20, block_count + 21, 13)) AS position FROM counts), p AS (SELECT book_id, position, least(greatest(position, 0), block_count - 1) AS "at" FROM q)
 SELECT p.book_id, position, start + ("at" - start) // 5 * 5 AS start, least(start + ("at" - start) // 5 * 5 + 5, stop) AS "end" FROM p ASOF JOIN sections s ON p.book_id = s.book_id AND p."at" >= s.start""")
 def str12_segment_for(spark, sf_dir: str) -> DataFrame:
+    """Every thirteenth position of every book, from before its start to beyond its end."""
     counts = _counts(spark, sf_dir)
-    asked = counts.select("book_id", F.explode(F.sequence(F.lit(-20), F.lit(59 * 13 - 20), F.lit(13))).alias("position"))
+    asked = counts.select("book_id", F.explode(F.sequence(F.lit(-20).cast("long"), F.col("block_count") + 20, F.lit(13).cast("long"))).alias("position"))
     return structure.segment_for(asked, _starts(spark, sf_dir), counts, 5)
 
 
@@ -321,7 +325,7 @@ def min6_term_counts(spark, sf_dir: str) -> DataFrame:
     return mining.term_counts(c.select("book_id", T.key_of(F.col("term")).alias("key")), study)
 
 
-_ENDS_SHORT = f"(^|[^A-Za-z.])\\.{{0,3}}(?:{_ABBR}|[A-Z])\\.[\"”’)\\]]{{0,8}}$"
+_ENDS_SHORT = f"(^|[^A-Za-z.])\\.*(?:{_ABBR}|[A-Z])\\.[\"”’)\\]]*$"
 
 
 def _first_sentence(x: str) -> str:

@@ -69,3 +69,12 @@ def test_one_book_alone_equals_that_book_in_a_corpus(spark):
     both = mining.find_entities(mining.sentences(passages.study_passages(blocks)))
     one = mining.find_entities(mining.sentences(passages.study_passages(blocks.where("book_id = 'x'"))))
     assert sorted(map(tuple, both.where("book_id = 'x'").collect())) == sorted(map(tuple, one.collect()))
+
+
+def test_loading_blocks(spark):
+    blocks = spark.createDataFrame([(b, i) for b in ("x", "y") for i in range(5)], "book_id string, idx long")
+    assert [tuple(r) for r in passages.load_blocks(blocks, "x", 1, 3).collect()] == [("x", 1), ("x", 2)]
+    assert [r["idx"] for r in passages.load_all_blocks(blocks, "y").collect()] == [0, 1, 2, 3, 4]
+    asked = spark.createDataFrame([("x", 3, 9), ("y", 0, 1), ("y", 0, 2), ("z", 0, 9)], "book_id string, start long, end long")
+    assert sorted(tuple(r) for r in passages.load_ranges(blocks, asked).collect()) == [("x", 3), ("x", 4), ("y", 0), ("y", 0), ("y", 1)]
+    assert passages.load_books(blocks, asked).count() == 10

@@ -19,6 +19,9 @@ def one(spark, f, *values):
         ("J. Smith said “yes.” Nobody else did.", ["J. Smith said “yes.”", "Nobody else did."]),
         ("no capital. follows here", ["no capital. follows here"]),
         ("", []),
+        ("He left.”))))))))))) Then she did. ......Inc. The end", ["He left.”)))))))))))", "Then she did. ......Inc. The end"]),
+        ("etc.. Next one", ["etc..", "Next one"]),
+        ("One ends.\u00a0Two\u3000starts", ["One ends.", "Two\u3000starts"]),
     ],
 )
 def test_split_sentences(spark, text, expected):
@@ -87,14 +90,21 @@ def test_clean_definition_drops_open_aside(spark):
     assert one(spark, T.clean_definition, "known as a ring of trusted firms (Books") == "A ring of trusted firms"
 
 
+def test_blanks_beyond_ascii(spark):
+    assert one(spark, T.key_of, "\u00a0Data\u2003 Fiduciary’s\u3000") == "data fiduciary's"
+    assert one(spark, T.strip_leading, "Under\u00a0the Data Act") == "Data Act"
+    assert one(spark, T.definition_in_sentence, "A covenant\u00a0is a promise that\u2003binds two firms.")["term"] == "covenant"
+
+
 def test_fnv_and_ids(spark):
     def fnv(t):
         h = 0x811C9DC5
-        for c in t:
-            h = ((h ^ ord(c)) * 0x01000193) % 2**32
+        units = t.encode("utf-16-be")
+        for i in range(0, len(units), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2])) * 0x01000193) % 2**32
         return h
 
-    for t in ("", "a", "book|define|data minimization", "é|x"):
+    for t in ("", "a", "book|define|data minimization", "é|x", "a\U0001f600b\ufeff"):
         assert one(spark, T.fnv1a32, t) == fnv(t)
     n, out = fnv("b|define|k"), ""
     while n:
