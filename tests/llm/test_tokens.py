@@ -30,7 +30,7 @@ def test_rounds(spark):
     of = lambda text: spark.createDataFrame([("k", text)], "key string, text string")
     assert tc.huge_counts(of("some words " * 900), FILES[0], 128, 32, 4)[1] == 1
     found, rounds = tc.huge_counts(of("x" * 9_000), FILES[0], 128, 32, 4)
-    assert rounds == 5 and found.collect()[0].tokens == vocab.count_tokens(FILES[0], ["x" * 9_000])[0]
+    assert rounds == 4 and found.collect()[0].tokens == vocab.count_tokens(FILES[0], ["x" * 9_000])[0]
 
 
 def test_disagreeing_neighbours_are_not_spliced(spark, monkeypatch):
