@@ -92,3 +92,15 @@ def count_tokens(name: str, texts: list[str]) -> list[int]:
     if name.endswith(".tiktoken"):
         return [len(model.encode_ordinary(t)) for t in texts]
     return [len(x) for x in model.encode(texts, num_threads=1)]
+
+
+def token_bytes(name: str) -> list[bytes]:
+    """What each id stands for: byte-level entries decoded; sentencepiece's pieces in UTF-8 with U+2581 as a space, byte pieces as their byte."""
+    model = load(name)
+    if name.endswith(".model"):
+        return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(model.id_to_piece(i) for i in range(model.get_piece_size()))]
+    if name.endswith(".tiktoken"):
+        return [model.decode_single_token_bytes(i) for i in range(model.n_vocab)]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return [bytes(of[c] for c in token) if all(c in of for c in token) else token.encode() for token in (model.id_to_token(i) for i in range(model.get_vocab_size()))]
