@@ -73,7 +73,7 @@ class _Side:
         return ids if b"".join(map(self.bytes.__getitem__, ids.tolist())) == "".join(f" {w}" for w in words).encode() else None
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a space and each word, one word after another; how many tokens each word has; whether they are the word's bytes. No word but empty ones may end in white space here."""
+        """Ids of a space and each word, one word after another; how many tokens each word has; whether they are the word's bytes. No word may be empty or end in white space."""
         sizes = np.array([len(w.encode()) + 1 for w in words], np.int64)
         ids = self.joined(words) if words else np.empty(0, np.int32)
         if ids is not None:
@@ -129,9 +129,10 @@ class _Aligner:
     def learn(self, words: list[str]) -> None:
         n = len(words)
         sides, good = [], np.ones(n, bool)
-        odd = [w for w in words if "▁" in w or w[-1:].isspace()]
-        usual = [w for w in words if not ("▁" in w or w[-1:].isspace())]
-        words[:] = usual + odd  # odd ones are encoded one by one
+        usual, odd = [], []  # odd ones are encoded one by one: behind white space the joined text has no sure boundary
+        for w in words:
+            (odd if not w or w[-1].isspace() or "▁" in w else usual).append(w)
+        words[:] = usual + odd
         for side in (self.a, self.b):
             ids, sizes, fine = side.words(usual)
             each = side.encode(odd)
