@@ -23,8 +23,12 @@ MEMO = 600_000
 _KNOWN: dict[str, dict[str, int]] = {}
 
 
+#: A word, cut between a letter or digit and the stops at its end: there a unit of the pattern ends.
+_STOPPED = re.compile("(.*[0-9A-Za-z\u00c0-\u024f])([.,]+)", re.DOTALL)
+
+
 def whole_counts(name: str, texts: list[str]) -> list[int]:
-    """Tokens of each text. Where the splitter drops white space, a text's count is the sum of its words' (all ends of words are stable), and a worker encodes a word once."""
+    """Tokens of each text. Where the splitter drops white space, a text's count is the sum of its words' (all ends of words are stable), and a worker encodes a word once, without the stops behind it."""
     stable = vocab.stable_boundary(name).pattern
     if stable != vocab.AFTER_BLANK:
         return vocab.count_tokens(name, texts)
@@ -32,8 +36,11 @@ def whole_counts(name: str, texts: list[str]) -> list[int]:
     known = _KNOWN.setdefault(name, {})
     if len(known) > MEMO:
         known.clear()
-    new = list(set(chain.from_iterable(parts)).difference(known))
-    known.update(zip(new, vocab.count_tokens(name, new), strict=True))
+    new = set(chain.from_iterable(parts)).difference(known)
+    cut = [(w, *m.groups()) for w in new if w[-1] in ".," and (m := _STOPPED.fullmatch(w))]
+    bare = list(new.difference([c[0] for c in cut]).union([x for c in cut for x in c[1:]]).difference(known))
+    known.update(zip(bare, vocab.count_tokens(name, bare), strict=True))
+    known.update((w, known[stem] + known[stops]) for w, stem, stops in cut)
     return [sum(map(known.__getitem__, p)) for p in parts]
 
 
