@@ -23,8 +23,8 @@ MEMO = 600_000
 _KNOWN: dict[str, dict[str, int]] = {}
 
 
-#: A word, cut between a letter or digit and the stops at its end: there a unit of the pattern ends.
-_STOPPED = re.compile("(.*[0-9A-Za-z\u00c0-\u024f])([.,]+)", re.DOTALL)
+#: A word, cut between a letter or digit (that stays one when lower-cased) and the stops at its end: there a unit of the pattern ends.
+_STOPPED = re.compile("(.*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,]+)", re.DOTALL)
 
 
 def whole_counts(name: str, texts: list[str]) -> list[int]:

@@ -10,7 +10,7 @@ FILES = ("word_bpe_49k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", "b
 HARD = [
     "x" * 30_000, "x" * 500 + " " + "y" * 9_000 + " " + "z" * 700, None, "", " ", "\n", "a b " * 900, "\n \n  a" * 1_000, "1 2<|endoftext|> 3" * 500, "É é ́a" * 400, "日本 語" * 800,
     "it's  we'll   x  y z \x1c!\x1d w" * 90, "▁a ▁" * 300, "tab\tand\r\nline " * 200,
-    "Stop. stop., STOP,. 1. 2,, é. É, ǆ. ı. ß. İ. x̣. 's. n't, !., .,. ., .a a.b. <|endoftext|>. it's, ½. Ⅻ, 한. 日, ½.",
+    "Stop. stop., STOP,. 1. 2,, é. É, ǆ. ı. ß. İ. ×. ÷. x̣. 's. n't, !., .,. ., .a a.b. <|endoftext|>. it's, ½. Ⅻ, 한. 日, ½.",
 ]
 
 
