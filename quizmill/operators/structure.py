@@ -18,26 +18,39 @@ def number_blocks(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("idx", F.row_number().over(Window.partitionBy("book_id").orderBy("spine_pos", "seq")) - 1)
 
 
+def place(spine_pos: Column, seq: Column) -> Column:
+    """One key for the reading order over the files of a book and the tokens of a file."""
+    return F.shiftleft(spine_pos.cast("long"), 32) + seq
+
+
 def resolve_toc(links: DataFrame, anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """Contents links (book_id, pos, title, depth, path, fragment) with block_index and via.
 
-    anchors (book_id, path, fragment, g): g is the place in reading order of an anchor; blocks (book_id, path, g, idx). A link goes to the first block at or after its anchor; without a fragment or with an unseen one to the first block of its file, else to the next block emitted. Links of files that are not read, or after the last block, are dropped."""
-    first_anchor = anchors.groupBy("book_id", "path", "fragment").agg(F.min("g").alias("anchor_g"))
-    files = anchors.where(F.col("fragment").isNull()).groupBy("book_id", "path").agg(F.min("g").alias("file_g"))
-    placed = links.join(first_anchor.where(F.col("fragment").isNotNull()), ["book_id", "path", "fragment"], "left").join(files, ["book_id", "path"], "left")
-    goal = placed.withColumn("g", F.coalesce("anchor_g", "file_g")).where(F.col("g").isNotNull())
-    via = F.when(F.col("fragment").isNotNull() & F.col("anchor_g").isNull(), "fallback").otherwise("anchor")
+    anchors (book_id, path, fragment, g): g is the place in reading order of an anchor; blocks (book_id, path, g, idx). A link goes to the first block at or after its anchor; without a fragment or with an unseen one to the first block of its file, else to the next block emitted. Links of files that are not read, or after the last block, are dropped. anchors may have n, the order of anchors at one place. read: the order in which entries were met."""
+    order = F.col("n") if "n" in anchors.columns else F.lit(0)
+    anchors = anchors.select("book_id", "path", "fragment", F.struct("g", order.alias("n")).alias("_at"))
+    first_anchor = anchors.where(F.col("fragment").isNotNull()).groupBy("book_id", "path", "fragment").agg(F.min("_at").alias("_anchor"))
+    files = anchors.where(F.col("fragment").isNull()).groupBy("book_id", "path").agg(F.min("_at").alias("_file"))
+    filled = blocks.select("book_id", "path").distinct().withColumn("_filled", F.lit(True))
+    placed = links.join(first_anchor, ["book_id", "path", "fragment"], "left").join(files, ["book_id", "path"], "left").join(filled, ["book_id", "path"], "left")
+    goal = placed.withColumn("_at", F.coalesce("_anchor", "_file")).where(F.col("_at").isNotNull()).withColumn("g", F.col("_at.g"))
+    # an unseen anchor is given up at the end of its file; if that has no block, the entry waits for the next one like any other
+    unseen = F.col("fragment").isNotNull() & F.col("_anchor").isNull()
+    via = F.when(unseen & F.col("_filled").isNotNull(), "fallback").otherwise("anchor")
     # as-of forward: union both and look at the next block in order
-    left = goal.select("book_id", "g", F.lit(0).alias("_block"), "pos", "title", "depth", via.alias("via"), F.lit(None).cast("int").alias("idx"))
-    right = blocks.select("book_id", "g", F.lit(1).alias("_block"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("via"), "idx")
+    left = goal.select("book_id", "g", F.lit(0).alias("_block"), "pos", "title", "depth", via.alias("via"), F.struct(F.col("_file.g").alias("file"), unseen.alias("late"), F.col("_at.g").alias("at"), F.col("_at.n").alias("n")).alias("_order"), F.lit(None).cast("int").alias("idx"))
+    right = blocks.select("book_id", "g", F.lit(1).alias("_block"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(None).cast(left.schema["_order"].dataType).alias("_order"), "idx")
     ahead = Window.partitionBy("book_id").orderBy("g", "_block").rowsBetween(0, Window.unboundedFollowing)
     both = left.unionByName(right).withColumn("block_index", F.first("idx", ignorenulls=True).over(ahead))
-    return both.where((F.col("_block") == 0) & F.col("block_index").isNotNull()).select("book_id", "pos", "title", "depth", "block_index", "via")
+    found = both.where((F.col("_block") == 0) & F.col("block_index").isNotNull())
+    read = F.row_number().over(Window.partitionBy("book_id").orderBy("_order", "pos"))
+    return found.select("book_id", "pos", "title", "depth", "block_index", "via", read.alias("read"))
 
 
 def assign_chapter(blocks: DataFrame, toc: DataFrame) -> DataFrame:
-    """chapter and chapter_start of each block: the latest top entry at or before it that was placed while reading."""
-    starts = toc.where((F.col("depth") == 0) & (F.col("via") != "fallback")).groupBy("book_id", F.col("block_index").alias("idx")).agg(F.max("title").alias("_title"))
+    """chapter and chapter_start of each block: the latest top entry at or before it that was placed while reading; of several at one block the one read last (toc has no `read`: the greatest title)."""
+    last = F.max_by("title", "read") if "read" in toc.columns else F.max("title")
+    starts = toc.where((F.col("depth") == 0) & (F.col("via") != "fallback")).groupBy("book_id", F.col("block_index").alias("idx")).agg(last.alias("_title"))
     running = Window.partitionBy("book_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     marked = blocks.join(starts, ["book_id", "idx"], "left")
     at = F.when(F.col("_title").isNotNull(), F.col("idx"))
@@ -75,6 +88,19 @@ def build_path(chapter: Column, headings: Column) -> Column:
     return F.aggregate(numbered, first, lambda acc, x: F.when(F.size(acc) == 0, F.array(x["h"])).otherwise(step(F.when(F.size(acc) == 0, F.array(F.lit(""))).otherwise(acc), x)))
 
 
+def block_paths(blocks: DataFrame) -> DataFrame:
+    """path and level of blocks (book_id, place, seq, idx, kind, text, rank, box_start, box_end, spine_pos, chapter, chapter_start).
+
+    A heading in a box ends with the box, unless a chapter began inside the box before it; other headings stay open, also into the next file."""
+    running = Window.partitionBy("book_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    began = F.last(F.when(F.col("idx") == F.col("chapter_start"), F.col("place")), ignorenulls=True).over(running)
+    rows = blocks.withColumns({"_began": began, "_seq": F.col("seq"), "seq": F.col("place")})
+    boxed = F.col("box_end").isNotNull() & ~F.coalesce(F.col("_began") >= place(F.col("spine_pos"), F.col("box_start")), F.lit(False))
+    headings = rows.where("kind = 'heading'").select("book_id", "chapter_start", "seq", "rank", "text", F.when(boxed, place(F.col("spine_pos"), F.col("box_end"))).alias("scope_end"))
+    found = heading_path(rows, headings).withColumn("seq", F.col("_seq"))
+    return found.withColumns({"level": heading_level(F.col("kind"), F.col("headings")), "path": build_path(F.col("chapter"), F.col("headings"))}).drop("_began", "_seq")
+
+
 def fill_pages(tokens: DataFrame) -> DataFrame:
     """page in force for each token that has text: a mark before the text counts for the block itself, one inside from the next block on."""
     before = Window.partitionBy("book_id").orderBy("spine_pos", "seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,8 +5,6 @@ from __future__ import annotations
 import functools
 import html
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quizmill.functions.scratch import scratch, written
 from quizmill.operators import bank, structure
 from quizmill.plans import adapters as A
 from quizmill.plans.queries import query
@@ -22,14 +21,6 @@ from quizmill.sources import bundle, epub
 from quizmill.streaming import streams
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, in local mode without it a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="quizmill-") if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def pages_as_documents(spark, sf_dir: str) -> DataFrame:
     """Each page is a one-file book."""
     return A.read(spark, sf_dir, "pages").where("page_id IS NOT NULL").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc"), "html")
@@ -114,6 +105,112 @@ def _page_blocks(spark, sf_dir: str) -> DataFrame:
     return structure.number_blocks(structure.fill_pages(t))
 
 
+#: Four documents are an archive, a document one of its files.
+ARCHIVE_DOCS = 4
+
+
+def _archive_file(doc: int, lines: list[str]) -> str:
+    """A document as XHTML: most have a heading; every seventh line is boxed with a heading of its own; page numbers are marks in the text, or only listed: places before a line, around it, or inside it."""
+    out = [f"<h1>Document {doc}</h1>"] if doc % 3 != 2 else []
+    for i, line in enumerate(lines):
+        clean = " ".join(line.split())
+        body, shut = html.escape(clean), f'<p id="l{i}">' + "{}</p>"
+        if i % 10 == 3:
+            body = f'<span role="doc-pagebreak" aria-label="i{doc}.{i}">x</span>{body}'
+        elif i % 20 == 8:  # a listed place whose text is the label
+            body = f'{html.escape(clean[:1])}<span id="p{i}">l{doc}.{i}</span>{html.escape(clean[1:])}'
+        elif i % 20 == 18:
+            shut = f'<div id="p{i}">{shut}</div>'
+        if i % 7 == 6 and clean:
+            shut = f'<div class="note"><h2>Note {i}</h2>{shut}</div>'
+        out.append(shut.format(body))
+    return f"<html><head><title>no text</title></head><body>{''.join(out)}</body></html>"
+
+
+def _zip_archives(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for book, docs, texts in zip(frame["book"], frame["docs"], frame["texts"], strict=True):
+            files = [(int(d), t.split("\n")) for d, t in zip(docs, texts, strict=True)]
+            href = "f{0}.xhtml".format
+            entry = lambda title, link, inner="": f'<li><a href="{link}">{title}</a>{inner}</li>'
+            parts = [entry(f"Document {d}" if d % 5 != 4 else f"Extra {d}", href(d) + ("" if d % 5 != 4 else "#none"), f"<ol>{entry(f'Line 5 of {d}', href(d) + '#l5')}</ol>") for d, _ in files]
+            pages = [entry(f"l{d}.{i}", f"{href(d)}#p{i}") for d, lines in files for i in range(8, len(lines), 10)]
+            nav = f'<nav epub:type="toc"><ol>{"".join(parts)}</ol></nav><nav epub:type="page-list"><ol>{"".join(pages)}</ol></nav>'
+            items = "".join(f'<item id="d{d}" href="{href(d)}" media-type="application/xhtml+xml"/>' for d, _ in files)
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
+                z.writestr("OPS/book.opf", f'<package><metadata><title>Archive {book}</title></metadata><manifest><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine><itemref idref="n"/>{"".join(f"""<itemref idref="d{d}"/>""" for d, _ in files)}</spine></package>')
+                z.writestr("OPS/nav.xhtml", f'<html xmlns:epub="http://www.idpf.org/2007/ops"><body>{nav}</body></html>')
+                for d, lines in files:
+                    z.writestr(f"OPS/{href(d)}", _archive_file(d, lines))
+            out.append((f"file:/books/{book}", data.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def document_archives(spark, sf_dir: str) -> DataFrame:
+    """(path, content): EPUBs with contents and page list, made of the documents."""
+    d = A.documents(spark, sf_dir).select(F.concat(F.lit("k"), F.floor(F.col("doc_id") / ARCHIVE_DOCS).cast("string")).alias("book"), "doc_id", "text")
+    each = d.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("d")).select("book", F.col("d.doc_id").alias("docs"), F.col("d.text").alias("texts"))
+    return each.mapInPandas(_zip_archives, "path string, content binary")
+
+
+def _imported(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return epub.import_archives(written(epub.epub_members(document_archives(spark, sf_dir)), "members"))
+
+
+#: What the archives hold, from the way they are made: p is a place in the reading order, 10 million a document and 10 a line.
+ARCHIVES = f"""
+a_docs AS (SELECT 'k' || (doc_id // {ARCHIVE_DOCS}) AS book_id, doc_id AS doc, coalesce(text, '') AS body FROM documents WHERE doc_id IS NOT NULL),
+a_lines AS (SELECT book_id, doc, unnest(range(len(string_split(body, chr(10))))) AS i, trim(regexp_replace(unnest(string_split(body, chr(10))), '\\s+', ' ', 'g')) AS line FROM a_docs),
+a_rows AS (SELECT book_id, doc, doc * 10000000 AS p, 'heading' AS kind, 'Document ' || doc AS text, 1 AS own FROM a_docs WHERE doc % 3 <> 2
+  UNION ALL SELECT book_id, doc, doc * 10000000 + (i + 1) * 10, 'heading', 'Note ' || i, 2 FROM a_lines WHERE i % 7 = 6 AND line <> ''
+  UNION ALL SELECT book_id, doc, doc * 10000000 + (i + 1) * 10 + 1, 'paragraph', line, CASE WHEN i % 7 = 6 THEN 3 ELSE 0 END FROM a_lines WHERE line <> ''),
+a_blocks AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY p) - 1 AS idx FROM a_rows),
+a_marks AS (SELECT book_id, doc * 10000000 + (i + 1) * 10 + CASE WHEN i % 20 = 8 THEN 2 ELSE 1 END AS p, CASE WHEN i % 10 = 3 THEN 'i' ELSE 'l' END || doc || '.' || i AS label FROM a_lines WHERE i % 10 = 3 OR i % 10 = 8),
+a_links AS (SELECT book_id, doc, (doc % {ARCHIVE_DOCS}) * 2 AS pos, CASE WHEN doc % 5 <> 4 THEN 'Document ' ELSE 'Extra ' END || doc AS title, 0 AS depth, doc % 5 = 4 AS unseen, doc * 10000000 AS p FROM a_docs
+  UNION ALL SELECT d.book_id, d.doc, (d.doc % {ARCHIVE_DOCS}) * 2 + 1, 'Line 5 of ' || d.doc, 1, l.i IS NULL, d.doc * 10000000 + CASE WHEN l.i IS NULL THEN 0 ELSE 61 END FROM a_docs d LEFT JOIN a_lines l ON d.doc = l.doc AND l.i = 5),
+a_filled AS (SELECT DISTINCT doc FROM a_rows),
+a_toc AS (SELECT l.book_id, row_number() OVER (PARTITION BY l.book_id ORDER BY l.doc, l.pos) - 1 AS pos, l.title, l.depth, b.idx AS block_index, CASE WHEN l.unseen AND f.doc IS NOT NULL THEN 'fallback' ELSE 'anchor' END AS via
+  FROM a_links l LEFT JOIN a_filled f ON l.doc = f.doc ASOF LEFT JOIN a_blocks b ON l.book_id = b.book_id AND b.p >= l.p),
+a_starts AS (SELECT book_id, block_index AS idx, arg_max(title, pos) AS title FROM a_toc WHERE depth = 0 AND via = 'anchor' AND block_index IS NOT NULL GROUP BY ALL),
+a_placed AS (SELECT b.*, s.title AS chapter, s.idx AS began, m.label AS page FROM a_blocks b ASOF LEFT JOIN a_starts s ON b.book_id = s.book_id AND b.idx >= s.idx ASOF LEFT JOIN a_marks m ON b.book_id = m.book_id AND b.p >= m.p),
+a_heads AS (SELECT book_id, idx, text FROM a_placed WHERE own = 1),
+a_headed AS (SELECT b.*, CASE WHEN h.idx >= coalesce(b.began, -1) THEN h.text END AS head FROM a_placed b ASOF LEFT JOIN a_heads h ON b.book_id = h.book_id AND b.idx >= h.idx),
+a_out AS (SELECT book_id, idx, kind, text, page, CASE own WHEN 1 THEN 1 WHEN 2 THEN 1 + (head IS NOT NULL)::INT END AS level,
+  array_to_string(list_filter([chapter, CASE WHEN chapter IS NULL OR NOT (contains(lower(chapter), lower(head)) OR contains(lower(head), lower(chapter))) THEN head END, CASE WHEN own > 1 THEN 'Note ' || ((p // 10) % 1000000 - 1) END], lambda x: x IS NOT NULL), ' > ') AS path FROM a_headed)"""
+
+
+@query(f"WITH {ARCHIVES} SELECT * FROM a_out")
+def src5_imported_blocks(spark, sf_dir: str) -> DataFrame:
+    """From archives to blocks with chapter, headings in force and page; half of the page labels stand in the page list only."""
+    blocks = _imported(spark, sf_dir)[1]
+    return blocks.select("book_id", "idx", "kind", "text", "page", "level", F.array_join("path", " > ").alias("path"))
+
+
+@query(f"""WITH {ARCHIVES}, stats AS (SELECT book_id, count(*) AS block_count, count(*) FILTER (kind <> 'heading') AS passage_count, bool_or(page IS NOT NULL) AS has_page_numbers FROM a_out GROUP BY book_id)
+SELECT s.*, 'Archive ' || s.book_id AS title, string_agg(t.title || '@' || t.block_index || '/' || t.depth || '/' || t.via, '; ' ORDER BY t.pos) AS contents FROM stats s JOIN a_toc t ON s.book_id = t.book_id AND t.block_index IS NOT NULL WHERE passage_count > 0 GROUP BY ALL""")
+def src5_imported_books(spark, sf_dir: str) -> DataFrame:
+    """The same import's books with their contents: title, block, depth and how the block was found."""
+    entry = lambda t: F.concat(t["title"], F.lit("@"), t["block_index"].cast("string"), F.lit("/"), t["depth"].cast("string"), F.lit("/"), t["via"])
+    return _imported(spark, sf_dir)[0].select("book_id", "block_count", "passage_count", "has_page_numbers", "title", F.array_join(F.transform("toc", entry), "; ").alias("contents"))
+
+
+@query(f"""WITH {ARCHIVES}, marked AS (SELECT l.*, m.label, m.p % 10 AS inside FROM a_lines l LEFT JOIN a_marks m ON l.book_id = m.book_id AND m.p // 10 = (l.doc * 10000000 + (l.i + 1) * 10) // 10),
+every AS (SELECT book_id, doc, p, kind, text, CASE own WHEN 1 THEN 1 WHEN 2 THEN 2 END AS rank, NULL AS page_before, NULL AS page_after FROM a_rows WHERE kind = 'heading'
+  UNION ALL SELECT book_id, doc, doc * 10000000 + (i + 1) * 10 + 1, 'paragraph', line, NULL, CASE WHEN i % 20 <> 18 AND (inside = 1 OR line = '') THEN label END, CASE WHEN i % 20 <> 18 THEN label END FROM marked WHERE line <> '' OR (label IS NOT NULL AND i % 20 <> 18)
+  UNION ALL SELECT book_id, doc, doc * 10000000 + (i + 1) * 10 + 0.5, 'paragraph', '', NULL, label, label FROM marked WHERE i % 20 = 18
+  UNION ALL SELECT book_id, doc, doc * 10000000 + 9999990, 'paragraph', '', NULL, NULL, NULL FROM (SELECT book_id, doc, arg_max(line, i) AS line, arg_max(label, i) AS label, arg_max(coalesce(label, ''), i) AS l FROM marked GROUP BY ALL) WHERE line = '' AND l = '')
+SELECT book_id, 'OPS/f' || doc || '.xhtml' AS path, row_number() OVER (PARTITION BY doc ORDER BY p) - 1 AS seq, kind, text, rank, page_before, page_after FROM every""")
+def src4_archive_tokens(spark, sf_dir: str) -> DataFrame:
+    """Tokens of the archives' files, page marks and listed places with them."""
+    parts = written(epub.epub_members(document_archives(spark, sf_dir)), "members")
+    rows = epub.package_rows(parts)
+    tokens = epub.book_tokens(epub.book_files(parts, rows, epub.nav_links(parts, rows)))
+    return tokens.select("book_id", "path", "seq", "kind", "text", "rank", "page_before", "page_after")
+
+
 @query(None)
 def src5_import_books(spark, sf_dir: str) -> DataFrame:
     blocks = _page_blocks(spark, sf_dir)
@@ -131,7 +228,7 @@ def str1_spine_documents(spark, sf_dir: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT 'b' || (doc_id // 100) AS book_id, doc_id, doc_id % 100 AS k FROM documents WHERE doc_id IS NOT NULL),
 blocks AS (SELECT book_id, doc_id * 10 + 2 AS g, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS idx FROM d WHERE doc_id % 4 <> 1),
-goals AS (SELECT book_id, k AS pos, CASE k % 3 WHEN 0 THEN doc_id * 10 WHEN 1 THEN doc_id * 10 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END ELSE doc_id * 10 END AS g, CASE WHEN k % 3 = 2 THEN 'fallback' ELSE 'anchor' END AS via FROM d)
+goals AS (SELECT book_id, k AS pos, CASE k % 3 WHEN 0 THEN doc_id * 10 WHEN 1 THEN doc_id * 10 + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END ELSE doc_id * 10 END AS g, CASE WHEN k % 3 = 2 AND doc_id % 4 <> 1 THEN 'fallback' ELSE 'anchor' END AS via FROM d)
 SELECT t.book_id, t.pos, t.via, b.idx AS block_index FROM goals t ASOF JOIN blocks b ON t.book_id = b.book_id AND b.g >= t.g""")
 def str3_resolve_toc(spark, sf_dir: str) -> DataFrame:
     """Each document is a file with an anchor before or after its only block; a quarter of the files have no block."""

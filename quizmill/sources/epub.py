@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizmill.functions.scratch import written
 from quizmill.functions.text import fragment_of, resolve_path
+from quizmill.operators import structure
 
 # Elements that hold blocks, and elements whose content is not book text.
 _BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table ul".split())
@@ -111,9 +114,9 @@ def package_rows(parts: DataFrame) -> DataFrame:
     return member(parts, opf).select("book_id", "path", "text").mapInPandas(_package, "book_id string, kind string, opf string, pos int, value string, href string, media_type string, properties string")
 
 
-def epub_package(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """meta (book_id, title, author, language), manifest (book_id, item, path, media_type, properties), spine (book_id, pos, item)."""
-    rows = package_rows(parts)
+def epub_package(parts: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """meta (book_id, title, author, language), manifest (book_id, item, path, media_type, properties), spine (book_id, pos, item). rows: package_rows, if the caller has them."""
+    rows = package_rows(parts) if rows is None else rows
     first = lambda kind: F.min_by(F.when((F.col("kind") == kind) & (F.col("value") != ""), F.col("value")), F.when((F.col("kind") == kind) & (F.col("value") != ""), F.col("pos")))
     meta = rows.groupBy("book_id").agg(F.coalesce(first("title"), F.lit("Untitled book")).alias("title"), first("creator").alias("author"), first("language").alias("language"))
     manifest = rows.where((F.col("kind") == "item") & (F.col("value") != "") & (F.col("href") != "")).select("book_id", F.col("value").alias("item"), resolve_path(F.col("opf"), F.col("href")).alias("path"), "media_type", "properties")
@@ -174,9 +177,9 @@ def _links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["book_id", "source", "ncx", "kind", "pos", "depth", "title", "href"])
 
 
-def nav_links(parts: DataFrame) -> DataFrame:
-    """(book_id, kind, pos, depth, title, path, fragment): contents ("toc") and page list ("pages") of each book. The nav document comes first; the NCX (the one the spine names, else the first by media type) fills each kind that the nav document lacks."""
-    rows = package_rows(parts)
+def nav_links(parts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(book_id, kind, pos, depth, title, path, fragment): contents ("toc") and page list ("pages") of each book. The nav document comes first; the NCX (the one the spine names, else the first by media type) fills each kind that the nav document lacks. rows: package_rows, if the caller has them."""
+    rows = package_rows(parts) if rows is None else rows
     item = rows.where((F.col("kind") == "item") & (F.col("value") != "") & (F.col("href") != ""))
     item = item.select("book_id", "pos", "value", resolve_path(F.col("opf"), F.col("href")).alias("want"), "media_type", F.array_contains(F.split("properties", "\\s+"), "nav").alias("nav"))
     named = rows.where("kind = 'spine'").groupBy("book_id").agg(F.min_by("value", "pos").alias("toc"))
@@ -216,15 +219,17 @@ def reject_protected(parts: DataFrame) -> DataFrame:
 class _Walker(HTMLParser):
     """Block tokens of one document: (kind, text, rank, box_start, box_end, page_before, page_after, anchors, rows)."""
 
-    def __init__(self):
+    def __init__(self, listed: dict[str, str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.listed = listed or {}
         self.tokens: list[dict] = []
         self.stack: list[dict] = []
         self.skip = 0
         self.text: list[str] = []
         self.anchors: list[str] = []
         self.page_before = self.page_after = None
-        self.mark: dict | None = None
+        self.marks: list[dict] = []
+        self.emitted = 0
         self.table: dict | None = None
         self.in_body = False
 
@@ -238,6 +243,7 @@ class _Walker(HTMLParser):
             self.tokens.append({"kind": "heading" if heading else "list-item" if item else "paragraph", "text": text, "rank": 10 * sections + int(top["tag"][1]) if heading else None, "page_before": self.page_before, "page_after": self.page_after, "anchors": self.anchors, "rows": None, "boxes": [x["box"] for x in self.stack if x["tag"] in _BLOCK and not re.fullmatch(r"h[1-6]|body|p", x["tag"])]})
             self.anchors, self.page_before, self.page_after = [], None, None
         self.text = []
+        self.emitted += 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
@@ -248,14 +254,18 @@ class _Walker(HTMLParser):
             return
         if self.table is None and tag in _BLOCK:
             self._flush()
+        if tag == "hr":
+            return
         if a.get("id"):
             self.anchors.append(a["id"])
+        listed = self.listed.get(a.get("id") or "")
         broken = "pagebreak" in (a.get("epub:type") or "").split() or a.get("role") == "doc-pagebreak"
-        if broken:
-            label = _clean(a.get("aria-label") or a.get("title") or "")
-            self.mark = {"tag": tag, "text": [], "label": label, "before": not _clean("".join(self.text))}
-            if tag in _VOID:
-                self._end_mark()
+        if (listed or broken) and tag != "table":
+            label = listed or _clean(a.get("aria-label") or a.get("title") or "")
+            mark = {"depth": len(self.stack), "listed": listed, "broken": broken, "at": len(self.text), "emitted": self.emitted, "before": not _clean("".join(self.text)), "told": bool(label)}
+            self._turn(label, mark["before"])
+            if tag not in _VOID:
+                self.marks.append(mark)
         if tag == "br":
             self.text.append(" ")
         if tag in _VOID:
@@ -268,13 +278,23 @@ class _Walker(HTMLParser):
         elif self.table is not None and tag in ("td", "th", "caption"):
             self.text = []
 
-    def _end_mark(self) -> None:
-        label = self.mark["label"] or _clean("".join(self.mark["text"]))
-        if label:
-            if self.mark["before"]:
+    def _turn(self, label: str, before: bool) -> None:
+        """A page begins here: before the text of the block, or inside it. Marks in tables are not read."""
+        if label and self.table is None:
+            if before:
                 self.page_before = label
             self.page_after = label
-        self.mark = None
+
+    def _end_mark(self) -> None:
+        """What a mark holds is the page number and no text of the book: always for a page break, for a listed place if it is hardly more than the label. A mark around blocks only turns the page."""
+        mark = self.marks.pop()
+        if self.emitted != mark["emitted"]:
+            return
+        own = _clean("".join(self.text[mark["at"] :]))
+        if not mark["told"]:
+            self._turn(own, mark["before"])
+        if mark["broken"] or (len(own) <= len(mark["listed"]) + 4 and mark["listed"] in own):
+            del self.text[mark["at"] :]
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
@@ -282,7 +302,7 @@ class _Walker(HTMLParser):
             return
         if not any(x["tag"] == tag for x in self.stack):
             return
-        if self.mark and self.mark["tag"] == tag:
+        while self.marks and len(self.stack) - next(i for i, x in enumerate(reversed(self.stack), 1) if x["tag"] == tag) <= self.marks[-1]["depth"]:
             self._end_mark()
         if self.table is not None and tag in ("td", "th"):
             if self.table["rows"]:
@@ -306,24 +326,27 @@ class _Walker(HTMLParser):
         if rows:
             base = {"rank": None, "page_before": None, "page_after": None, "anchors": self.anchors, "boxes": boxes}
             if t["caption"]:
-                self.tokens.append({"kind": "paragraph", "text": t["caption"], "rows": None, **base, "anchors": []})
+                self.tokens.append({"kind": "paragraph", "text": t["caption"], "rows": None, **base})
+                base["anchors"] = []
             self.tokens.append({"kind": "table", "text": "\n".join(" | ".join(r) for r in rows), "rows": rows, **base})
             self.anchors = []
 
     def handle_data(self, data: str) -> None:
         if self.skip:
             return
-        (self.mark["text"] if self.mark else self.text).append(data)
+        self.text.append(data)
 
 
-def tokenize(html: str) -> list[dict]:
-    """Tokens in order; box_start and box_end are those of the innermost box of a heading that has other content too (null: open to the end)."""
-    w = _Walker()
+def tokenize(html: str, listed: dict[str, str] | None = None) -> list[dict]:
+    """Tokens in order. `listed`: page labels by id, from the book's page list; they go before marks in the text. box_start and box_end are those of the innermost box of a heading that has other content too (null: open to the end)."""
+    w = _Walker(listed)
     body = re.search(r"<body[^>]*>(.*?)(?:</body\s*>|\Z)", html, re.DOTALL | re.IGNORECASE)
     w.feed(body.group(1) if body else html)
     w.close()
     w._flush()
     tokens = w.tokens
+    if w.anchors:  # places behind the last text: what follows is in another file
+        tokens.append({"kind": "paragraph", "text": "", "rank": None, "page_before": None, "page_after": None, "anchors": w.anchors, "rows": None, "boxes": []})
     for i, t in enumerate(tokens):
         t["box_start"] = t["box_end"] = None
         if t["kind"] != "heading":
@@ -341,14 +364,56 @@ def tokenize(html: str) -> list[dict]:
 def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
-        for doc, html in zip(frame["doc"], frame["html"], strict=True):
-            out += [(doc, i, t["kind"], t["text"], t["rank"], t["box_start"], t["box_end"], t["page_before"], t["page_after"], t["anchors"], t["rows"]) for i, t in enumerate(tokenize(html or ""))]
+        for doc, html, listed in zip(frame["doc"], frame["html"], frame["listed"], strict=True):
+            out += [(doc, i, t["kind"], t["text"], t["rank"], t["box_start"], t["box_end"], t["page_before"], t["page_after"], t["anchors"], t["rows"]) for i, t in enumerate(tokenize(html or "", json.loads(listed) if listed else None))]
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _TOKENS.split(", ")]).astype({"rank": "Int32", "box_start": "Int32", "box_end": "Int32"})
 
 
 def html_to_tokens(pages: DataFrame) -> DataFrame:
-    """Block tokens of `pages` (doc, html): headings, paragraphs, list items and tables in reading order; a token without text only carries a page label."""
-    return pages.select(F.col("doc").cast("string").alias("doc"), F.col("html").cast("string").alias("html")).mapInPandas(_tokens, _TOKENS)
+    """Block tokens of `pages` (doc, html, and listed if the book has a page list: label by id): headings, paragraphs, list items and tables in reading order; a token without text only carries a page label or anchors."""
+    listed = F.to_json("listed") if "listed" in pages.columns else F.lit(None).cast("string")
+    return pages.select(F.col("doc").cast("string").alias("doc"), F.col("html").cast("string").alias("html"), listed.alias("listed")).mapInPandas(_tokens, _TOKENS)
+
+
+def book_files(parts: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(book_id, spine_pos, path, html, listed): the books' documents in reading order, each with the labels that the page list has for places in it; of several for one place the last holds."""
+    _, manifest, spine = epub_package(parts, rows)
+    docs = structure.spine_documents(manifest, spine).groupBy("book_id", "path").agg(F.min("pos").alias("spine_pos"))
+    found = member(parts, docs.select("book_id", F.col("path").alias("want"))).select("book_id", F.col("want").alias("path"), F.col("text").alias("html"))
+    labels = links.where("kind = 'pages' AND fragment IS NOT NULL").groupBy("book_id", "path", "fragment").agg(F.max_by("title", "pos").alias("label"))
+    listed = labels.groupBy("book_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "label"))).alias("listed"))
+    return docs.join(found, ["book_id", "path"]).join(listed, ["book_id", "path"], "left")
+
+
+def book_tokens(files: DataFrame) -> DataFrame:
+    """The files' tokens with book_id, path, spine_pos and place: one key for the reading order over file and token."""
+    doc = F.to_json(F.struct("book_id", "path", F.col("spine_pos").cast("string").alias("spine_pos")))
+    named = F.from_json("doc", "book_id string, path string, spine_pos string")
+    tokens = html_to_tokens(files.select(doc.alias("doc"), "html", "listed")).withColumn("_n", named)
+    tokens = tokens.select("_n.book_id", "_n.path", F.col("_n.spine_pos").cast("int").alias("spine_pos"), *[c for c in tokens.columns if c not in ("doc", "_n")])
+    return tokens.withColumn("place", structure.place(F.col("spine_pos"), F.col("seq")))
+
+
+def build_books(meta: DataFrame, files: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """books (with toc), blocks (book_id, idx, kind, text, path, page, level, rows) and contents (book_id, pos, title, depth, block_index, via) from a book's files, tokens and links."""
+    read = structure.number_blocks(structure.fill_pages(tokens))
+    seen = tokens.select("book_id", "path", "place", F.posexplode("anchors").alias("n", "fragment"))
+    whole = files.select("book_id", "path", structure.place(F.col("spine_pos"), F.lit(0)).alias("place"), F.lit(-1).alias("n"), F.lit(None).cast("string").alias("fragment"))
+    anchors = whole.unionByName(seen).withColumnRenamed("place", "g")
+    contents = structure.resolve_toc(links.where("kind = 'toc'"), anchors, read.select("book_id", "path", F.col("place").alias("g"), "idx"))
+    placed = structure.assign_chapter(read, contents)
+    blocks = structure.block_paths(placed).select("book_id", "idx", "kind", "text", "path", "page", "level", "rows")
+    books, kept = import_books(meta, blocks, contents)
+    return books, kept, contents.join(books.select("book_id"), "book_id", "left_semi")
+
+
+def import_archives(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """books, blocks and contents of archives (the rows of epub_members; write them first, they are read several times). Protected books and books without text are left out; nulls in package files and links that lead nowhere are skipped."""
+    parts = reject_protected(parts)
+    rows = written(package_rows(parts), "packages")
+    links = written(nav_links(parts, rows), "links")
+    files = written(book_files(parts, rows, links), "files")
+    return build_books(epub_package(parts, rows)[0], files, written(book_tokens(files), "tokens"), links)
 
 
 def import_books(meta: DataFrame, blocks: DataFrame, toc: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -356,7 +421,8 @@ def import_books(meta: DataFrame, blocks: DataFrame, toc: DataFrame | None = Non
     stats = blocks.groupBy("book_id").agg(F.count("*").alias("block_count"), F.count_if(F.col("kind") != "heading").alias("passage_count"), F.bool_or(F.col("page").isNotNull()).alias("has_page_numbers")).where("passage_count > 0")
     books = meta.join(stats, "book_id")
     if toc is not None:
-        entries = toc.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "title", "depth"))).alias("toc"))
+        order = ["pos"] if "pos" in toc.columns else []
+        entries = toc.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(*order, "block_index", "title", "depth", "via"))).alias("toc"))
         books = books.join(entries, "book_id", "left")
     return books, blocks.join(stats.select("book_id"), "book_id", "left_semi")
 

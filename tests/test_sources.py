@@ -101,3 +101,35 @@ def test_watermarked_attempts(spark, sf, tmp_path):
     q = streams.attempts_stream(s.unionByName(s), "400 days").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out)
     q.awaitTermination()
     assert spark.read.parquet(out).count() == events.count()
+
+
+def test_listed_pages():
+    """Places of the page list: their label wins, short text that repeats it goes, text around goes on; a mark around blocks turns the page before them."""
+    html = '<body><p>A<a id="p1"></a> one</p><p id="p2">Long text of its own</p><p>x <span id="p3">p. 3</span>y</p><section id="p4"><h1>H</h1><p>z <span role="doc-pagebreak" id="p5" title="no">5</span></p></section><hr id="p1"/><table id="p2"><tr><td>t<a id="t1"></a></td></tr></table><p id="last"></p></body>'
+    t = epub.tokenize(html, {"p1": "1", "p2": "2", "p3": "3", "p4": "4", "p5": "five"})
+    assert [(x["text"], x["page_before"], x["page_after"]) for x in t] == [("A one", None, "1"), ("Long text of its own", "2", "2"), ("x y", None, "3"), ("", "4", "4"), ("H", None, None), ("z", None, "five"), ("t", None, None), ("", None, None)]
+    assert t[-2]["anchors"] == ["p2", "t1"] and t[-1]["anchors"] == ["last"]
+
+
+def test_contents_of_an_import(spark):
+    """Entries by anchor, by file, by a file without text and by an anchor that never came; a chapter inside a box keeps its headings open; the file after it goes on."""
+    opf = '<package><metadata><title>T</title></metadata><manifest><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{}</manifest><spine>{}</spine></package>'
+    files = {
+        "a.xhtml": '<body><p>before</p><section><p>s</p><h1 id="one">Head</h1><p>in</p></section><p>after</p></body>', "b.xhtml": '<body><img src="x"/><span id="lost"/></body>',
+        "c.xhtml": "<body><p>carried</p><div><h2>Box</h2><p>boxed</p></div><p>free</p></body>",
+    }
+    links = [("One", "a.xhtml#one"), ("Empty", "b.xhtml"), ("Void", "b.xhtml#never"), ("Late", "c.xhtml#never"), ("Gone", "z.xhtml")]
+    nav = "".join(f'<li><a href="{h}">{t}</a></li>' for t, h in links)
+    members = {
+        "META-INF/container.xml": '<rootfile full-path="book.opf"/>', "nav.xhtml": f'<html xmlns:epub="http://www.idpf.org/2007/ops"><nav epub:type="toc"><ol>{nav}</ol></nav></html>', **files,
+        "book.opf": opf.format("".join(f'<item id="{f[0]}" href="{f}" media-type="application/xhtml+xml"/>' for f in files), "".join(f'<itemref idref="{f[0]}"/>' for f in files)),
+    }
+    parts = spark.createDataFrame([("k", p, t, None) for p, t in members.items()], "book_id string, path string, text string, error string")
+    books, blocks, contents = epub.import_archives(parts)
+    got = {r.title: (r.block_index, r.via) for r in contents.collect()}
+    assert got == {"One": (2, "anchor"), "Empty": (5, "anchor"), "Void": (5, "anchor"), "Late": (5, "fallback")}
+    rows = [(r.text, r.path) for r in blocks.orderBy("idx").collect()]
+    assert rows == [
+        ("before", []), ("s", []), ("Head", ["One", "Head"]), ("in", ["One", "Head"]), ("after", ["One", "Head"]), ("carried", ["Void"]), ("Box", ["Void", "Box"]), ("boxed", ["Void", "Box"]), ("free", ["Void"]),
+    ]
+    assert [x.title for x in books.first().toc] == ["One", "Empty", "Void", "Late"]
