@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
+from quizmill.functions.scratch import written
 
 # How laws and agencies are named.
 _CONNECT = "(?:of|and|for|the|on|in|to|&)"
@@ -35,14 +39,16 @@ def sentences(passages: DataFrame) -> DataFrame:
     return text.select("book_id", "idx", "path", T.chapter_of(F.col("path")).alias("chapter"), F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+#: An acronym in brackets right after a name.
+_ACRONYM = T.js_blanks("\\s*\\(([A-Z][A-Z0-9&]{1,7})\\)")
+
+
 def _mentions(sentence: Column) -> Column:
-    """Matches of all patterns with the text before them removed, so that what follows a match can be seen: (pattern, n, name, acronym)."""
+    """Matches of all patterns in one pass each: (pattern, n, kind, raw, acronym). No name holds a bracket, so the acronym after a match is cut off behind it."""
 
     def of(p: int, kind: str, pattern: str) -> Column:
-        pattern = T.ascii_bounds(T.js_blanks(pattern))
-        found = F.regexp_extract_all(sentence, F.lit(f"({pattern})"), F.lit(1))
-        follows = F.regexp_extract_all(sentence, F.lit(f"(?:{pattern})" + T.js_blanks("(?:\\s*\\(([A-Z][A-Z0-9&]{1,7})\\))?")), F.lit(1))
-        return F.transform(found, lambda m, i: F.struct(F.lit(p).alias("pattern"), i.alias("n"), F.lit(kind).alias("kind"), m.alias("raw"), F.coalesce(F.get(follows, i), F.lit("")).alias("acronym")))
+        found = F.regexp_extract_all(sentence, F.lit(f"((?:{T.ascii_bounds(T.js_blanks(pattern))})(?:{_ACRONYM})?)"), F.lit(1))
+        return F.transform(found, lambda m, i: F.struct(F.lit(p).alias("pattern"), i.alias("n"), F.lit(kind).alias("kind"), F.regexp_replace(m, f"{_ACRONYM}\\z", "").alias("raw"), F.regexp_extract(m, f"{_ACRONYM}\\z", 1).alias("acronym")))
 
     return F.concat(*[of(p, kind, pattern) for p, (kind, pattern) in enumerate(ENTITY_PATTERNS)])
 
@@ -63,21 +69,25 @@ def find_duties(sents: DataFrame, entities: DataFrame) -> DataFrame:
 
     Names are found by an equi join on the beginnings of the sentence that end at a word's end, not by trying every entity. Of several names the longest decides, even if its sentence then fails."""
     body = F.regexp_replace("sentence", "\\.\\z", "")
-    lead = F.regexp_extract(body, T.js_blanks("^(Under (?:the )?|The\\s+)?"), 1)
+    lead_pattern = T.js_blanks("^(Under (?:the )?|The\\s+)?")
+    lead = F.regexp_extract(body, lead_pattern, 1)
     form = lambda lead, rest: F.struct(lead.alias("lead"), rest.alias("rest"))
     # "The X" may also be a name that begins with The
     forms = F.concat(F.array(form(lead, F.substring(body, F.length(lead) + 1, F.length(body)))), F.when(lead.startswith("The"), F.array(form(F.lit(""), body))).otherwise(F.array().cast("array<struct<lead:string,rest:string>>")))
-    seen = sents.where(F.col("sentence").rlike("^[A-Z]")).select("book_id", "idx", "pos", "sentence", "chapter", F.explode(forms).alias("f"))
+    seen = sents.where(F.col("sentence").rlike("^[A-Z]")).select("book_id", "idx", "pos", F.explode(forms).alias("f"))
     names = entities.select("book_id", "key", "name", "kind", "acronym", F.explode(F.filter(F.array("name", "acronym"), lambda x: x.isNotNull())).alias("start"))
     # a sentence whose first word begins no name goes no further; of the others as many beginnings as the longest such name has words
     pieces = F.split("start", T.js_blanks(_WORD_ENDS))
     firsts = names.groupBy("book_id", pieces[0].alias("_first")).agg(F.max(F.size(pieces)).alias("_longest"))
-    cut = seen.select("book_id", "idx", "pos", "sentence", "chapter", F.col("f.lead").alias("_lead"), F.col("f.rest").alias("_rest"), F.split("f.rest", T.js_blanks(_WORD_ENDS)).alias("_words")).withColumn("_first", F.get("_words", 0))
+    cut = seen.select("book_id", "idx", "pos", "f.lead", "f.rest", F.split("f.rest", T.js_blanks(_WORD_ENDS)).alias("_words")).withColumn("_first", F.get("_words", 0))
     few = cut.join(firsts, ["book_id", "_first"])
     starts = F.transform(F.sequence(F.lit(1), F.least(F.size("_words"), F.col("_longest"))), lambda n: F.array_join(F.slice("_words", 1, n), ""))
-    begun = few.select("book_id", "idx", "pos", "sentence", "chapter", "_lead", "_rest", F.explode(starts).alias("start"))
-    hit = begun.join(names, ["book_id", "start"])
-    after = F.substring("_rest", F.length("start") + 1, F.length("_rest"))
+    begun = few.select("book_id", "idx", "pos", (F.col("lead") != "").alias("led"), F.explode(starts).alias("start"))
+    # only what was hit meets its sentence again
+    hit = begun.join(names, ["book_id", "start"]).join(sents.select("book_id", "idx", "pos", "sentence", "chapter"), ["book_id", "idx", "pos"])
+    hit = hit.withColumn("_body", body).withColumn("_lead", F.when(F.col("led"), F.regexp_extract("_body", lead_pattern, 1)).otherwise(F.lit("")))
+    rest_from = F.length("_lead") + F.length("start") + 1
+    after = F.substring("_body", rest_from, F.length("_body"))
     under = F.col("_lead").startswith("Under")
     acronym = "(?:\\s*\\([A-Z][A-Z0-9&]{1,7}\\))?"
     after_name = lambda pattern: F.regexp_extract(after, T.js_blanks(pattern), 1)
@@ -110,33 +120,76 @@ def glossary_candidates(passages: DataFrame) -> DataFrame:
     """(book_id, idx, pos, term, definition, sentence, chapter) from glossary sections: an entry in one block, or a short block and the definition in the block after it."""
     study = passages.where(F.col("kind").isin("paragraph", "list-item"))
     w = Window.partitionBy("book_id").orderBy("idx")
-    rows = study.withColumns({"_next": F.lead("text").over(w), "_at": F.lead("idx").over(w), "entry": T.glossary_entry(F.col("text")), "chapter": T.chapter_of(F.col("path"))}).where(_in_glossary(F.col("path")))
-    one = rows.where(F.col("entry").isNotNull()).select("book_id", "idx", F.lit(0).alias("pos"), "entry.*", F.col("text").alias("sentence"), "chapter")
-    definition = T.clean_definition(F.col("_next"))
-    short = (F.col("_at") == F.col("idx") + 1) & ~F.col("text").rlike("[.!?]\\z") & (F.size(T.js_words(F.col("text"))) <= 6)
-    two = rows.where(F.col("entry").isNull() & short & T.plausible_term(F.col("text")) & T.plausible_definition(definition))
-    return one.unionByName(two.select("book_id", F.col("_at").alias("idx"), F.lit(-1).alias("pos"), F.col("text").alias("term"), definition.alias("definition"), F.col("_next").alias("sentence"), "chapter"))
+    inside = study.withColumns({"_next": F.lead("text").over(w), "_at": F.lead("idx").over(w)}).where(_in_glossary(F.col("path")))  # before the patterns run
+    short = (F.col("_at") == F.col("idx") + 1) & ~F.col("text").rlike("[.!?]\\z") & (F.size(T.js_words(F.col("text"))) <= 6) & T.plausible_term(F.col("text"))
+    tried = F.struct(T.glossary_entry(F.col("text")).alias("entry"), F.when(short, T.clean_definition(F.col("_next"))).alias("after"))
+    rows = inside.withColumn("_t", F.explode(F.array(tried)))  # an explode, so that the patterns run once a row
+    found = lambda idx, pos, term, definition, sentence: F.struct(idx.alias("idx"), F.lit(pos).alias("pos"), term.alias("term"), definition.alias("definition"), sentence.alias("sentence"))
+    one = found(F.col("idx"), 0, F.col("_t.entry.term"), F.col("_t.entry.definition"), F.col("text"))
+    two = found(F.col("_at"), -1, F.col("text"), F.col("_t.after"), F.col("_next"))
+    either = F.when(F.col("_t.entry").isNotNull(), one).when(F.col("_t.after").isNotNull() & T.plausible_definition(F.col("_t.after")), two)
+    return rows.select("book_id", T.chapter_of(F.col("path")).alias("chapter"), F.explode(F.array(either)).alias("_f")).where(F.col("_f").isNotNull()).select("book_id", "_f.*", "chapter")
 
 
 def sentence_candidates(sents: DataFrame) -> DataFrame:
     """The same columns from sentences outside glossaries and prefaces."""
     rows = sents.where(~_in_glossary(F.col("path")) & ~F.col("chapter").rlike(T.NOT_CONCEPT_SECTION) & F.col("sentence").rlike(T.js_blanks("\\s(?:is|are|refers to|means|denotes)\\s")))
-    found = rows.withColumn("entry", T.definition_in_sentence(F.col("sentence"))).where(F.col("entry").isNotNull())
+    found = rows.withColumn("entry", F.explode(F.array(T.definition_in_sentence(F.col("sentence"))))).where(F.col("entry").isNotNull())  # an explode, so that the patterns run once a row
     return found.select("book_id", "idx", "pos", "entry.*", "sentence", "chapter")
 
 
-def term_counts(terms: DataFrame, passages: DataFrame) -> DataFrame:
-    """(book_id, key, n): non-overlapping occurrences of each key in the lower-cased passages of its book.
+#: Blocks of a book whose texts are counted together.
+PIECE = 20_000
+
+
+def _count_keys(most: int | None):
+    """A sorted stream of (book_id, piece, key, low): the keys of a piece, then its texts, each read once. Memory: a piece's keys and a batch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        at, found, automaton, counts = None, None, None, {}
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["book_id", "key", "n"])
+
+        for batch in batches:
+            for book, piece, key, low in zip(*(batch.column(c).to_pylist() for c in ("book_id", "piece", "key", "low")), strict=True):
+                if (book, piece) != at:
+                    if counts:
+                        yield done()
+                    at, automaton, counts, found = (book, piece), ahocorasick.Automaton(), {}, False
+                if low is None:
+                    automaton.add_word(key, key)
+                    continue
+                if not found:
+                    if not len(automaton):
+                        continue
+                    automaton.make_automaton()
+                    found = True
+                ends: dict[str, int] = {}  # where the last counted occurrence in this text ends
+                for last, key in automaton.iter(low):
+                    if last - len(key) >= ends.get(key, -1) and (most is None or counts.get(key, 0) < most):
+                        ends[key] = last
+                        counts[key] = counts.get(key, 0) + 1
+        if counts:
+            yield done()
+
+    return run
+
+
+def term_counts(terms: DataFrame, passages: DataFrame, most: int | None = None) -> DataFrame:
+    """(book_id, key, n): non-overlapping occurrences of each key in the lower-cased passages of its book, counted up to `most` if it is given.
 
-    Keys begin at any character, so there is no token to join on; a key is held against the passages of its book only, keys in one array per book of bounded length (a thousand to a piece)."""
-    numbered = terms.select("book_id", "key").distinct().withColumn("_piece", F.pmod(F.xxhash64("key"), F.lit(64)))
-    keys = numbered.groupBy("book_id", "_piece").agg(F.collect_list("key").alias("keys"))
-    text = passages.where(F.col("kind").isin("paragraph", "list-item")).select("book_id", F.lower("text").alias("low"))
-    held = text.join(keys, "book_id").withColumn("hits", F.filter("keys", lambda k: F.contains(F.col("low"), k)))
-    each = held.where(F.size("hits") > 0).select("book_id", "low", F.explode("hits").alias("key"))
-    n = ((F.length("low") - F.length(F.replace(F.col("low"), F.col("key"), F.lit("")))) / F.length("key")).cast("long")
-    counted = each.groupBy("book_id", "key").agg(F.sum(n).alias("n"))
-    return numbered.select("book_id", "key").join(counted, ["book_id", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    Keys begin at any character, so there is no token to join on: the texts of a book run through an automaton of its keys. A book is cut into pieces of PIECE blocks, which hold a copy of its keys each; a text moves once and is read once."""
+    keys = terms.select("book_id", "key").distinct()
+    text = passages.where(F.col("kind").isin("paragraph", "list-item")).select("book_id", F.floor(F.col("idx") / PIECE).cast("int").alias("piece"), F.lit(None).cast("string").alias("key"), F.lower("text").alias("low"))
+    pieces = passages.groupBy("book_id").agg(F.floor(F.max("idx") / PIECE).cast("int").alias("last"))
+    held = keys.join(pieces, "book_id").select("book_id", F.explode(F.sequence(F.lit(0), "last")).alias("piece"), "key", F.lit(None).cast("string").alias("low"))
+    stream = held.unionByName(text).repartition("book_id", "piece").sortWithinPartitions("book_id", "piece", F.col("low").isNotNull())
+    counted = stream.mapInArrow(_count_keys(most), "book_id string, key string, n long").groupBy("book_id", "key").agg(F.sum("n").alias("n"))
+    counted = keys.join(counted, ["book_id", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted if most is None else counted.withColumn("n", F.least("n", F.lit(most)))
 
 
 def definitions(glossary: DataFrame, from_sentences: DataFrame, counts: DataFrame) -> DataFrame:
@@ -149,7 +202,7 @@ def definitions(glossary: DataFrame, from_sentences: DataFrame, counts: DataFram
 
 
 def book_definitions(passages: DataFrame) -> DataFrame:
-    """All steps from study passages to definitions."""
-    from_sentences = sentence_candidates(sentences(passages))
+    """All steps from study passages (a written table: it is read three times) to definitions. Candidates are written, since both the counts and the definitions need them; only two mentions are counted."""
+    from_sentences = written(sentence_candidates(sentences(passages)), "candidates")
     keys = from_sentences.select("book_id", T.key_of(F.col("term")).alias("key"))
-    return definitions(glossary_candidates(passages), from_sentences, term_counts(keys, passages))
+    return definitions(glossary_candidates(passages), from_sentences, term_counts(keys, passages, most=2))

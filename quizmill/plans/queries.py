@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
+from quizmill.functions.scratch import written
 from quizmill.operators import bank, merge, mining, passages, questions, slices, structure
 from quizmill.plans import adapters as A
 
@@ -320,8 +321,8 @@ counts AS (SELECT k.book_id, k.key, sum((length(lower(s.text)) - length(replace(
 
 @query(f"WITH {COUNTS} SELECT book_id, key, n FROM counts")
 def min6_term_counts(spark, sf_dir: str) -> DataFrame:
-    study = passages.study_passages(A.blocks(spark, sf_dir))
-    c = mining.sentence_candidates(mining.sentences(study))
+    study = written(passages.study_passages(A.blocks(spark, sf_dir)), "study")
+    c = written(mining.sentence_candidates(mining.sentences(study)), "candidates")
     return mining.term_counts(c.select("book_id", T.key_of(F.col("term")).alias("key")), study)
 
 
@@ -373,7 +374,7 @@ _DEFINED_ROWS = "SELECT book_id, key, term, definition, idx, pos, sentence, chap
 
 @query(f"WITH {DEFINED} {_DEFINED_ROWS}")
 def min7_definitions(spark, sf_dir: str) -> DataFrame:
-    return mining.book_definitions(passages.study_passages(A.blocks(spark, sf_dir)))
+    return mining.book_definitions(written(passages.study_passages(A.blocks(spark, sf_dir)), "study"))
 
 
 def concept_blocks(spark, sf_dir: str) -> DataFrame:
@@ -396,7 +397,9 @@ CONCEPTS = _on_concepts(DEFINED)
 
 
 def _all_definitions(spark, sf_dir: str) -> DataFrame:
-    return mining.book_definitions(passages.study_passages(concept_blocks(spark, sf_dir)))
+    """Passages are written, as an import would have stored them; so are the definitions, which questions read many times."""
+    study = written(passages.study_passages(concept_blocks(spark, sf_dir)), "study")
+    return written(mining.book_definitions(study), "definitions")
 
 
 @query(f"WITH {CONCEPTS} SELECT book_id, key, term, definition, idx, pos, chapter FROM defined")
@@ -479,9 +482,10 @@ def min2_find_entities(spark, sf_dir: str) -> DataFrame:
 
 
 def _laws(spark, sf_dir: str):
-    s = mining.sentences(passages.study_passages(law_blocks(spark, sf_dir)))
-    e = mining.find_entities(s)
-    d = mining.find_duties(s, e)
+    """Sentences, entities and duties are written: each is read by what follows."""
+    s = written(mining.sentences(passages.study_passages(law_blocks(spark, sf_dir))), "sentences")
+    e = written(mining.find_entities(s), "entities")
+    d = written(mining.find_duties(s, e), "duties")
     return e, d, mining.first_duty(d)
 
 

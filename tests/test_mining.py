@@ -1,5 +1,7 @@
 """Laws, duties and questions on a small book; the invariants of questions."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quizmill.operators import mining, passages, questions
@@ -78,3 +80,38 @@ def test_loading_blocks(spark):
     asked = spark.createDataFrame([("x", 3, 9), ("y", 0, 1), ("y", 0, 2), ("z", 0, 9)], "book_id string, start long, end long")
     assert sorted(tuple(r) for r in passages.load_ranges(blocks, asked).collect()) == [("x", 3), ("x", 4), ("y", 0), ("y", 0), ("y", 1)]
     assert passages.load_books(blocks, asked).count() == 10
+
+
+def test_term_counts_in_pieces(spark, monkeypatch):
+    """Keys inside keys, keys that overlap themselves, books cut into pieces: against plain counts."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("aab .É") for _ in range(n))
+    rows = [(f"b{i % 3}", i, rng.choice(["paragraph", "list-item", "heading"]), text(rng.choice([0, 5, 400]))) for i in range(60)]
+    keys = [(f"b{b}", k) for b in range(3) for k in ("aa", "a", "aba", "b.", "é", "zz", "aabaab")] + [("b9", "a")]
+    blocks, terms = spark.createDataFrame(rows, "book_id string, idx int, kind string, text string"), spark.createDataFrame(keys, "book_id string, key string")
+    plain = {(b, k): sum(t.lower().count(k) for book, _, kind, t in rows if book == b and kind != "heading") for b, k in keys}
+    monkeypatch.setattr(mining, "PIECE", 7)
+    assert {(r.book_id, r.key): r.n for r in mining.term_counts(terms, blocks).collect()} == plain
+    assert {(r.book_id, r.key): r.n for r in mining.term_counts(terms, blocks, most=2).collect()} == {k: min(n, 2) for k, n in plain.items()}
+
+
+def test_nearest_definitions(spark):
+    """Against all pairs: small chapters, runs of one length, related and repeated definitions."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        term = rng.choice(["net", "network", "law", "data", "seed"]) + rng.choice(["", " a", " b", f" {i}", f" {i}"])
+        rows.append((f"b{i % 2}", f"{term}{rng.choice(['', i])}", f"c{int(rng.random() ** 3 * 12)}", i, 0, rng.choice(["x" * rng.randrange(5, 60), f"about {rng.choice(['law', 'data'])} {i}", "the same text"])))
+    rows = list({(r[0], r[1]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "book_id string, key string, chapter string, idx int, pos int, definition string")
+    related = lambda a, b: a in b or b in a
+    expected = {}
+    for book, key, chapter, _, _, text in rows:
+        others = [o for o in rows if o[0] == book and not related(key, o[1]) and key not in o[5].lower() and o[5] != text]
+        others.sort(key=lambda o: (o[2] != chapter, abs(len(o[5]) - len(text)), o[3], o[4], o[1]))
+        expected[book, key] = [o[1] for o in others[:6]]
+    for side in (1, 4, 16):
+        got = {}
+        for r in questions.nearest_definitions(df, side=side).orderBy("rank").collect():
+            got.setdefault((r.book_id, r.key), []).append(r.o_key)
+        assert got == {k: v for k, v in expected.items() if v}
