@@ -176,6 +176,24 @@ def slice_results(slices: DataFrame, drafts: DataFrame, kept: DataFrame) -> Data
     return rows.withColumn("dropped", F.greatest(F.lit(0), F.col("wanted") - F.col("valid")) + F.col("valid") - F.col("kept"))
 
 
+def question_rows(kept: DataFrame, slices: DataFrame, model: Column, created_at: Column) -> DataFrame:
+    """Checked drafts as questions of the bank: source "ai", the slice as chunk, its chapter, the model, the cited blocks. The id comes from book, slice, stem and options, so the same draft has the same id however often it is made."""
+    seed = F.concat_ws("|", "book_id", "slice_key", "stem", F.array_join("options", "|"))
+    return kept.join(slices.select("book_id", "slice_key", "chapter"), ["book_id", "slice_key"]).select(
+        F.concat(F.lit("ai-"), F.md5(seed)).alias("id"), "book_id", F.lit("ai").alias("source"), "stem", "options", "answer", "explanations", F.col("sources").alias("block_indexes"),
+        "chapter", F.col("slice_key").alias("chunk"), model.alias("model"), created_at.alias("created_at"),
+    )
+
+
+def save_questions(bank: DataFrame, made: DataFrame) -> DataFrame:
+    """What is to be appended to the bank: questions of slices that it has none of; of several answers to a slice the earliest (by created_at, then model). Saving the same rows again appends nothing."""
+    order = F.struct("created_at", "model")
+    first = made.groupBy("book_id", "chunk").agg(F.min(order).alias("_first"))
+    stored = bank.where(F.col("chunk").isNotNull()).select("book_id", "chunk").distinct()
+    fresh = made.join(first, ["book_id", "chunk"]).where(order == F.col("_first")).drop("_first")
+    return fresh.join(stored, ["book_id", "chunk"], "left_anti").dropDuplicates(["id"]).select(*made.columns)
+
+
 _ERROR = "struct<error:struct<code:int,message:string,status:string,details:array<struct<reason:string,retryDelay:string,violations:array<struct<quotaId:string>>>>>>"
 
 
@@ -200,6 +218,31 @@ def run_totals(calls: DataFrame) -> DataFrame:
     return parts.groupBy("book_id").agg(F.count("*").alias("parts"), F.sum("n").alias("calls"), F.sum("write_ms").alias("write_ms"), F.sum("check_ms").alias("check_ms"), F.avg("part_ms").alias("mean_part_ms"), F.sum("used").alias("used_up"))
 
 
+def runs(calls: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """calls with run: a book's calls belong to one run until it pauses for more than the gap. Calls of equal time are ordered by id."""
+    order = Window.partitionBy("book_id").orderBy("ts", "id")
+    pause = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(order) > gap_seconds * 1_000_000
+    return calls.withColumn("_new", F.coalesce(pause, F.lit(False)).cast("int")).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def run_report(calls: DataFrame, results: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Per book and run: when it began and ended, parts and calls, kept, dropped and skipped, mean time of a part, milliseconds and tokens by step.
+
+    calls: book_id, id, ts, part, step ("write" or "check"), ms, prompt_tokens, output_tokens, thinking_tokens (null: unknown, 0). results: book_id, part, status, kept, dropped; a status other than "ok" is a part that was skipped. A part that goes on in a later run has its result there."""
+    of = lambda c, step: F.sum(F.when(F.col("step") == step, F.coalesce(c, F.lit(0))).otherwise(0)).alias(f"{step}_{c}")
+    measures = [(c, step) for step in ("write", "check") for c in ("ms", "prompt_tokens", "output_tokens", "thinking_tokens")]
+    seconds = F.unix_seconds("ts")
+    parts = runs(calls, gap_seconds).groupBy("book_id", "part", "run").agg(F.min(seconds).alias("began"), F.max(seconds).alias("ended"), F.count("*").alias("calls"), F.sum("ms").alias("part_ms"), *(of(c, step) for c, step in measures))
+    last = parts.groupBy("book_id", "part").agg(F.max("run").alias("run"))
+    done = results.join(last, ["book_id", "part"]).select("book_id", "part", "run", "status", "kept", "dropped")
+    both = parts.join(done, ["book_id", "part", "run"], "left")
+    ok = F.col("status") == "ok"
+    return both.groupBy("book_id", "run").agg(
+        F.min("began").alias("began"), F.max("ended").alias("ended"), F.count("*").alias("parts"), F.sum("calls").alias("calls"), F.coalesce(F.sum(F.when(ok, F.col("kept"))), F.lit(0)).alias("kept"),
+        F.coalesce(F.sum(F.when(ok, F.col("dropped"))), F.lit(0)).alias("dropped"), F.count_if(~ok).alias("skipped"), F.avg("part_ms").alias("mean_part_ms"), *(F.sum(f"{step}_{c}").alias(f"{step}_{c}") for c, step in measures),
+    )
+
+
 def last_log_lines(calls: DataFrame, lines: int = 40) -> DataFrame:
     """The latest calls of each book."""
     w = Window.partitionBy("book_id").orderBy(F.col("ts").desc(), F.col("id").desc())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -700,6 +701,46 @@ def llm12_slice_results(spark, sf_dir: str) -> DataFrame:
     return slices.slice_results(r, d, slices.apply_check(d, checks(r)))
 
 
+def _answered(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions from all slices' checked drafts, and those that are saved when two models have answered every even slice, the second one later, and all is saved twice."""
+    r, _, d = _drafts(spark, sf_dir)
+    kept = written(slices.apply_check(d, checks(r)), "kept")
+    at = F.lit(1704067200) + F.length("slice_key")
+    one = slices.question_rows(kept, r, F.lit("m1"), at)
+    two = slices.question_rows(kept.where(F.substring_index("slice_key", "-", 1).cast("int") % 2 == 0), r, F.lit("m2"), at + 60)
+    both = one.unionByName(two)
+    saved = written(slices.save_questions(one.limit(0), both), "saved")
+    return one, saved.unionByName(slices.save_questions(saved, both))
+
+
+_KEPT = SLICES + """, d AS (SELECT book_id, chapter, a, z, a || '-' || z AS slice_key, 0 AS pos, 'Q' || a || '-' || z AS stem, 1 AS answer, a AS cited FROM slices WHERE a % 6 IN (0, 4) UNION ALL SELECT book_id, chapter, a, z, a || '-' || z, 1, 'Second', 2, z FROM slices WHERE a % 6 <> 5),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id, slice_key ORDER BY pos) AS q FROM d),
+kept AS (SELECT * FROM n WHERE (q = 1 AND answer = CASE WHEN a % 2 = 0 THEN 1 ELSE 3 END) OR (q = 2 AND answer = 2 AND a % 3 <> 0))"""
+
+
+@query(f"""WITH {_KEPT} SELECT 'ai-' || md5(book_id || '|' || slice_key || '|' || stem || '|one|two|three|four') AS id, book_id, 'ai' AS source, stem, 'one|two|three|four' AS options, answer, cited AS block, chapter, slice_key AS chunk, 'm1' AS model, 1704067200 + length(slice_key) AS created_at FROM kept""")
+def llm12_question_rows(spark, sf_dir: str) -> DataFrame:
+    """Kept drafts become questions once, though many slices are answered twice and everything is saved twice."""
+    q = _answered(spark, sf_dir)[1]
+    return q.select("id", "book_id", "source", "stem", F.array_join("options", "|").alias("options"), "answer", F.get("block_indexes", 0).alias("block"), "chapter", "chunk", "model", "created_at")
+
+
+def _again(sql: str) -> str:
+    """The steps from blocks to slices a second time, over what the done ranges leave: all names get a 2."""
+    steps = sql.removeprefix(A.BLOCKS).replace("AS numbered FROM blocks)", "AS numbered FROM left_)")
+    for name in sorted(set(re.findall(r"^(\w+)(?:\([^)]*\))? AS \(", steps, re.MULTILINE)), key=len, reverse=True):
+        steps = re.sub(rf"\b{name}\b(?! AS (?:BIGINT|INT))", f"{name}2", steps)
+    return steps
+
+
+@query(f"""WITH {_KEPT}, done AS (SELECT DISTINCT book_id, a, z FROM kept), left_ AS (SELECT b.* FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.book_id = b.book_id AND b.idx BETWEEN d.a AND d.z)){_again(_RUNS)}
+SELECT book_id, chapter, a || '-' || z AS slice_key, chars::BIGINT AS chars FROM slices2""")
+def llm12_saved_slices_are_done(spark, sf_dir: str) -> DataFrame:
+    """What is still to be asked when the questions are saved: done slices (BNK4) of the bank go into the pending ones (LLM4)."""
+    done = bank.done_slices(_answered(spark, sf_dir)[1])
+    return slices.pending_slices(A.blocks(spark, sf_dir), done, 600, 150).select("book_id", "chapter", "slice_key", "chars")
+
+
 @query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'invalid-key' WHEN 1 THEN 'forbidden' WHEN 2 THEN 'rate-limit' WHEN 3 THEN 'rate-limit' WHEN 4 THEN 'server' ELSE 'unknown' END AS kind,
   CASE event_id % 6 WHEN 2 THEN (event_id % 50) * 1000 END AS retry_ms, event_id % 6 = 3 AS daily FROM events""")
 def llm13_classify_errors(spark, sf_dir: str) -> DataFrame:
@@ -720,6 +761,26 @@ def llm14_run_totals(spark, sf_dir: str) -> DataFrame:
     return slices.run_totals(A.llm_calls(spark, sf_dir)).withColumn("mean_part_ms", F.round("mean_part_ms", 6))
 
 
+def call_results(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calls with tokens (thinking is often unknown), and what became of each part: a seventh is skipped."""
+    n = F.col("id")
+    c = A.llm_calls(spark, sf_dir).withColumns({"prompt_tokens": (n % 900 + 100).cast("int"), "output_tokens": (n % 70).cast("int"), "thinking_tokens": F.when(n % 3 == 0, (n % 11).cast("int"))})
+    part = F.col("part")
+    status = F.when(part % 7 == 3, "blocked").when(part % 21 == 5, "bad-output").otherwise("ok")
+    return c, c.select("book_id", "part").distinct().withColumns({"status": status, "kept": (part % 5).cast("int"), "dropped": (part % 3).cast("int")})
+
+
+@query(f"""WITH {A.CALLS}, t AS (SELECT *, id % 900 + 100 AS tin, id % 70 AS tout, CASE WHEN id % 3 = 0 THEN id % 11 ELSE 0 END AS think, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY book_id ORDER BY ts, id) AS pause FROM calls),
+r AS (SELECT *, sum(CASE WHEN pause > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM t),
+p AS (SELECT book_id, part, run, min(epoch_us(ts) // 1000000) AS began, max(epoch_us(ts) // 1000000) AS ended, count(*) AS calls, sum(ms) AS part_ms, {', '.join(f"sum(CASE WHEN step = '{step}' THEN {c} ELSE 0 END) AS {step}_{name}" for step in ("write", "check") for c, name in (("ms", "ms"), ("tin", "prompt_tokens"), ("tout", "output_tokens"), ("think", "thinking_tokens")))} FROM r GROUP BY ALL),
+l AS (SELECT *, run = max(run) OVER (PARTITION BY book_id, part) AS last, part % 7 <> 3 AND part % 21 <> 5 AS ok FROM p)
+SELECT book_id, run::BIGINT AS run, min(began) AS began, max(ended) AS ended, count(*) AS parts, sum(calls)::BIGINT AS calls, coalesce(sum(part % 5) FILTER (last AND ok), 0)::BIGINT AS kept, coalesce(sum(part % 3) FILTER (last AND ok), 0)::BIGINT AS dropped, count(*) FILTER (last AND NOT ok) AS skipped,
+  round(avg(part_ms), 6) AS mean_part_ms, {', '.join(f"sum({step}_{name})::BIGINT AS {step}_{name}" for step in ("write", "check") for name in ("ms", "prompt_tokens", "output_tokens", "thinking_tokens"))} FROM l GROUP BY book_id, run""")
+def llm14_run_report(spark, sf_dir: str) -> DataFrame:
+    """Runs end at pauses of six hours: the given calls are few."""
+    return slices.run_report(*call_results(spark, sf_dir), gap_seconds=21_600).withColumn("mean_part_ms", F.round("mean_part_ms", 6))
+
+
 @query(f"WITH {A.CALLS} SELECT book_id, id, model, step, ms FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, id DESC) AS n FROM calls) WHERE n <= 40")
 def llm14_last_log_lines(spark, sf_dir: str) -> DataFrame:
     return slices.last_log_lines(A.llm_calls(spark, sf_dir))
