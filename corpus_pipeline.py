@@ -9,45 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import SCRATCH, delete_scratch, row_key, stash
+from quizmill.llm.common import delete_scratch, free_name, row_key, scratch_scope, stash
 from quizmill.llm.decontaminate import contaminated
 from quizmill.llm.importance import resample
 from quizmill.llm.mixing import mixed_texts
 from quizmill.llm.ngram_join import near_classes
 from quizmill.llm.sharding import shard_rows
 
-_ROW = "__row"
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_ROW, row_key(docs))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their key, and its name: one that `docs` does not have."""
+    row = free_name(docs, "row_key")
+    return docs.withColumn(row, row_key(docs)), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling selects; labelled rows of the labels table set the target."""
-    rows = _keyed(docs)
-    chosen = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=(_ROW,)).where("selected").select(_ROW)
-    return rows.join(chosen.hint("merge"), _ROW, "left_semi").select(*docs.columns)
+    rows, row = _keyed(docs)
+    chosen = resample(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=(row,)).where("selected").select(row)
+    return rows.join(chosen.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies: that of the least doc_id (none: last), then of the least row hash."""
-    rows = _keyed(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _ROW)
-    stays = near_classes(rows, keep=(_ROW,)).groupBy("group").agg(F.min(order).alias("first")).select(f"first.{_ROW}")
-    return rows.join(stays.hint("merge"), _ROW, "left_semi").dropDuplicates([_ROW]).select(*docs.columns)
+    rows, row = _keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    stays = near_classes(rows, keep=(row,)).groupBy("group").agg(F.min(order).alias("first")).select(f"first.{row}")
+    return rows.join(stays.hint("merge"), row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = _keyed(docs)
-    leaks = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(_ROW,)).select(_ROW).distinct()
-    return rows.join(leaks.hint("merge"), _ROW, "left_anti").select(*docs.columns)
+    rows, row = _keyed(docs)
+    leaks = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(row,)).select(row).distinct()
+    return rows.join(leaks.hint("merge"), row, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each document, epoch and output shard of the draw."""
-    return mixed_texts(_keyed(docs), key=_ROW).select(*docs.columns)
+    rows, row = _keyed(docs)
+    return mixed_texts(rows, key=row).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. When a stage's result is written, what it and its predecessor left in the shared folder is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    since = len(SCRATCH)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stash(stage(spark, docs, sf_dir), f"stage{i}")
-        delete_scratch(spark, since, keep=(SCRATCH[-1],))
+    with scratch_scope() as paths:
+        for i, (_, stage) in enumerate(STAGES):
+            docs = stash(stage(spark, docs, sf_dir), f"stage{i}")
+            delete_scratch(spark, paths, keep=(paths[-1],))
     return docs

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,21 +31,54 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Folders that this process has asked for, in order.
-SCRATCH: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """A list of the folders that are asked for inside it, by this thread (or context) only: two runs at a time have a list each."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    SCRATCH.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return SCRATCH[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
+    return path
 
 
-def delete_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the folders asked for since then, but for those in `keep`. For callers who have written what they wanted: frames that still read the folders fail afterwards."""
-    for path in [p for p in SCRATCH[since:] if p not in keep]:
+def delete_scratch(spark: SparkSession, paths: list[str], keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders of a scope and take them off its list, but for those in `keep`. For callers who have written what they wanted: frames that still read the folders fail afterwards."""
+    for path in [p for p in paths if p not in keep]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        SCRATCH.remove(path)
+        paths.remove(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have yet: the name, with underscores if need be. Spark's names ignore case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hidden(df: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns renamed that begin with two underscores, as helper columns do, but for those in `own`; and the new names of the old ones, for shown()."""
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.startswith("__") and c not in own:
+            names[c] = free_name(df, f"kept{len(names)}")
+    return df.withColumnsRenamed(names), names
+
+
+def shown(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed({new: old for old, new in names.items()})
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:

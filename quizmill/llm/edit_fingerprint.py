@@ -28,6 +28,8 @@ SAMPLES = 256
 THRESHOLD = 0.8
 MISS = 0.02
 _LEAST_LEVEL = 4
+#: A fingerprint has bits of its own level and of four below, to be compared with shorter texts: all samples of the first two, then each second and each fourth.
+STRIDES = (1, 1, 2, 4, 4)
 
 
 class _Walk:
@@ -63,7 +65,7 @@ def _walk() -> _Walk:
 
 
 def fingerprint(data: bytes, states: np.ndarray) -> str:
-    """steps:level:bits:bits in hex: sampled bits of the first 2^level and of the first 2^(level-1) steps; level is the least with 2^level >= steps."""
+    """steps:level:bits:... in hex: sampled bits of the first 2^level steps and, by STRIDES, of the first 2^(level-1), 2^(level-2), ...; level is the least with 2^level >= steps."""
     w = _walk()
     jumps = np.diff(states.astype(np.int32)) % PERIOD
     jumps[jumps == 0] = PERIOD
@@ -72,27 +74,27 @@ def fingerprint(data: bytes, states: np.ndarray) -> str:
     level = max(_LEAST_LEVEL, (max(steps, 1) - 1).bit_length())
     read = np.frombuffer(data, np.uint8)
     out = [f"{steps:x}", f"{level:x}"]
-    for lv in (level, level - 1):
-        at = (w.where * (1 << lv)).astype(np.int64)
-        symbol = np.full(SAMPLES, 256)
+    for below, stride in enumerate(STRIDES):
+        at = (w.where[::stride] * (1 << (level - below))).astype(np.int64)
+        symbol = np.full(len(at), 256)
         inside = at < steps
         symbol[inside] = read[np.searchsorted(ends, at[inside], side="right")]
-        out.append(np.packbits(w.bit[np.arange(SAMPLES), symbol]).tobytes().hex())
+        out.append(np.packbits(w.bit[np.arange(0, SAMPLES, stride), symbol]).tobytes().hex())
     return ":".join(out)
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of steps that agree. Bits agree by chance half the time, which is taken off; texts whose levels differ by two or more, of which one has more than twice the other's steps and so less than half in common, have 0."""
+    """0 to 1: the share of steps that agree, of those of the longer text. Bits agree by chance half the time, which is taken off. Both are compared on the shorter text's level, so the likeness of a text and a longer one that begins with it falls as the other grows; it is 0 where the longer one has more than 16 times the steps and so less than a sixteenth in common."""
     if a == b:
         return 1.0
     (sa, la, *ha), (sb, lb, *hb) = a.split(":"), b.split(":")
     sa, la, sb, lb = int(sa, 16), int(la, 16), int(sb, 16), int(lb, 16)
-    level = min(la, lb)
-    if abs(la - lb) > 1 or not min(sa, sb):
+    level, apart = min(la, lb), abs(la - lb)
+    if apart >= len(STRIDES) or not min(sa, sb):
         return 0.0
-    w = _walk()
-    at = (w.where * (1 << level)).astype(np.int64)
-    bits = [np.unpackbits(np.frombuffer(bytes.fromhex(h[lv - level]), np.uint8)) for h, lv in ((ha, la), (hb, lb))]
+    stride = STRIDES[apart]
+    at = (_walk().where[::stride] * (1 << level)).astype(np.int64)
+    bits = [np.unpackbits(np.frombuffer(bytes.fromhex(h[lv - level]), np.uint8))[:: stride if lv == level else 1] for h, lv in ((ha, la), (hb, lb))]
     either, both = at < max(sa, sb), at < min(sa, sb)
     if not either.any():
         return 0.0
@@ -160,12 +162,12 @@ def _finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited form, with their likeness and that of the next document in descending doc_id (after the last: the first).
 
-    Texts are packed, range-partitioned by doc_id once and streamed in order; the two edges of each partition (as many rows as partitions, not documents) are matched afterwards: partition numbers find the next partition that has rows, texts are joined by them. A null text is empty; null ids come last; rows with equal ids are ordered by a hash of the text; a lone document is its own next."""
+    Texts are packed, range-partitioned by doc_id and tie once, so that rows without id fill many partitions, and streamed in order; the two edges of each partition (as many rows as partitions, not documents) are matched afterwards: partition numbers find the next partition that has rows, texts are joined by them. A null text is empty; null ids come last; rows with equal ids are ordered by a hash of the text; a lone document is its own next."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text"))
     order = F.col("_id").desc_nulls_last()
-    ranged = packed(rows).withColumn("_id", F.col("doc_id").cast("long")).repartitionByRange(order).sortWithinPartitions(order, "tie")
+    ranged = packed(rows).withColumn("_id", F.col("doc_id").cast("long")).repartitionByRange(order, "tie").sortWithinPartitions(order, "tie")
     done = stash(ranged.mapInPandas(_neighbours, f"{_SCHEMA}, edge int, part int, packed binary"), "edit-prints")
-    # partitions do not share ids, so the partitions' order is the ids' order; the list of partitions is all that this window sees
+    # the partitions' order is the order of ids and ties; the list of partitions is all that this window sees
     parts = done.where("edge = 0").select("part")
     follow = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("_next"))
     firsts = done.where("edge = 0").select(F.col("part").alias("_next"), F.col("packed").alias("next_packed"), F.col("fingerprint").alias("next_print"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import BLANKS, stash, text_of
+from quizmill.llm.common import BLANKS, hidden, shown, stash, text_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,7 +70,8 @@ def kept_lines(lines: Column, keep: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """`docs` with keep (empty: all lines stay), n_lines, n_dropped and the kept text in `kept`. Columns of these names are replaced."""
+    """`docs` with keep (empty: all lines stay), n_lines, n_dropped and the kept text in `kept`. Columns of these names are replaced, all others stay."""
+    docs, names = hidden(docs)
     marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("keep").alias("__keep"))
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text_of()) == F.col("__hash"))
     marked = docs.drop("keep", "n_lines", "n_dropped", "kept").join(marks.hint("merge"), same, "left")  # grows with the documents: never broadcast
@@ -82,7 +83,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         "n_dropped": F.coalesce(F.aggregate(lost, F.lit(0).cast("long"), lambda a, n: a + n.cast("long")), F.lit(0)).cast("long"),
         "kept": F.when(F.col("__keep").isNull(), text_of()).otherwise(kept_lines(lines, F.col("__keep"))),
     })
-    return counted.drop("__id", "__hash", "__keep")
+    return shown(counted.drop("__id", "__hash", "__keep"), names)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

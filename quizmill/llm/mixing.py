@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import WORD_PATTERN, running_sum, stash, text_of
+from quizmill.llm.common import WORD_PATTERN, hidden, running_sum, shown, stash, text_of
 
 BLOCK, OUT_SHARDS = 512, 64
 #: Rounds of the permutation: two neighbours stay side by side with a chance of about 2^-ROUNDS.
@@ -155,10 +155,11 @@ def taken_words(docs: DataFrame, block: int = BLOCK, out_shards: int = OUT_SHARD
 
 
 def mixed_texts(docs: DataFrame, block: int = BLOCK, out_shards: int = OUT_SHARDS, key: str | None = None) -> DataFrame:
-    """The mix as documents: a row per document, epoch and output shard with the words taken there, in order; columns as `docs`. `key` names a column of docs that is equal for equal rows only (without it doc_id must tell the rows apart). Texts without words are never taken.
+    """The mix as documents: a row per document, epoch and output shard with the words taken there, in order; columns as `docs`, whatever their names are. `key` names a column of docs that is equal for equal rows only (without it doc_id must tell the rows apart). Texts without words are never taken.
 
     A document that is taken whole into one shard keeps its text as it is; else the pieces are cut at word starts."""
-    own = key or "doc_id"
+    docs, names = hidden(docs)
+    own = names.get(key, key) or "doc_id"
     mix = _mix(docs.withColumn("__key", F.col(own).cast("string")), block, out_shards, ("__key",)).where(F.col("n") > 0)
     pieces = mix.groupBy("__key", "row", "size", "epoch", "out_shard").agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("pieces"), F.sum("n").alias("n"))
     parts = pieces.groupBy(F.col("__key").alias("__key2"), "row", F.col("size").alias("__size")).agg(F.array_sort(F.collect_list(F.struct("epoch", "out_shard", "n", "pieces"))).alias("__parts")).drop("row")
@@ -170,7 +171,7 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, out_shards: int = OUT_SHARD
     # the one-element array binds the words, so that a text is split once and not once a piece
     every = F.flatten(F.transform(F.array(words), lambda w: F.transform("__parts", lambda part: F.when(part["n"] == F.col("__size"), F.col("text")).otherwise(cut(w, part)))))
     out = joined.withColumn("__texts", every).withColumn("text", F.explode("__texts"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns).transform(shown, names)
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

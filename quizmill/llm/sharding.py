@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizmill.llm.common import hash_bucket, running_sum, text_of
+from quizmill.llm.common import hash_bucket, hidden, running_sum, shown, text_of
 
 #: Rows that are numbered in one window of a shard, on average, at most.
 PER_BUCKET = 100_000
@@ -73,14 +73,15 @@ def grown_shard(key: Column, root: Node, shard: Column) -> Column:
 def shard_rows(rows: DataFrame, key: str = "doc_id", root: Node | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
     """`rows` with shard (int), grown_shard (int: the shard with one more) and slot (long: gapless from 0 in each shard).
 
-    Columns of these names are replaced. A null key is a key like any other; rows that repeat a key share its shard and get slots of their own. Slots come from two-level counts over buckets of all text and whole-number columns, so neither a shard nor the rows of a hot or null key are numbered in one task; only rows that are equal in all those columns stay together."""
+    Columns of these names are replaced, all others stay whatever their names are (`key` must not be a helper's). A null key is a key like any other; rows that repeat a key share its shard and get slots of their own. Slots come from two-level counts over buckets of all text and whole-number columns, so neither a shard nor the rows of a hot or null key are numbered in one task; only rows that are equal in all those columns stay together."""
     root = root or tree()
+    rows, names = hidden(rows, key)
     order = [key, *[c for c, kind in rows.dtypes if c not in (key, "shard", "slot", "grown_shard") and kind in ("bigint", "int", "string")]]
     buckets = max(256, -(-rows.count() // per_bucket))
     bucket = hash_bucket(F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in order]), buckets)
     placed = rows.withColumns({"shard": descend(F.col(key), root).cast("int"), "__bucket": bucket, "__one": F.lit(1).cast("long")})
     placed = placed.withColumn("grown_shard", grown_shard(F.col(key), root, F.col("shard")).cast("int"))
-    return running_sum(placed.drop("slot"), "shard", "__bucket", order, "__one", "slot").drop("__bucket", "__one")
+    return shown(running_sum(placed.drop("slot"), "shard", "__bucket", order, "__one", "slot").drop("__bucket", "__one"), names)
 
 
 def sizes(docs: DataFrame) -> DataFrame:

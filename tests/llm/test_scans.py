@@ -1,6 +1,7 @@
 """Secret scans, WARC archives, edit fingerprints."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -229,3 +230,34 @@ def test_fingerprint_partitions_do_not_matter(spark, docs, n):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == 40 and got == test_fingerprint_partitions_do_not_matter.__dict__.setdefault("rows", got)
+
+
+def test_likeness_falls_without_jumps():
+    """A text and longer ones that begin with it: likeness falls with the length, near to the share of the longer text, whatever powers of two lie between."""
+    rng = random.Random(21)
+    for words in (15, 40, 80, 110, 300):
+        base = " ".join("".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randrange(2, 9))) for _ in range(words))
+        tail = " ".join("".join(rng.choices("abcdefghiklmnoprstuvw", k=rng.randrange(2, 9))) for _ in range(9 * words))
+        whole = lambda t: E.fingerprint(E.symbols(t), E._walk().run(E.symbols(t)))
+        of, last = whole(base), None
+        for part in range(24, 161):
+            factor = part / 20
+            found = E.likeness(of, whole(f"{base} {tail}"[: int(len(base) * factor)]))
+            assert abs(found - (found if last is None else last)) <= 0.1 and abs(found - 1 / factor) <= 0.13, (words, factor, found, last)
+            last = found
+
+
+def test_rows_without_id_fill_many_partitions(spark):
+    """Nine rows in ten have no id: they are dealt by the tie too, and the order over partitions holds."""
+    rng = random.Random(22)
+    rows = [(i if i % 10 == 0 else None, " ".join(rng.choices("red green blue black white".split(), k=30))) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_id": F.col("doc_id"), "tie": F.xxhash64("text")})
+    order = F.col("_id").desc_nulls_last()
+    dealt = df.repartitionByRange(8, order, "tie").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in dealt) < 700
+    got = E.edit_fingerprints(df.select("doc_id", "text")).collect()
+    placed = [r.text for r in df.orderBy(order, "tie").collect()]
+    following = dict(zip(placed, placed[1:] + placed[:1], strict=True))
+    prints = {t: E.fingerprint(E.symbols(t), E._walk().run(E.symbols(t))) for t in placed}
+    expected = sorted((prints[t], hashlib.sha256(E.edited_text(t, n).encode()).hexdigest()) for t, n in following.items())
+    assert sorted((r.fingerprint, r.edited_sha256) for r in got) == expected
