@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizmill.functions.text import CITATION, NOTE_LIKE, NUMBERED, ascii_bounds, is_study_passage, js_blanks
@@ -28,6 +28,27 @@ def load_books(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     return blocks.join(ids.select("book_id"), "book_id", "left_semi")
 
 
+#: Directories that stored blocks are dealt to, by book.
+BUCKETS = 64
+
+
+def bucket_of(book_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(book_id), F.lit(buckets)).cast("int")
+
+
+def stored_book(spark, path: str, book_id: str, buckets: int = BUCKETS) -> DataFrame:
+    """load_all_blocks from stored books: the bucket is a constant, so one directory is read."""
+    return load_all_blocks(spark.read.parquet(f"{path}/blocks").where(F.col("bucket") == bucket_of(F.lit(book_id), buckets)), book_id).drop("bucket")
+
+
+def stored_ranges(spark, path: str, ranges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """load_ranges from stored books: requests meet the blocks by bucket and book, so Spark reads the buckets that are asked for only (where the requests are few enough to be broadcast)."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+    asked = ranges.select(bucket_of(F.col("book_id"), buckets).alias("bucket"), "book_id", "start", "end")
+    held = blocks.join(asked, ["bucket", "book_id"]).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
+    return held.select(*[c for c in blocks.columns if c != "bucket"])
+
+
 def list_books(books: DataFrame) -> DataFrame:
     return books.orderBy("imported_at", "id")
 

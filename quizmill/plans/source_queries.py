@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quizmill.functions.scratch import scratch, written
-from quizmill.operators import bank, structure
+from quizmill.operators import bank, passages, structure
 from quizmill.plans import adapters as A
 from quizmill.plans.queries import query
 from quizmill.sources import bundle, epub
@@ -327,6 +327,46 @@ def src11_refused_bundles(spark, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, rows)
 
 
+def exported_files(spark, path: str, table: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{table}").select("path", "content")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents WHERE doc_id IS NOT NULL)
+SELECT 'whole' AS given, 'ok' AS verdict, n AS questions FROM n UNION ALL SELECT 'plain text named gz', 'ok', n FROM n UNION ALL SELECT 'cut off gzip', 'damaged', NULL FROM n UNION ALL SELECT 'broken gzip', 'damaged', NULL FROM n
+UNION ALL SELECT 'binary junk', 'damaged', 0 FROM n UNION ALL SELECT 'junk as header', 'not_ours', n FROM n UNION ALL SELECT 'broken header', 'damaged', n FROM n""")
+def src10_unreadable_bundles(spark, sf_dir: str) -> DataFrame:
+    """The exported bundle, with files that a reader by file name would fail on."""
+    path = _exported(spark, sf_dir)
+    files = {t: exported_files(spark, path, t) for t in ("header", *bundle.TABLES)}
+    q, content = files["questions"], F.col("content")
+    plain = bundle.decoded_lines(q).groupBy("file").agg(F.array_join(F.collect_list("value"), "\n").alias("t")).select(F.col("file").alias("path"), F.encode("t", "UTF-8").alias("content"))
+    half = F.substring(content, F.lit(1), F.length(content) - 20)
+    spoilt = F.concat(F.substring(content, F.lit(1), F.lit(12)), F.unhex(F.lit("ffffffffffff")), F.substring(content, F.lit(30), F.length(content)))
+    with_ = lambda df, c: df.select("path", c.alias("content"))
+    junk = F.unhex(F.lit("fffe00ff0a80"))
+    cases = {
+        "whole": {}, "plain text named gz": {"questions": plain}, "cut off gzip": {"questions": with_(q, half)}, "broken gzip": {"questions": with_(q, spoilt)},
+        "binary junk": {"questions": with_(q, junk)}, "junk as header": {"header": with_(files["header"], junk)}, "broken header": {"header": with_(files["header"], half)},
+    }
+    rows = []
+    for name, changed in cases.items():
+        raw = {t: bundle.decoded_lines(f) for t, f in {**files, **changed}.items()}
+        n = raw["questions"].agg(F.count("value").alias("questions"))
+        n = n.withColumn("questions", F.lit(None).cast("long")) if name in ("cut off gzip", "broken gzip") else n
+        rows.append(bundle.check_bundle(raw["header"], raw).select(F.lit(name).alias("given"), "verdict").join(n, F.lit(True)))
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
+@query(f"WITH {A.BLOCKS}, n AS (SELECT book_id, count(*) AS c FROM blocks GROUP BY book_id) SELECT book_id, idx, text FROM blocks JOIN n USING (book_id) WHERE idx >= c // 4 AND idx < c * 3 // 4")
+def src6_stored_ranges(spark, sf_dir: str) -> DataFrame:
+    """The middle half of every book, from books that were written and are read by bucket."""
+    path = scratch(spark, "books")
+    epub.write_books(A.books(spark, sf_dir), A.blocks(spark, sf_dir), path)
+    c = F.count("*")
+    asked = spark.read.parquet(f"{path}/blocks").groupBy("book_id").agg(F.floor(c / 4).alias("start"), F.floor(c * 3 / 4).alias("end"))
+    return passages.stored_ranges(spark, path, asked).select("book_id", "idx", "text")
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -342,10 +382,21 @@ def stm1_attempts_stream(spark, sf_dir: str) -> DataFrame:
     e = _event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", "ts")
     twice = e.unionByName(e)
     out = scratch(spark, "attempts")
-    streams.run_into(twice, streams.append_new(out), scratch(spark, "stream"))
+    streams.run_into(twice, streams.append_new(out, "one"), scratch(spark, "stream"))
+    streams.run_into(e, streams.append_new(out, "two"), scratch(spark, "stream"))  # another stream brings them again
     return spark.read.parquet(out).select("id", "user_id")
 
 
+@query("SELECT event_id AS id, user_id FROM events")
+def stm1_bounded_attempts(spark, sf_dir: str) -> DataFrame:
+    """The form with bounded state: repeats within the watermark's delay are dropped, state older than it is let go."""
+    e = _event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", "ts")
+    out = scratch(spark, "bounded")
+    once = streams.attempts_stream(e.unionByName(e), "400 days").select("id", "user_id")
+    once.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(f"WITH {A.ATTEMPTS.replace(A.DOCUMENT_COUNT, '1000')} SELECT user_id, question_id, id, chosen, \"at\" FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY \"at\" DESC, id) AS n FROM attempts) WHERE n = 1")
 def stm2_last_attempt_stream(spark, sf_dir: str) -> DataFrame:
     n = F.col("event_id")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,54 @@ def read_raw(spark, path: str, table: str) -> DataFrame:
     return spark.read.text(f"{path}/{table}")
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of files (path, content) as (file, value, error): gzip is told by its first two bytes, whatever a file is called. A file that cannot be read to its end is one more row: damaged (broken or cut off gzip) or undecodable (no UTF-8)."""
+
+    def pieces(content: bytes) -> Iterator[bytes]:
+        at = 0
+        while content[:2] == b"\x1f\x8b" and at < len(content):  # members may follow each other
+            unzip, some = zlib.decompressobj(31), content[at : at + STEP]
+            while some:
+                yield unzip.decompress(some)
+                at += len(some) - len(unzip.unused_data)
+                some = b"" if unzip.eof else content[at : at + STEP]
+            if not unzip.eof:
+                raise zlib.error("cut off")
+        if content[:2] != b"\x1f\x8b":
+            yield from (content[i : i + STEP] for i in range(0, len(content), STEP))
+
+    def pack(file: str, values: list, error: str | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(values)), pa.array(values, pa.string()), pa.array([error] * len(values), pa.string())], names=["file", "value", "error"])
+
+    for batch in batches:
+        for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            rest = b""
+            try:
+                for piece in pieces(content):
+                    *lines, rest = (rest + piece).split(b"\n")
+                    if lines:
+                        yield pack(file, [x.decode().removesuffix("\r") for x in lines])
+                if rest:
+                    yield pack(file, [rest.decode()])
+            except zlib.error:
+                yield pack(file, [None], "damaged")
+            except UnicodeDecodeError:
+                yield pack(file, [None], "undecodable")
+
+
+STEP = 1 << 20
+
+
+def decoded_lines(files: DataFrame) -> DataFrame:
+    """(file, value, error) of files (path, content), as Spark's binaryFile source gives them: a file that cannot be read is a row with an error and no failed job."""
+    return files.select("path", "content").mapInArrow(_lines, "file string, value string, error string")
+
+
+def read_files(spark, path: str, table: str) -> DataFrame:
+    """decoded_lines of a table's files."""
+    return decoded_lines(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/{table}"))
+
+
 def _kind(v: Column, field: str) -> Column:
     s = F.schema_of_variant(F.variant_get(v, f"$.{field}", "variant"))
     return F.when(s == "STRING", "string").when(s.rlike("^ARRAY"), "array").when(s.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), "number").when(s.rlike("^BOOLEAN"), "boolean").when(s == "VOID", F.lit(None)).otherwise("other")
@@ -58,12 +110,16 @@ def row_is_whole(value: Column, table: str) -> Column:
 
 
 def check_bundle(header: DataFrame, raw: dict[str, DataFrame | None]) -> DataFrame:
-    """One row: verdict and bad rows of each table. not_ours before too_new before damaged; a missing table is damage."""
+    """One row: verdict and bad rows of each table. not_ours before too_new before damaged; a missing table is damage, a file that could not be read is a bad row, and a header whose gzip is broken is damage whatever it was."""
     v = F.try_parse_json(F.col("value"))
     app, fmt = F.try_variant_get(v, "$.app", "string"), F.try_variant_get(v, "$.format", "double")
     numeric = F.coalesce(_kind(v, "format") == "number", F.lit(False))
     head = header.agg(F.max(F.struct((F.coalesce(app == APP, F.lit(False)) & numeric).alias("ours"), F.coalesce(fmt, F.lit(0.0)).alias("format"))).alias("h"))
-    counts = head.select(F.coalesce("h.ours", F.lit(False)).alias("ours"), F.coalesce("h.format", F.lit(0.0)).alias("format"))
+    if "error" in header.columns:
+        head = head.join(header.agg(F.count_if(F.col("error") == "damaged").alias("broken")), F.lit(True))
+    else:
+        head = head.withColumn("broken", F.lit(0).cast("long"))
+    counts = head.select("broken", F.coalesce("h.ours", F.lit(False)).alias("ours"), F.coalesce("h.format", F.lit(0.0)).alias("format"))
     for name in TABLES:
         df = raw.get(name)
         if df is None:
@@ -73,5 +129,5 @@ def check_bundle(header: DataFrame, raw: dict[str, DataFrame | None]) -> DataFra
     whole = F.lit(True)
     for name in TABLES:
         whole = whole & F.coalesce(F.col(f"bad_{name}") == 0, F.lit(False))
-    verdict = F.when(~F.col("ours"), "not_ours").when(F.col("format") > FORMAT, "too_new").when(~whole, "damaged").otherwise("ok")
+    verdict = F.when(F.col("broken") > 0, "damaged").when(~F.col("ours"), "not_ours").when(F.col("format") > FORMAT, "too_new").when(~whole, "damaged").otherwise("ok")
     return counts.select(verdict.alias("verdict"), *[f"bad_{n}" for n in TABLES])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quizmill.functions.scratch import written
 from quizmill.functions.text import fragment_of, resolve_path
-from quizmill.operators import structure
+from quizmill.operators import passages, structure
 
 # Elements that hold blocks, and elements whose content is not book text.
 _BLOCK = set("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table ul".split())
@@ -427,7 +427,8 @@ def import_books(meta: DataFrame, blocks: DataFrame, toc: DataFrame | None = Non
     return books, blocks.join(stats.select("book_id"), "book_id", "left_semi")
 
 
-def write_books(books: DataFrame, blocks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Both tables as Parquet; blocks in `buckets` directories by the hash of the book, so that a book is found without a directory of its own."""
+def write_books(books: DataFrame, blocks: DataFrame, path: str, buckets: int = passages.BUCKETS) -> None:
+    """Both tables as Parquet; blocks in `buckets` directories by the hash of the book, in reading order, so that a book is found without a directory of its own (passages.stored_book, stored_ranges). Large buckets are written by several tasks."""
     books.write.mode("overwrite").parquet(f"{path}/books")
-    blocks.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    dealt = blocks.withColumn("bucket", passages.bucket_of(F.col("book_id"), buckets)).hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "book_id", "idx").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")

@@ -17,23 +17,30 @@ def attempts_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
-def append_new(path: str):
-    """foreachBatch sink that is exact however late a repeat comes: rows whose id is not stored yet are appended."""
+def append_new(path: str, run: str, buckets: int = 64):
+    """foreachBatch sink that is exact however late a repeat comes: rows whose id is not stored yet are appended.
 
-    def write(batch: DataFrame, _: int) -> None:
+    The table is dealt by run (the name of a checkpoint), batch and a hash bucket of the id. A batch reads the buckets that its own ids fall into (at most `buckets` numbers come to the driver), and writes its own directory: a batch that is played again replaces what it wrote and adds nothing."""
+
+    def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        once = batch.dropDuplicates(["id"])
-        try:
-            stored = spark.read.parquet(path).select("id")
-        except Exception as e:  # nothing is stored before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = once.select("id").limit(0)
-        once.join(stored, "id", "left_anti").write.mode("append").parquet(path)
+        once = batch.dropDuplicates(["id"]).withColumns({"run": F.lit(run), "batch": F.lit(n), "bucket": F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")})
+        touched = [r["bucket"] for r in once.select("bucket").distinct().collect()]
+        if stored(spark, path):
+            own = (F.col("run") == run) & (F.col("batch") >= n)
+            known = spark.read.parquet(path).where(F.col("bucket").isin(touched) & ~own).select("id")
+            once = once.join(known, "id", "left_anti")
+        once.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch", "bucket").parquet(path)
 
     return write
 
 
+def stored(spark, path: str) -> bool:
+    """Whether the table has been written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def last_attempt_stream(events: DataFrame) -> DataFrame:
     """Running last attempt of each learner at each question: by time, then the lowest id; late rows lose by time."""
     best = F.max_by(F.struct("id", "chosen", "at"), F.struct(F.col("at"), -F.col("id")))
