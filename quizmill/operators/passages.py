@@ -42,9 +42,10 @@ def stored_book(spark, path: str, book_id: str, buckets: int = BUCKETS) -> DataF
 
 
 def stored_ranges(spark, path: str, ranges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """load_ranges from stored books: requests meet the blocks by bucket and book, so Spark reads the buckets that are asked for only (where the requests are few enough to be broadcast)."""
-    blocks = spark.read.parquet(f"{path}/blocks")
+    """load_ranges from stored books. The buckets that are asked for (at most `buckets` numbers come to the driver) are a constant of the read, so no others are opened."""
     asked = ranges.select(bucket_of(F.col("book_id"), buckets).alias("bucket"), "book_id", "start", "end")
+    held_in = [r["bucket"] for r in asked.select("bucket").distinct().collect()]
+    blocks = spark.read.parquet(f"{path}/blocks").where(F.col("bucket").isin(held_in))
     held = blocks.join(asked, ["bucket", "book_id"]).where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("end")))
     return held.select(*[c for c in blocks.columns if c != "bucket"])
 

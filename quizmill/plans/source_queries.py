@@ -404,6 +404,16 @@ def stm2_last_attempt_stream(spark, sf_dir: str) -> DataFrame:
     return streams.run_available(streams.last_attempt_stream(e), scratch(spark, "last"), scratch(spark, "stream"))
 
 
+@query(f"WITH {A.ATTEMPTS} SELECT user_id, question_id, \"at\", id, chosen FROM (SELECT *, row_number() OVER (PARTITION BY user_id, question_id ORDER BY \"at\" DESC, id) AS n FROM attempts) WHERE n = 1")
+def stm2_last_attempt_state(spark, sf_dir: str) -> DataFrame:
+    """The running last attempt from keyed state: only changed keys leave a batch, into a versioned table. Questions are as many as the documents."""
+    n, count = F.col("event_id"), A.read(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).first()[0] or 1
+    e = _event_stream(spark, sf_dir).select(n.alias("id"), "user_id", F.concat(F.lit("q"), (n * 7 % count).cast("string")).alias("question_id"), (F.floor(n / 3) % 4).cast("int").alias("chosen"), F.floor(F.unix_micros("ts") / 3600000000).cast("long").alias("at"))
+    path = scratch(spark, "last")
+    streams.run_upserts(streams.newest_by_key(e, ["user_id", "question_id"], ["at", "id", "chosen"], less_is_better=True), path, scratch(spark, "stream"))
+    return streams.current(spark, path, ["user_id", "question_id"])
+
+
 @query("""WITH c AS (SELECT 'q' || (event_id * 7 % 1000) AS id, event_id % 3 = 0 AS flagged, floor(epoch_us(ts) / 3600000000)::BIGINT AS "at" FROM events)
 SELECT id, flagged, "at" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY "at" DESC, flagged DESC) AS n FROM c) WHERE n = 1""")
 def stm2_flag_stream(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """HTML walks, bundles that are refused, merges that change nothing the second time."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quizmill.operators import merge, slices, structure
+from quizmill.operators import merge, passages, slices, structure
 from quizmill.plans import adapters as A
 from quizmill.sources import bundle, epub
 from quizmill.streaming import streams
@@ -133,3 +134,79 @@ def test_contents_of_an_import(spark):
         ("before", []), ("s", []), ("Head", ["One", "Head"]), ("in", ["One", "Head"]), ("after", ["One", "Head"]), ("carried", ["Void"]), ("Box", ["Void", "Box"]), ("boxed", ["Void", "Box"]), ("free", ["Void"]),
     ]
     assert [x.title for x in books.first().toc] == ["One", "Empty", "Void", "Late"]
+
+
+def test_one_bucket_is_read(spark, tmp_path):
+    """A book and ranges of it are read from its own directory: all others hold junk."""
+    blocks = spark.createDataFrame([(f"b{i % 40}", i // 40, "paragraph", f"t{i}") for i in range(400)], "book_id string, idx int, kind string, text string")
+    books = blocks.select(F.col("book_id").alias("id")).distinct()
+    path = str(tmp_path / "stored")
+    epub.write_books(books, blocks, path, buckets=64)
+    own = spark.range(1).select(passages.bucket_of(F.lit("b7"))).first()[0]
+    book, ranges = passages.stored_book(spark, path, "b7"), passages.stored_ranges(spark, path, spark.createDataFrame([("b7", 2, 5)], "book_id string, start int, end int"))
+    plan = lambda df: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert re.search(rf"PartitionFilters: .*\(bucket#\d+ = {own}\)", plan(book))
+    assert re.search(rf"PartitionFilters: .*bucket#\d+ = {own}\)", plan(ranges))
+    for f in (tmp_path / "stored" / "blocks").glob("bucket=*/*.parquet"):
+        if f.parent.name != f"bucket={own}":
+            f.write_bytes(b"junk")
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+    spark.catalog.refreshByPath(path)
+    assert [r.text for r in book.orderBy("idx").collect()] == [f"t{7 + 40 * k}" for k in range(10)]
+    assert [r.idx for r in ranges.orderBy("idx").collect()] == [2, 3, 4]
+
+
+def test_attempt_ledger_is_replayed(spark, tmp_path):
+    """A batch that is played again, after it wrote and after it failed half-way, adds nothing; another run adds only what is new."""
+    path = str(tmp_path / "ledger")
+    batch = lambda *ids: spark.createDataFrame([(i, f"u{i}") for i in ids], "id long, user string")
+    rows = lambda: sorted((r.id, r.user) for r in spark.read.parquet(path).collect())
+    one = streams.append_new(path, "one", buckets=4)
+    one(batch(1, 2, 2, 3), 0)
+    one(batch(3, 4, 5), 1)
+    one(batch(3, 4, 5), 1)
+    assert rows() == [(i, f"u{i}") for i in range(1, 6)]
+    lost = next((tmp_path / "ledger" / "run=one" / "batch=1").iterdir())
+    for f in lost.iterdir():
+        f.unlink()
+    one(batch(3, 4, 5), 1)
+    one(batch(1), 2)
+    streams.append_new(path, "two", buckets=4)(batch(5, 6, 1), 0)
+    assert rows() == [(i, f"u{i}") for i in range(1, 7)]
+
+
+def test_keyed_state_writes_what_changed(spark, tmp_path):
+    """Two runs over arriving files: the second writes only the keys that changed, late rows lose, repeats change nothing; the table equals the batch."""
+    schema = "user_id long, question_id string, at long, id long, chosen int"
+    first = [(1, "q1", 10, 1, 0), (1, "q1", 10, 2, 1), (1, "q2", 5, 3, 2), (2, "q1", 7, 4, 3)]
+    second = [(1, "q1", 9, 5, 3), (1, "q1", 10, 1, 0), (1, "q2", 6, 6, 1), (3, "q9", 1, 7, 0), (2, "q1", 7, 9, 1)]
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streams.run_upserts(streams.newest_by_key(stream, ["user_id", "question_id"], ["at", "id", "chosen"], less_is_better=True), out, check)
+    versions = {v: sorted((r.user_id, r.question_id) for r in rows) for v in (0, 1) if (rows := spark.read.parquet(out).where(F.col("version") == v).collect())}
+    assert versions == {0: [(1, "q1"), (1, "q2"), (2, "q1")], 1: [(1, "q2"), (3, "q9")]}
+    best = {}
+    for u, q, at, i, c in first + second:
+        best[u, q] = max(best.get((u, q), (at, -i, c)), (at, -i, c), key=lambda x: x[:2])
+    assert {(r.user_id, r.question_id): (r.at, -r.id, r.chosen) for r in streams.current(spark, out, ["user_id", "question_id"]).collect()} == best
+
+
+def test_lines_of_files(spark):
+    import gzip
+
+    data = {"a.gz": gzip.compress(b"one\r\ntwo\n") + gzip.compress(b"three"), "b.gz": b"plain\nlast", "c": gzip.compress(b"x" * 3_000_000 + b"\nend"), "d": gzip.compress(b"cut off\n" * 999)[:-9], "e": b"\xff\xfe\n", "f": b""}
+    got = bundle.decoded_lines(spark.createDataFrame(list(data.items()), "path string, content binary")).collect()
+    of = lambda f: [r.value for r in got if r.file == f and r.error is None]
+    assert of("a.gz") == ["one", "two", "three"] and of("b.gz") == ["plain", "last"] and [len(x) for x in of("c")] == [3_000_000, 3] and of("f") == []
+    assert {r.file: r.error for r in got if r.error} == {"d": "damaged", "e": "undecodable"}
+
+
+def test_slices_are_saved_once(spark):
+    made = "id string, book_id string, chunk string, created_at long, model string"
+    rows = spark.createDataFrame([("a", "b", "1-2", 5, "m"), ("a", "b", "1-2", 5, "m"), ("c", "b", "1-2", 5, "m"), ("d", "b", "1-2", 9, "n"), ("e", "b", "3-4", 9, "n")], made)
+    bank = rows.limit(0)
+    saved = slices.save_questions(bank, rows)
+    assert sorted(r.id for r in saved.collect()) == ["a", "c", "e"]
+    assert slices.save_questions(saved, rows).count() == 0
