@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +62,69 @@ def assign_chapter(blocks: DataFrame, toc: DataFrame) -> DataFrame:
     return marked.withColumns({"chapter": F.last("_title", ignorenulls=True).over(running), "chapter_start": F.last(at, ignorenulls=True).over(running)}).drop("_title")
 
 
+def _in_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Headings in order (book_id, chapter, seq, rank, text, scope_end) to the places where what is in force changes (book_id, chapter, at, headings).
+
+    A stack of the headings that may still come into force: a new one takes away those of its rank or higher that end no later than it does; those that outlive it come back when it ends. Memory: one stack."""
+    group, stack, ends, out = None, [], [], []
+
+    def now(at: int) -> None:
+        low, names = None, []
+        for _, rank, text in reversed(stack):
+            if low is None or rank < low:
+                low = rank
+                names.append(text)
+        if out and out[-1][:3] == (*group, at):
+            out.pop()
+        out.append((*group, at, names[::-1]))
+
+    def end_before(seq: float) -> None:
+        while ends and ends[0] < seq:
+            last = heapq.heappop(ends)
+            kept = [h for h in stack if h[0] > last]
+            if len(kept) < len(stack):
+                stack[:] = kept
+                now(last + 1)
+
+    def pack() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["book_id", "_c", "_s", "_headings"])
+
+    for batch in batches:
+        for book, chapter, seq, rank, text, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (book, chapter) != group:
+                if group:
+                    end_before(math.inf)
+                group, stack, ends = (book, chapter), [], []
+            end_before(seq)
+            stop = math.inf if stop is None else stop
+            stack[:] = [h for h in stack if h[1] < rank or h[0] > stop]
+            if stop >= seq:
+                stack.append((stop, rank, text))
+                if stop < math.inf:
+                    heapq.heappush(ends, stop)
+            now(seq)
+            if len(out) > 4_000:
+                kept, out = out[-1], out[:-1]  # the last one may be replaced
+                yield pack()
+                out = [kept]
+    if group:
+        end_before(math.inf)
+    if out:
+        yield pack()
+
+
 def heading_path(blocks: DataFrame, headings: DataFrame) -> DataFrame:
     """headings in force (array, outermost first) for each block of a chapter instance.
 
-    blocks and headings: book_id, chapter_start, seq; headings also rank, text, scope_end (null: open). A heading covers what follows up to its scope's end unless a later heading of its rank or lower, that covers the same block, replaces it."""
-    h = headings.select("book_id", F.coalesce("chapter_start", F.lit(-1)).alias("_c"), F.col("seq").alias("h_seq"), "rank", F.col("text").alias("h_text"), "scope_end")
-    b = blocks.withColumn("_c", F.coalesce("chapter_start", F.lit(-1)))
-    covered = b.select("book_id", "_c", "seq").join(h, ["book_id", "_c"]).where((F.col("h_seq") <= F.col("seq")) & (F.col("scope_end").isNull() | (F.col("seq") <= F.col("scope_end"))))
-    later = Window.partitionBy("book_id", "_c", "seq").orderBy("h_seq").rowsBetween(1, Window.unboundedFollowing)
-    live = covered.withColumn("_low", F.min("rank").over(later)).where(F.col("_low").isNull() | (F.col("_low") > F.col("rank")))
-    lists = live.groupBy("book_id", "_c", "seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("h_seq", "h_text"))), lambda x: x["h_text"]).alias("headings"))
-    return b.join(lists, ["book_id", "_c", "seq"], "left").withColumn("headings", F.coalesce("headings", F.array().cast("array<string>"))).drop("_c")
+    blocks and headings: book_id, chapter_start, seq; headings also rank, text, scope_end (null: open). A heading covers what follows up to its scope's end unless a later heading of its rank or lower, that covers the same block, replaces it. The headings of a chapter pass through a stack once; blocks take the latest state before them, so no block meets a heading by a join."""
+    chapter = F.coalesce("chapter_start", F.lit(-1)).cast("long")
+    h = headings.select("book_id", chapter.alias("_c"), F.col("seq").cast("long").alias("_s"), F.col("rank").cast("int").alias("rank"), "text", F.col("scope_end").cast("long").alias("scope_end"))
+    states = h.repartition("book_id", "_c").sortWithinPartitions("book_id", "_c", "_s").mapInArrow(_in_force, "book_id string, _c long, _s long, _headings array<string>")
+    rows = blocks.withColumns({"_c": chapter, "_s": F.col("seq").cast("long"), "_block": F.lit(True)}).unionByName(states, allowMissingColumns=True)
+    latest = Window.partitionBy("book_id", "_c").orderBy("_s", F.col("_block").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("headings", F.coalesce(F.last("_headings", ignorenulls=True).over(latest), F.array().cast("array<string>")))
+    return placed.where("_block").drop("_c", "_s", "_block", "_headings")
 
 
 def heading_level(kind: Column, headings: Column) -> Column:

@@ -1,6 +1,7 @@
 """HTML walks, bundles that are refused, merges that change nothing the second time."""
 
 import json
+import random
 import re
 
 import pytest
@@ -210,3 +211,21 @@ def test_slices_are_saved_once(spark):
     saved = slices.save_questions(bank, rows)
     assert sorted(r.id for r in saved.collect()) == ["a", "c", "e"]
     assert slices.save_questions(saved, rows).count() == 0
+
+
+def test_headings_by_a_stack(spark):
+    """Against the rule itself: a heading covers a block up to its scope's end unless a later one of its rank or lower covers it too."""
+    rng = random.Random(8)
+    headings, blocks = [], []
+    for book in range(6):
+        for seq in range(120):
+            chapter = rng.choice([None, 3]) if book == 5 else None if seq < 20 else seq // 50
+            blocks.append((f"b{book}", chapter, seq))
+            if rng.random() < (0.1 if book < 2 else 0.5):
+                headings.append((f"b{book}", chapter, seq, rng.randrange(1, 5), f"h{seq}", rng.choice([None, seq, seq + rng.randrange(30), seq + 3])))
+    expected = {}
+    for book, chapter, seq in blocks:
+        covers = [h for h in headings if h[:2] == (book, chapter) and h[2] <= seq and (h[5] is None or seq <= h[5])]
+        expected[book, seq] = [h[4] for h in covers if not any(x[2] > h[2] and x[3] <= h[3] for x in covers)]
+    got = structure.heading_path(spark.createDataFrame(blocks, "book_id string, chapter_start int, seq int"), spark.createDataFrame(headings, "book_id string, chapter_start int, seq int, rank int, text string, scope_end int"))
+    assert {(r.book_id, r.seq): list(r.headings) for r in got.collect()} == expected
