@@ -50,6 +50,17 @@ GLOSSARY = "^([A-Z][^.:—–]{1,60}?)\\s*(?:\\.|:|—|–| - )\\s+(?:See also [
 GLOSSARY_SECTION = "(?i)glossary|terminology|definitions|key terms|vocabulary"
 NOT_CONCEPT_SECTION = "(?i)^(?:foreword|preface|introduction to this (?:book|edition)|about this book)"
 SKIPPED_SECTION = "(?i)^(?:(?:table of )?contents|index|copyright|acknowledge?ments?|about the (?:authors?|editors?|contributors?)|dedication|also by.*|bibliography|references|endnotes|notes)\\z"
+# What a term does not hold, how it does not end, and an action with its object.
+TERM_SIGNS = '[,;:?!<>=“”"]|\\d|percent'
+TERM_ENDS = "(?i)^(?:a|an|the|of|to|and|or|is|are)\\z"
+TERM_WORDS = "\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b"
+GERUND = "(?i)ing\\z"
+GERUND_OBJECT = "(?i)^(?:a|an|the|every|each|your|our)\\z"
+# Signs and first words that no definition has; what stands before the word that defines, and a clause that defines without an article.
+DEFINITION_SIGNS = '[!?]|[,.]["”’](?:\\s|\\z)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{}=]'
+DEFINITION_STARTS = "(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)"
+ARTICLE = "^(?:a|an|the|any|one of the|one of)\\s+(\\S+)"
+CLAUSE = "^\\S+(?:\\s+\\S+){0,8}?\\s+(?:that|which|who|whose|where)\\b"
 # Words of the person who speaks, as they are written; they make no definition.
 PERSON = "\\b(?:I|I’m|I'm|you|your|we|our)\\b"
 NUMBERED = "^\\d{1,3}[.)]?\\s+\\S"
@@ -130,10 +141,10 @@ def plausible_term(t: Column) -> Column:
     words = js_words(t)
     n = F.size(words)
     return (
-        n.between(1, 6) & (F.length(t) >= 3) & ~F.lower(words[0]).isin(NOT_TERMS) & ~t.rlike('[,;:?!<>=“”"]|\\d|percent')
-        & ~F.element_at(words, -1).rlike("(?i)^(?:a|an|the|of|to|and|or|is|are)\\z")
-        & ~t.rlike(_as_meant("\\b(?:whether|that|which|who|if|when|you|your|we|our|I)\\b"))
-        & ~(words[0].rlike("(?i)ing\\z") & F.coalesce(F.get(words, 1).rlike("(?i)^(?:a|an|the|every|each|your|our)\\z"), F.lit(False)))
+        n.between(1, 6) & (F.length(t) >= 3) & ~F.lower(words[0]).isin(NOT_TERMS) & ~t.rlike(TERM_SIGNS)
+        & ~F.element_at(words, -1).rlike(TERM_ENDS)
+        & ~t.rlike(_as_meant(TERM_WORDS))
+        & ~(words[0].rlike(GERUND) & F.coalesce(F.get(words, 1).rlike(GERUND_OBJECT), F.lit(False)))
     )
 
 
@@ -141,8 +152,8 @@ def plausible_definition(d: Column) -> Column:
     n = F.size(js_words(d))
     return (
         n.between(5, 45)
-        & ~d.rlike(js_blanks('[!?]|[,.]["”’](?:\\s|\\z)|["”’][,.]?\\s+(?:said|cried|interrupted|asked|replied)|[<>{}=]'))
-        & ~d.rlike(_as_meant("(?i)^(?:the following|this (?:specification|section|chapter|book|guide|document)|for example|see\\b)"))
+        & ~d.rlike(js_blanks(DEFINITION_SIGNS))
+        & ~d.rlike(_as_meant(DEFINITION_STARTS))
         & ~d.rlike(_as_meant(PERSON))
     )
 
@@ -157,11 +168,11 @@ def definition_in_sentence(s: Column) -> Column:
     term, verb = js_trim(part(1)), part(2)
     explicit = part(3).rlike(js_blanks("^defined as\\s+"))
     body = js_trim(F.regexp_replace(part(3), js_blanks("^defined as\\s+"), ""))
-    article = F.regexp_extract(body, js_blanks("^(?:a|an|the|any|one of the|one of)\\s+(\\S+)"), 1)
+    article = F.regexp_extract(body, js_blanks(ARTICLE), 1)
     plain = verb.isin("is", "are") & ~explicit
     described = body.rlike(_as_meant(f"^(?:{NOT_DEFINING})\\b"))
     opinion = F.regexp_replace(F.lower(article), "\\W", "").isin(EVALUATIVE)
-    clause = body.rlike(_as_meant("^\\S+(?:\\s+\\S+){0,8}?\\s+(?:that|which|who|whose|where)\\b"))
+    clause = body.rlike(_as_meant(CLAUSE))
     good = F.when(plain, ~described & F.when(article != "", ~opinion).otherwise(clause)).otherwise(~body.rlike(_as_meant("(?i)^that\\b")))
     found = (verb != "") & ~s.rlike("^[\"“‘']|[!?]")
     return _entry(found & good & plausible_term(term) & plausible_definition(body), term, clean_definition(body))
