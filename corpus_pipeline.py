@@ -58,7 +58,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing sources to target weights", mixing), ("sharding", sharding)]
 
-#: Hashed models, MinHash and a randomised SVD: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
+#: Hashed models, MinHash and a randomised SVD: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against planted and odd rows, the operators' own tests against brute force.
 ORACLE_SQL = None
 
 
