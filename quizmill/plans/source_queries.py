@@ -301,6 +301,27 @@ def src9_src10_bundle_round_trip(spark, sf_dir: str) -> DataFrame:
     return back["questions"].select("id", "book_id", "source", "stem", F.array_join("options", ",").alias("options"), "answer", "created_at", "flagged", "flagged_at")
 
 
+@query(f"""WITH {A.QUESTIONS}, {A.BOOKS.strip()}, {A.BLOCKS.strip()}, {A.ATTEMPTS.strip()}
+SELECT 'books' AS name, id AS key, title || '|' || block_count AS held FROM books UNION ALL SELECT 'blocks', book_id || ':' || idx, kind || '|' || path[1] || '|' || text FROM blocks
+UNION ALL SELECT 'questions', id, chapter || '|' || array_to_string(block_indexes, ',') FROM questions UNION ALL SELECT 'attempts', a.id::VARCHAR, a.question_id || '|' || q.book_id || '|' || a.chosen || '|' || a."at" FROM attempts a JOIN questions q ON a.question_id = q.id""")
+def src9_src10_all_tables(spark, sf_dir: str) -> DataFrame:
+    """All four tables of a bundle, written and read back."""
+    back = bundle.read_bundle(spark, _exported(spark, sf_dir), {k: StructType.fromDDL(v) for k, v in _BUNDLE.items()})
+    said = lambda *c: F.concat_ws("|", *[x if not isinstance(x, str) else F.col(x).cast("string") for x in c]).alias("held")
+    key = F.col("id").cast("string").alias("key")
+    rows = {
+        "books": back["books"].select(key, said("title", "block_count")), "blocks": back["blocks"].select(F.concat_ws(":", "book_id", F.col("idx").cast("string")).alias("key"), said("kind", F.get("path", 0), "text")),
+        "questions": back["questions"].select(key, said("chapter", F.array_join("block_indexes", ","))), "attempts": back["attempts"].select(key, said("question_id", "book_id", "chosen", "at")),
+    }
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("name"), "key", "held") for name, df in rows.items()])
+
+
+@query(f"SELECT event_id AS id, '{bundle.APP}-' || strftime(ts, '%Y-%m-%d-%H%M') AS name FROM events")
+def src9_bundle_names(spark, sf_dir: str) -> DataFrame:
+    """The file name of a bundle that is saved at each event's time."""
+    return A.read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), bundle.bundle_name(F.col("ts")).alias("name"))
+
+
 @query("SELECT 'ok' AS verdict, 0::BIGINT AS bad_books, 0::BIGINT AS bad_blocks, 0::BIGINT AS bad_questions, 0::BIGINT AS bad_attempts")
 def src11_check_bundle(spark, sf_dir: str) -> DataFrame:
     path = _exported(spark, sf_dir)
