@@ -77,10 +77,11 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_versions: tuple[int, ...] = (1, 2)) -> DataFrame:
     """New ledger rows: blob, rule_version, spans. `versions` has path and text (any history: a path may come many times).
 
-    Each unseen blob is read from one of the paths that hold it, so a group of copies is scanned once; rows are moved by path and blob, packed, so a hot blob does not fill a task. Null texts are empty texts; a null path is a path; repeated rows are scanned once."""
+    Each unseen blob is read from one of the paths that hold it, so a group of copies is scanned once; rows are moved by path and blob, packed, so a hot blob does not fill a task; rows that are equal in both are one before they are moved. Null texts are empty texts; a null path is a path."""
     addressed = versions.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text_of().alias("text")).withColumn("blob", blob_id(F.col("text")))
     todo = unseen_blobs(addressed.select("path", "blob"), ledger, list(rule_versions)).withColumnsRenamed({"blob": "_blob", "holder": "_path"})
-    texts = packed(addressed).join(todo.hint("merge"), (F.col("path") == F.col("_path")) & (F.col("blob") == F.col("_blob")))
+    once = packed(addressed).groupBy("path", "blob").agg(F.first("packed").alias("packed"))  # repeated rows meet before they are moved; the join goes on with this dealing
+    texts = once.join(todo.hint("merge"), (F.col("path") == F.col("_path")) & (F.col("blob") == F.col("_blob")))
     found = texts.select("blob", "packed", "todo").mapInPandas(_scan, f"blob string, rule_version int, spans {_SPAN}")
     return found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
 
