@@ -8,6 +8,7 @@ import base64
 import json
 import os
 import re
+from functools import cache
 
 import numpy as np
 
@@ -41,6 +42,7 @@ def load(name: str):
     return _LOADED[name]
 
 
+@cache  # the whole vocabulary is read for it
 def stable_boundary(name: str) -> re.Pattern:
     """Matches end where any encoding of a text may be cut, whatever stands further left or right.
 

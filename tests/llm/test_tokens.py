@@ -47,6 +47,13 @@ def test_disagreeing_neighbours_are_not_spliced(spark, monkeypatch):
     assert any(len(s) > 1 for s in shifts)
 
 
+def test_a_tokenizer_is_read_once_for_its_boundary(monkeypatch):
+    """Batches after the first do not take the whole vocabulary apart again."""
+    tc.whole_counts(FILES[0], ["a b"])
+    monkeypatch.setattr(vocab.json, "loads", lambda *a: pytest.fail("read again"))
+    assert tc.whole_counts(FILES[0], ["a b", "c"]) == [2, 1]
+
+
 def test_whole_table(spark, sf, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = tc.op13_token_counts(spark, sf).collect()
