@@ -50,8 +50,6 @@ class _Side:
     def __init__(self, name: str, end: str):
         self.name, self.model = name, vocab.load(name)
         vocab.stable_boundary(name)  # raises if words may not be encoded one by one
-        if name.endswith(".json"):
-            self.model.encode_special_tokens = True
         self.bytes = vocab.token_bytes(name)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         written = np.array([str(i) for i in range(len(self.bytes))], object)
@@ -61,6 +59,7 @@ class _Side:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of a space and each text."""
         if self.name.endswith(".json"):
+            self.model.encode_special_tokens = True  # each time: the worker's object is shared with the token counts
             return [e.ids for e in self.model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
         if self.name.endswith(".tiktoken"):
             return [self.model.encode_ordinary(f" {t}") for t in texts]

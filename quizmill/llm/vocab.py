@@ -71,6 +71,7 @@ def token_ends(name: str, texts: list[str]) -> list[list[int]]:
     """For each text the places (code points) where its tokens end, in order; several tokens may end inside one character, at the same place."""
     model = load(name)
     if name.endswith(".json"):
+        model.encode_special_tokens = False  # the default; op11 sets it on the same object
         return [[end for _, end in e.offsets] for e in model.encode_batch(texts, add_special_tokens=False)]
     if name.endswith(".tiktoken"):
         out = []
@@ -90,6 +91,7 @@ def count_tokens(name: str, texts: list[str]) -> list[int]:
     """Tokens of each whole text."""
     model = load(name)
     if name.endswith(".json"):
+        model.encode_special_tokens = False
         return [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
     if name.endswith(".tiktoken"):
         return [len(model.encode_ordinary(t)) for t in texts]

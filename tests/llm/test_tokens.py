@@ -54,6 +54,18 @@ def test_a_tokenizer_is_read_once_for_its_boundary(monkeypatch):
     assert tc.whole_counts(FILES[0], ["a b", "c"]) == [2, 1]
 
 
+def test_counts_and_alignment_in_one_worker():
+    """The alignment takes special strings as plain text, the counts as the library does by default, in any order in one process."""
+    from quizmill.llm import alignment
+
+    name, text = "byte_bpe_50k.json", "1 2<|endoftext|> 3"
+    counts, ends = vocab.count_tokens(name, [text]), vocab.token_ends(name, [text])
+    side = alignment._Side(name, ";")
+    plain = side.encode([text])
+    assert len(plain[0]) > counts[0]
+    assert (vocab.count_tokens(name, [text]), vocab.token_ends(name, [text]), side.encode([text])) == (counts, ends, plain)
+
+
 def test_whole_table(spark, sf, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = tc.op13_token_counts(spark, sf).collect()
