@@ -102,9 +102,9 @@ class TextCnn:
 
     def pooled(self, rows: np.ndarray, begins: np.ndarray, keep: bool = False):
         """Greatest filter response in each text (negative: 0); keep: also where it is."""
-        x = self.table[rows[:, 0]]
+        x = self.table.take(rows[:, 0], axis=0, mode="wrap")  # faster than an index; row -1 is the last one here too
         for k in range(1, rows.shape[1]):
-            x += self.table[rows[:, k]]
+            x += self.table.take(rows[:, k], axis=0, mode="wrap")
         most, where = [], []
         for w, f, b in zip(_WIDTHS, self.filters, self.bias, strict=True):
             reply = x @ f[:_DIMS] + b
@@ -223,7 +223,7 @@ def train(rows: np.ndarray, begins: np.ndarray, y: np.ndarray, epochs: int = 14,
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, lang, toxic, part of all labelled rows that may be learned from, with whole texts; part 3 calibrates. Of the rows that repeat an id the least text and language, and the greatest label."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")))
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     own = texts.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("least"))
     return own.select("doc_id", "least.*", "toxic", part.alias("part"))
