@@ -96,6 +96,12 @@ def test_blanks_beyond_ascii(spark):
     assert one(spark, T.definition_in_sentence, "A covenant\u00a0is a promise that\u2003binds two firms.")["term"] == "covenant"
 
 
+def test_any_number_of_leading_words(spark):
+    long = " ".join(["The the of And to in"] * 10_000)
+    assert one(spark, T.strip_leading, f"{long} Data Act of the Land") == "Data Act of the Land"
+    assert one(spark, T.strip_leading, long) == "in"
+
+
 def test_fnv_and_ids(spark):
     def fnv(t):
         h = 0x811C9DC5
