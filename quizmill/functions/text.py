@@ -130,12 +130,24 @@ def strip_leading(t: Column) -> Column:
     return F.regexp_replace(js_trim(t), js_blanks(f"^(?:(?:{LEADING})\\s+)++"), "")
 
 
+# Letters that have a capital of their own, though Unicode's full mapping, which is Spark's, writes it as several letters (ß as SS).
+_SMALL = "ß" + "".join(map(chr, (*range(0x1F80, 0x1F88), *range(0x1F90, 0x1F98), *range(0x1FA0, 0x1FA8), 0x1FB3, 0x1FC3, 0x1FF3)))
+_CAPITAL = "ẞ" + "".join(map(chr, (*range(0x1F88, 0x1F90), *range(0x1F98, 0x1FA0), *range(0x1FA8, 0x1FB0), 0x1FBC, 0x1FCC, 0x1FFC)))
+
+
+def capitalised(t: Column) -> Column:
+    """The first letter as its one capital, as SQL has it; one that has none stays."""
+    first = F.substring(t, 1, 1)
+    upper = F.when(F.length(F.upper(first)) > 1, F.translate(first, _SMALL, _CAPITAL)).otherwise(F.upper(first))
+    return F.concat(upper, F.substring(t, F.lit(2), F.length(t)))
+
+
 def clean_definition(t: Column) -> Column:
     """First sentence without "See also", lead-ins, closing marks and an unclosed aside; capitalised."""
     first = F.coalesce(F.get(split_sentences(js_trim(F.regexp_replace(t, _as_meant("\\bSee also [^.]+\\.\\s*"), ""))), 0), F.lit(""))
     tidy = js_trim(F.regexp_replace(F.regexp_replace(first, js_blanks("(?i)^(?:defined as|known as)\\s+"), ""), "[.;:]+\\z", ""))
     tidy = F.regexp_replace(tidy, js_blanks("^(.+?)[\\s,;:]*\\([^()]*\\z"), "$1")
-    return F.concat(F.upper(F.substring(tidy, 1, 1)), F.substring(tidy, F.lit(2), F.length(tidy)))
+    return capitalised(tidy)
 
 
 def plausible_term(t: Column) -> Column:

@@ -90,6 +90,17 @@ def test_clean_definition_drops_open_aside(spark):
     assert one(spark, T.clean_definition, "known as a ring of trusted firms (Books") == "A ring of trusted firms"
 
 
+def test_first_letter_has_one_capital(spark):
+    """As SQL's upper: ß has ẞ, ŉ and ﬁ have none; whole mappings (SS, ʼN, FI) would lengthen the text."""
+    import duckdb
+
+    for c in "aßŉǰﬁᾀᾈῳǆéñœıд1 ":
+        text = f"{c}chzu beschie"
+        assert one(spark, T.capitalised, text) == duckdb.execute("SELECT upper($1[1]) || $1[2:]", [text]).fetchone()[0]
+    assert one(spark, T.clean_definition, "known as ßachzu beschie.") == "ẞachzu beschie"
+    assert one(spark, T.glossary_entry, "Notice — ßheit a person about data use")["definition"] == "ẞheit a person about data use"
+
+
 def test_blanks_beyond_ascii(spark):
     assert one(spark, T.key_of, "\u00a0Data\u2003 Fiduciary’s\u3000") == "data fiduciary's"
     assert one(spark, T.strip_leading, "Under\u00a0the Data Act") == "Data Act"
