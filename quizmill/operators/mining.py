@@ -43,11 +43,20 @@ def sentences(passages: DataFrame) -> DataFrame:
 _ACRONYM = T.js_blanks("\\s*\\(([A-Z][A-Z0-9&]{1,7})\\)")
 
 
+def _flat(pattern: str) -> str:
+    """An entity pattern with possessive loops and the same matches: any other loop calls itself for each word, and some 1,500 words overflow a task's stack, which ends its executor.
+
+    What follows connecting words begins with a capital, so none is ever wanted back. A list of capitalised words gives back no more than its last word: not if that can end at a word's end, else only that word, since all before it can."""
+    between = f"\\s+(?:{_CONNECT}\\s+)*"
+    listed = f"(?:{_CAP}+{between}+(?=[A-Z])(?![A-Z][A-Za-z]*+[0-9_]))*+{_CAP}"
+    return pattern.replace(f"{_CAP}(?:{between}{_CAP})*", listed).replace(f"(?:{_CONNECT}\\s+)*)", f"(?:{_CONNECT}\\s+)*+)")
+
+
 def _mentions(sentence: Column) -> Column:
     """Matches of all patterns in one pass each: (pattern, n, kind, raw, acronym). No name holds a bracket, so the acronym after a match is cut off behind it."""
 
     def of(p: int, kind: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(sentence, F.lit(f"((?:{T.ascii_bounds(T.js_blanks(pattern))})(?:{_ACRONYM})?)"), F.lit(1))
+        found = F.regexp_extract_all(sentence, F.lit(f"((?:{T.ascii_bounds(T.js_blanks(_flat(pattern)))})(?:{_ACRONYM})?)"), F.lit(1))
         return F.transform(found, lambda m, i: F.struct(F.lit(p).alias("pattern"), i.alias("n"), F.lit(kind).alias("kind"), F.regexp_replace(m, f"{_ACRONYM}\\z", "").alias("raw"), F.regexp_extract(m, f"{_ACRONYM}\\z", 1).alias("acronym")))
 
     return F.concat(*[of(p, kind, pattern) for p, (kind, pattern) in enumerate(ENTITY_PATTERNS)])

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quizmill.functions import text as T
 from quizmill.operators import mining, passages, questions
 
 TEXTS = [
@@ -115,3 +116,24 @@ def test_nearest_definitions(spark):
         for r in questions.nearest_definitions(df, side=side).orderBy("rank").collect():
             got.setdefault((r.book_id, r.key), []).append(r.o_key)
         assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_entity_patterns_without_recursion(spark):
+    """The loops that do not call themselves find what the patterns say, in random rows of the words that matter; and they keep up with any number of words."""
+    rng = random.Random(5)
+    words = "Act Rule Board Office Bureau Department of of of the the and & in The Of Abc Ab9 Ab_x U.S. Tr.ab9 Ab.c X- Y' O’b é9 Éa x (AB) , . 9".split()
+    rows = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", " ", "  ", ""]) for _ in range(rng.randrange(2, 30))) for _ in range(20_000)]
+    rows += [" ".join(["Department", "of", "the"][: rng.randrange(2, 4)] + [rng.choice(words) for _ in range(rng.randrange(1, 9))]) + rng.choice(["", ".", "9", " (XY)"]) for _ in range(20_000)]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    as_said = [F.regexp_extract_all("t", F.lit(f"({T.ascii_bounds(T.js_blanks(p))})"), F.lit(1)).alias(f"a{i}") for i, (_, p) in enumerate(mining.ENTITY_PATTERNS)]
+    flat = [F.regexp_extract_all("t", F.lit(f"({T.ascii_bounds(T.js_blanks(mining._flat(p)))})"), F.lit(1)).alias(f"b{i}") for i, (_, p) in enumerate(mining.ENTITY_PATTERNS)]
+    found = [0, 0, 0]
+    for r in df.select("t", *as_said, *flat).collect():
+        for i in range(3):
+            assert r[f"a{i}"] == r[f"b{i}"], r["t"]
+            found[i] += len(r[f"a{i}"])
+    assert min(found) > 1_000
+    long = "The " + "the of " * 20_000
+    sents = spark.createDataFrame([("b", 0, 0, f"{long}Data Act passed."), ("b", 1, 0, f"Department of {'The ' * 20_000}Sea acts.")], "book_id string, idx int, pos int, sentence string")
+    got = {r["name"] for r in mining.find_entities(sents).collect()}
+    assert got == {"Data Act", f"Department of {'The ' * 20_000}Sea"}
