@@ -137,3 +137,12 @@ def test_entity_patterns_without_recursion(spark):
     sents = spark.createDataFrame([("b", 0, 0, f"{long}Data Act passed."), ("b", 1, 0, f"Department of {'The ' * 20_000}Sea acts.")], "book_id string, idx int, pos int, sentence string")
     got = {r["name"] for r in mining.find_entities(sents).collect()}
     assert got == {"Data Act", f"Department of {'The ' * 20_000}Sea"}
+
+
+def test_duty_of_a_long_name(spark):
+    """A sentence is cut where names of its book can end, not behind each of its words: that took the square of a long name's length."""
+    name = f"Department of {'The ' * 100_000}Sea"
+    said = [f"The {name} requires all firms to keep every file.", "Department of Sea requires all firms to keep no file.", "Department of The Sea"]
+    sents = spark.createDataFrame([("b", i, 0, s, "c") for i, s in enumerate(said)], "book_id string, idx int, pos int, sentence string, chapter string")
+    got = mining.find_duties(sents, mining.find_entities(sents)).orderBy("idx").collect()
+    assert [(r["idx"], r["name"], r["predicate"]) for r in got] == [(0, name, "requires all firms to keep every file"), (1, "Department of Sea", "requires all firms to keep no file")]
