@@ -12,7 +12,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizmill.functions.scratch import written
@@ -60,12 +60,19 @@ def read_epubs(spark, path: str) -> DataFrame:
     return epub_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path))
 
 
+def _suffix(path: Column) -> Column:
+    return F.lower(F.substring_index(path, ".", -1))
+
+
 def member(parts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`wanted` (book_id, want) with the member's path and text: the exact name, else the same name in other case."""
-    named = parts.where(F.col("path").isNotNull()).select("book_id", "path", "text", F.lower("path").alias("_low"))
-    joined = wanted.withColumn("_low", F.lower("want")).join(named, ["book_id", "_low"])
-    best = F.min_by(F.struct("path", "text"), F.struct((F.col("path") != F.col("want")).cast("int"), "path"))
-    return joined.groupBy("book_id", "want").agg(best.alias("m")).select("book_id", "want", "m.*")
+    """`wanted` (book_id, want; other columns stay) with the member's path and text: the exact name, else the same name in other case. Names meet first; then a text moves once, and only if its name ends like one that is wanted (the few endings of epub_members come to the driver)."""
+    named = parts.where(F.col("path").isNotNull()).select("book_id", "path", F.lower("path").alias("_low"))
+    joined = wanted.select("book_id", "want", F.lower("want").alias("_low")).join(named, ["book_id", "_low"])
+    best = joined.groupBy("book_id", "want").agg(F.min_by("path", F.struct((F.col("path") != F.col("want")).cast("int"), "path")).alias("path"))
+    endings = [r[0] for r in best.select(_suffix(F.col("path"))).distinct().collect()]
+    texts = parts.where(_suffix(F.col("path")).isin(endings)).select("book_id", "path", "text")
+    found = wanted.join(best, ["book_id", "want"]).join(texts, ["book_id", "path"]).dropDuplicates(["book_id", "path", "want"])  # an archive may hold a name twice
+    return found.select(*wanted.columns, "path", "text")
 
 
 def _local(tag: str) -> str:
@@ -196,8 +203,8 @@ def nav_links(parts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return links.select("book_id", "kind", "pos", "depth", "title", resolve_path(F.col("source"), F.col("href")).alias("path"), fragment_of(F.col("href")).alias("fragment"))
 
 
-def reject_protected(parts: DataFrame) -> DataFrame:
-    """Members of books that are not copy-protected: only fonts may be encrypted, by the two obfuscations."""
+def protected(parts: DataFrame) -> DataFrame:
+    """(book_id): copy-protected books. Only fonts may be encrypted, by the two obfuscations."""
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -212,8 +219,12 @@ def reject_protected(parts: DataFrame) -> DataFrame:
                         bad.append(book)
             yield pd.DataFrame({"book_id": bad}, dtype="object")
 
-    locked = parts.where(F.lower("path") == "meta-inf/encryption.xml").select("book_id", "text").mapInPandas(found, "book_id string").distinct()
-    return parts.join(locked, "book_id", "left_anti")
+    return parts.where(F.lower("path") == "meta-inf/encryption.xml").select("book_id", "text").mapInPandas(found, "book_id string").distinct()
+
+
+def reject_protected(parts: DataFrame) -> DataFrame:
+    """Members of books that are not copy-protected."""
+    return parts.join(protected(parts), "book_id", "left_anti")
 
 
 class _Walker(HTMLParser):
@@ -379,10 +390,10 @@ def book_files(parts: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame
     """(book_id, spine_pos, path, html, listed): the books' documents in reading order, each with the labels that the page list has for places in it; of several for one place the last holds."""
     _, manifest, spine = epub_package(parts, rows)
     docs = structure.spine_documents(manifest, spine).groupBy("book_id", "path").agg(F.min("pos").alias("spine_pos"))
-    found = member(parts, docs.select("book_id", F.col("path").alias("want"))).select("book_id", F.col("want").alias("path"), F.col("text").alias("html"))
     labels = links.where("kind = 'pages' AND fragment IS NOT NULL").groupBy("book_id", "path", "fragment").agg(F.max_by("title", "pos").alias("label"))
     listed = labels.groupBy("book_id", "path").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "label"))).alias("listed"))
-    return docs.join(found, ["book_id", "path"]).join(listed, ["book_id", "path"], "left")
+    wanted = docs.join(listed, ["book_id", "path"], "left").withColumnRenamed("path", "want")
+    return member(parts, wanted).select("book_id", F.col("want").alias("path"), "spine_pos", F.col("text").alias("html"), "listed")
 
 
 def book_tokens(files: DataFrame) -> DataFrame:
@@ -395,25 +406,27 @@ def book_tokens(files: DataFrame) -> DataFrame:
 
 
 def build_books(meta: DataFrame, files: DataFrame, tokens: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """books (with toc), blocks (book_id, idx, kind, text, path, page, level, rows) and contents (book_id, pos, title, depth, block_index, via) from a book's files, tokens and links."""
-    read = structure.number_blocks(structure.fill_pages(tokens))
+    """books (with toc), blocks (book_id, idx, kind, text, path, page, level, rows) and contents (book_id, pos, title, depth, block_index, via) from a book's files, tokens (written: they are read several times) and links. Texts other than headings wait until all else is known: they meet their blocks in one join."""
+    begun = F.when(F.col("kind") == "heading", F.col("text")).otherwise(F.substring("text", 1, 1))
+    read = structure.number_blocks(structure.fill_pages(tokens.drop("anchors", "rows").withColumn("text", begun)))
     seen = tokens.select("book_id", "path", "place", F.posexplode("anchors").alias("n", "fragment"))
     whole = files.select("book_id", "path", structure.place(F.col("spine_pos"), F.lit(0)).alias("place"), F.lit(-1).alias("n"), F.lit(None).cast("string").alias("fragment"))
     anchors = whole.unionByName(seen).withColumnRenamed("place", "g")
     contents = structure.resolve_toc(links.where("kind = 'toc'"), anchors, read.select("book_id", "path", F.col("place").alias("g"), "idx"))
     placed = structure.assign_chapter(read, contents)
-    blocks = structure.block_paths(placed).select("book_id", "idx", "kind", "text", "path", "page", "level", "rows")
+    blocks = structure.block_paths(placed).select("book_id", "place", "idx", "kind", "path", "page", "level")
     books, kept = import_books(meta, blocks, contents)
-    return books, kept, contents.join(books.select("book_id"), "book_id", "left_semi")
+    whole = kept.join(tokens.select("book_id", "place", "text", "rows"), ["book_id", "place"])
+    return books, whole.select("book_id", "idx", "kind", "text", "path", "page", "level", "rows"), contents.join(books.select("book_id"), "book_id", "left_semi")
 
 
 def import_archives(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """books, blocks and contents of archives (the rows of epub_members; write them first, they are read several times). Protected books and books without text are left out; nulls in package files and links that lead nowhere are skipped."""
-    parts = reject_protected(parts)
-    rows = written(package_rows(parts), "packages")
+    rows = written(package_rows(parts).join(protected(parts), "book_id", "left_anti"), "packages")  # all else follows from these
     links = written(nav_links(parts, rows), "links")
-    files = written(book_files(parts, rows, links), "files")
-    return build_books(epub_package(parts, rows)[0], files, written(book_tokens(files), "tokens"), links)
+    files = book_files(parts, rows, links)
+    tokens = written(book_tokens(files), "tokens")
+    return build_books(epub_package(parts, rows)[0], written(files.select("book_id", "path", "spine_pos"), "files"), tokens, links)
 
 
 def import_books(meta: DataFrame, blocks: DataFrame, toc: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

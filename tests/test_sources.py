@@ -137,6 +137,34 @@ def test_contents_of_an_import(spark):
     assert [x.title for x in books.first().toc] == ["One", "Empty", "Void", "Late"]
 
 
+def test_texts_of_an_import_move_few_times(spark, tmp_path):
+    """What an import shuffles is a small multiple of its texts, however many joins its structure takes; a name that an archive holds twice gives its blocks once."""
+    rng = random.Random(3)
+    opf = '<package><metadata><title>T</title></metadata><manifest><item id="d" href="D.xhtml" media-type="application/xhtml+xml"/><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine><itemref idref="d"/></spine></package>'
+    nav = '<html xmlns:epub="http://www.idpf.org/2007/ops"><nav epub:type="toc"><ol><li><a href="d.xhtml">D</a></li></ol></nav></html>'
+    text = lambda: f"<body><h1>H</h1>{''.join(f'<p>{rng.randbytes(1000).hex()}</p>' for _ in range(20))}</body>"
+    rows = [(f"k{i}", p, t, None) for i in range(60) for p, t in (("META-INF/container.xml", '<rootfile full-path="book.opf"/>'), ("book.opf", opf), ("nav.xhtml", nav), ("d.xhtml", text()))]
+    rows.append(rows[3])
+    spark.createDataFrame(rows, "book_id string, path string, text string, error string").write.parquet(str(tmp_path / "parts"))
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        epub.import_archives(spark.read.parquet(str(tmp_path / "parts")))[1].write.parquet(str(tmp_path / "blocks"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = shuffled() - before
+    blocks = spark.read.parquet(str(tmp_path / "blocks"))
+    assert blocks.count() == 60 * 21 and blocks.agg(F.sum(F.length("text"))).first()[0] == 60 * (20 * 2000 + 1)
+    assert moved < 6 * 60 * 20 * 2000
+
+
 def test_one_bucket_is_read(spark, tmp_path):
     """A book and ranges of it are read from its own directory: all others hold junk."""
     blocks = spark.createDataFrame([(f"b{i % 40}", i // 40, "paragraph", f"t{i}") for i in range(400)], "book_id string, idx int, kind string, text string")
