@@ -2,10 +2,14 @@
 
 import random
 
+import duckdb
+import pytest
+from oracle import norm, spark_rows
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
 from quizmill.operators import mining, passages, questions
+from quizmill.plans import queries as Q
 
 TEXTS = [
     ("paragraph", "The Fair Credit Reporting Act (FCRA) requires lenders to give a notice before they share reports. It is old.", ["One"]),
@@ -146,3 +150,18 @@ def test_duty_of_a_long_name(spark):
     sents = spark.createDataFrame([("b", i, 0, s, "c") for i, s in enumerate(said)], "book_id string, idx int, pos int, sentence string, chapter string")
     got = mining.find_duties(sents, mining.find_entities(sents)).orderBy("idx").collect()
     assert [(r["idx"], r["name"], r["predicate"]) for r in got] == [(0, name, "requires all firms to keep every file"), (1, "Department of Sea", "requires all firms to keep no file")]
+
+
+@pytest.mark.parametrize("name", ["min8_first_duty", "qst3_law_distractors", "qst4_law_questions", "qst5_generate_concepts"])
+def test_law_queries_on_long_runs_of_words(spark, sf, tmp_path, name):
+    """Documents that begin with thousands of connecting words, as some of the given ones with hundreds do."""
+    run = F.concat(F.repeat(F.lit("The "), F.lit(2_000)), F.repeat(F.lit("to the of "), F.lit(2_000)))
+    d = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    d = d.withColumn("text", F.when(F.col("doc_id") % 10 == 2, F.concat(run, "text")).when(F.col("doc_id") % 10 == 5, F.concat(F.lit("Department of "), run, "text")).otherwise(F.col("text")))
+    d.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(Q.ORACLE_SQL[name])
+    cols = [c[0] for c in cur.description]
+    expected = sorted(tuple(norm(r[cols.index(c)]) for c in sorted(cols)) for r in cur.fetchall())
+    assert expected and spark_rows(Q.QUERIES[name](spark, str(tmp_path))) == expected
