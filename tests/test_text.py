@@ -1,9 +1,12 @@
 """Text functions on cases that the given prose does not hold."""
 
+import duckdb
 import pytest
+from oracle import norm, spark_rows
 from pyspark.sql import functions as F
 
 from quizmill.functions import text as T
+from quizmill.plans import queries as Q
 
 
 def one(spark, f, *values):
@@ -92,8 +95,6 @@ def test_clean_definition_drops_open_aside(spark):
 
 def test_first_letter_has_one_capital(spark):
     """As SQL's upper: ß has ẞ, ŉ and ﬁ have none; whole mappings (SS, ʼN, FI) would lengthen the text."""
-    import duckdb
-
     for c in "aßŉǰﬁᾀᾈῳǆéñœıд1 ":
         text = f"{c}chzu beschie"
         assert one(spark, T.capitalised, text) == duckdb.execute("SELECT upper($1[1]) || $1[2:]", [text]).fetchone()[0]
@@ -101,6 +102,18 @@ def test_first_letter_has_one_capital(spark):
     assert one(spark, T.glossary_entry, "Notice — ßheit a person about data use")["definition"] == "ẞheit a person about data use"
 
 
+def test_glossary_entries_of_small_letters(spark, tmp_path):
+    lines = [f"Notice{sign} {first}heit einer Person über ihre Daten" for sign in (".", ":", " —") for first in ("ß", "ü", "ŉ", "ñ", "S", "ﬁ")]
+    spark.createDataFrame([(i, "\n".join(["Title", *lines]), "de", "s", 9) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(Q.ORACLE_SQL["txt10_glossary_entry"])
+    cols = [c[0] for c in cur.description]
+    expected = sorted(tuple(norm(r[cols.index(c)]) for c in sorted(cols)) for r in cur.fetchall())
+    assert any("ẞ" in x for r in expected for x in r)
+    assert spark_rows(Q.QUERIES["txt10_glossary_entry"](spark, str(tmp_path))) == expected
+
+
 def test_blanks_beyond_ascii(spark):
     assert one(spark, T.key_of, "\u00a0Data\u2003 Fiduciary’s\u3000") == "data fiduciary's"
     assert one(spark, T.strip_leading, "Under\u00a0the Data Act") == "Data Act"
